@@ -50,9 +50,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return by_source.select("source", "n_rows", "source_size", target.cast("double").alias("target"))
 
 
-def mix(
+def _key(seed: int) -> Column:
+    """128 random bits as hexadecimal digits, whose order is that of the numbers."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _place(
     docs: DataFrame,
-    *,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -62,13 +66,7 @@ def mix(
     rows_per_interval: int = 50_000,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per input row: doc_id, text_key, size, source, source_size, target, taken.
-
-    ``taken`` counts words with repeats; a source's sum is its target rounded down. Null texts and empty
-    texts have size 0 and are taken 0 times; a null source is a source of its own, last in order; a null id is an
-    id like any other. Repeated rows count each; which of two identical rows the cut falls on is immaterial.
-    Other columns are ignored, an empty table gives an empty result.
-    """
+    """Every row with its key, the whole epochs of its source and the words that the last, partial epoch takes of it."""
     sizes = cut(
         docs.select(
             F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
@@ -78,8 +76,8 @@ def mix(
     targets = targets.withColumn("intervals", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / rows_per_interval)).cast("long"))
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("budget", F.floor("target") - F.col("whole") * F.col("source_size"))
-    # 128 random bits as hexadecimal digits, whose order is that of the numbers; 52 of them choose the interval.
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = _key(seed)
+    # 52 of the bits choose the interval.
     unit = F.conv(F.substring(key, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     # One row per source: Spark broadcasts it after seeing its size, and splits a hot source otherwise.
     keyed = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
@@ -92,7 +90,20 @@ def mix(
     totals = totals.withColumn("offset", F.coalesce(F.sum("interval_size").over(running), F.lit(0))).select(F.col("source").alias("s"), F.col("interval").alias("i"), "offset")
     placed = keyed.join(totals, F.col("s").eqNullSafe(F.col("source")) & (F.col("i") == F.col("interval")))
     last = F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - F.col("offset") - F.col("before")))
-    return placed.select("doc_id", "text_key", "size", "source", "source_size", "target", (F.col("whole") * F.col("size") + last).cast("long").alias("taken"))
+    return placed.select("doc_id", "text_key", "key", "size", "source", "source_size", "target", "whole", last.cast("long").alias("last"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, size, source, source_size, target, taken.
+
+    Options: id_col, text_col, source_col; weights in the sources' order, repeating; share of all sizes; epochs at most;
+    rows_per_interval; seed. ``taken`` counts words with repeats; a source's sum is its target rounded down. Null texts and empty
+    texts have size 0 and are taken 0 times; a null source is a source of its own, last in order; a null id is an
+    id like any other. Repeated rows count each; which of two identical rows the cut falls on is immaterial.
+    Other columns are ignored, an empty table gives an empty result.
+    """
+    placed = _place(docs, **options)
+    return placed.select("doc_id", "size", "source", "source_size", "target", (F.col("whole") * F.col("size") + F.col("last")).cast("long").alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -101,19 +112,34 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, 1, n), "")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+#: Sources up to this number go to every executor as a table; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The documents that the mix takes, in the columns of ``docs``: whole epochs as repeated rows, the last one cut at the budget.
 
-    ``n_chars``, where there is such a column, follows the text. Documents of which no word is taken go.
-    Identical rows get the sum of what their number takes, each the first of it in turn.
+    A source's last epoch takes the rows before its cut, a row of (key, id, size, text); so a small table of cuts decides for every document where it
+    lies, and texts are not shuffled. ``n_chars``, where there is such a column, follows the text. Documents of which no word is taken go.
+    Identical rows at the cut share what it takes of them evenly; the remainder, fewer words than there are such rows, goes with the cut.
     """
-    mixed = mix(docs, **options).filter("taken > 0")
-    decided = mixed.groupBy("doc_id", "text_key").agg(F.sum("taken").alias("_tm_taken"), F.max("size").alias("_tm_size"), F.count(F.lit(1)).alias("_tm_same"))
-    decided = decided.withColumnsRenamed({"doc_id": "_tm_id", "text_key": "_tm_key"})
-    joined = docs.join(decided, F.col("doc_id").eqNullSafe(F.col("_tm_id")) & (F.xxhash64("text") == F.col("_tm_key")))
-    # Identical rows share their words evenly; the remainder, fewer words than there are copies, goes with the cut.
-    joined = joined.withColumn("_tm_mine", F.floor(F.col("_tm_taken") / F.col("_tm_same"))).filter("_tm_mine > 0")
-    copies = F.expr("transform(sequence(1, cast(ceil(_tm_mine / _tm_size) as int)), k -> least(_tm_size, _tm_mine - (k - 1) * _tm_size))")
+    order = ("key", "doc_id", "size", "text_key")
+    taken = _place(docs, seed=seed, **options)
+    ends = taken.filter("last > 0").groupBy("source").agg(F.max(F.struct(*order)).alias("end"))
+    # The rows at each source's cut: one, or as many as are identical.
+    partial = taken.filter("last > 0").groupBy("source", F.struct(*order).alias("end")).agg(F.floor(F.sum("last") / F.count(F.lit(1))).alias("each"))
+    partial = partial.withColumnsRenamed({"source": "_s", "end": "_e"})
+    at_end = ends.join(partial, F.col("source").eqNullSafe(F.col("_s")) & (F.col("end") == F.col("_e"))).select(F.col("source").alias("_s"), "end", "each")
+    sources = taken.groupBy("source").agg(F.max("whole").alias("whole"))
+    cuts = sources.join(at_end, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.struct("source", "whole", "end", "each").alias("_tm_cut"))
+    cuts = cut(cuts)
+    small = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    here = F.struct(_key(seed).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"))
+    joined = docs.withColumn("_tm_here", here).join(small, F.col("source").eqNullSafe(F.col("_tm_cut.source")))
+    size, end = F.col("_tm_here.size"), F.col("_tm_cut.end")
+    last = F.when(end.isNull() | (F.col("_tm_here") > end), F.lit(0)).when(F.col("_tm_here") == end, F.col("_tm_cut.each")).otherwise(size)
+    joined = joined.withColumn("_tm_size", size).withColumn("_tm_mine", (F.col("_tm_cut.whole") * size + last).cast("long")).filter("_tm_mine > 0")
+    copies = F.expr("transform(sequence(1L, cast(ceil(_tm_mine / _tm_size) as bigint)), k -> least(_tm_size, _tm_mine - (k - 1) * _tm_size))")
     joined = joined.withColumn("_tm_words", F.explode(copies))
     text = F.when(F.col("_tm_words") < F.col("_tm_size"), first_words(F.col("text"), F.col("_tm_words").cast("int"))).otherwise(F.col("text"))
     joined = joined.withColumn("text", text)

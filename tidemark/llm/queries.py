@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, token_counts, token_output
-from tidemark.llm.shared import table
+from tidemark.llm import ann, jaccard, language, licenses, mixing, packing, token_counts, token_output, topk, toxicity
+from tidemark.llm.shared import crc_mod, table
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,3 +69,55 @@ placed as (
 select doc_id, size::bigint as size, source_size, target, (whole * size + least(size, greatest(0, budget - before)))::bigint as taken
 from placed""",
 }
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_ngram_join"] = op8_ngram_join
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op7_nearest": op7_nearest, "op9_top_k": op9_top_k}
+ORACLE_SQL["op9_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5"""
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids whose crc32 leaves 1 modulo 3 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return toxicity.score(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", "neighbours", "cosines")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ids whose crc32 leaves 2 modulo 4 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(crc_mod("doc_id", 4) != 2))
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op10_licenses": op10_licenses}
