@@ -2,8 +2,8 @@
 
 Both public vocabularies split a text before they merge, and never across a space between two words. So a
 batch's texts are split at spaces, each distinct chunk goes through the tokenizer once, and a text's ids
-are its chunks' ids in order. A text where a space is not such a boundary (runs of spaces, or other white space
-that a rule could bind to) goes through the tokenizer whole. Ids are kept as little-endian 32-bit numbers.
+are its chunks' ids in order. A text where a space is not such a boundary (a run of white space) goes through
+the tokenizer whole. Ids are kept as little-endian 32-bit numbers.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks kept by a worker; when there are more it starts again with those of the batch at hand.
-CACHE_CHUNKS = 200_000
+#: Chunks that a worker keeps, in two generations: a full one becomes the old one, from which what is met again comes back.
+CACHE_CHUNKS = 400_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
-_EDGE = re.compile(r"^ | $|  ")
-#: White space that str.split() and the vocabularies' own rules may see differently.
-_ODD = re.compile(r"[^\S \n\r\t]|[\x1c-\x1f\x85᠎​﻿]")
+#: Where a space is not a boundary of its own: within three or more white spaces, or after another one at the end.
+_RUN = re.compile(r"\s\s(?:\s|$)")
+#: White space to str.split() alone.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Last letter of the blocks in which lower case is decided letter by letter and no letter combines with another.
+_LATIN = "\u017f"
 
 
 class Encoder:
@@ -35,10 +38,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # A vocabulary that normalizes white space drops it altogether; the others keep it as part of the next word.
-        self.drops_space = self.tokenizer.normalizer is not None
-        self.ids: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
+        # A vocabulary that normalizes drops white space and case altogether; the others keep a space as part of the next word.
+        self.normalizes = self.tokenizer.normalizer is not None
+        self.ids: tuple[dict, dict] = {}, {}
+        self.spans: tuple[dict, dict] = {}, {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -47,57 +50,94 @@ class Encoder:
         return cls._open[path]
 
     def _chunks(self, text: str) -> list[str] | None:
-        if self.drops_space:
-            return None if _ODD.search(text) else text.split()
-        if _EDGE.search(text) or _ODD.search(text):
+        if self.normalizes:
+            return None if _SEPARATORS.search(text) else text.split()
+        if _RUN.search(text):
             return None
         head, *rest = text.split(" ")
-        return [head, *(" " + x for x in rest)] if text else []
-
-    def _learn(self, split: Iterable[list[str]], offsets: bool) -> None:
-        wanted: set[str] = set().union(*split)
-        known = self.starts if offsets else self.ids
-        new = list(wanted.difference(known))
-        if len(known) + len(new) > CACHE_CHUNKS:
-            self.ids, self.starts = {}, {}
-            new = list(wanted)
-        encode = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        for chunk, e in zip(new, encode(new, add_special_tokens=False)):
-            self.ids[chunk] = le32(e.ids)
-            if offsets:
-                self.starts[chunk] = np.array([o for o in e.offsets], np.int32).reshape(-1, 2).tobytes()
-
-    def _forget_long(self) -> None:
-        for known in (self.ids, self.starts):
-            for chunk in [x for x in known if len(x) > CACHE_CHARS]:
-                del known[chunk]
+        return [head, *[" " + x for x in rest]] if text else []
+
+    def _split_end(self, chunk: str) -> tuple[str, str] | None:
+        """A word and the stop or comma after it, which every vocabulary here keeps apart."""
+        word, end = chunk[:-1], chunk[-1:]
+        if end not in {",", "."}:
+            word, end = chunk, ""
+        if not word.lstrip(" ").isalpha():
+            return None
+        if self.normalizes:
+            lower = word.lower()
+            return (lower, end) if max(word) <= _LATIN and len(lower) == len(word) else None
+        return word, end
+
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of every wanted chunk."""
+        young, old = self.ids
+        if len(young) > CACHE_CHUNKS:
+            young, old = self.ids = {}, young
+        new = wanted.difference(young)
+        again = new & old.keys()
+        for x in again:
+            young[x] = old[x]
+        new -= again
+        split = {x: parts for x in new if (parts := self._split_end(x)) is not None and parts != (x, "")}
+        direct = new.difference(split)
+        words = {x for parts in split.values() for x in parts if x}
+        for x in (words - direct) & old.keys():
+            young.setdefault(x, old[x])
+        direct |= words.difference(young)
+        order = list(direct)
+        for i in range(0, len(order), 20_000):
+            some = order[i : i + 20_000]
+            young.update(zip(some, [le32(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
+        for x, (word, end) in split.items():
+            young[x] = young[word] + young[end] if end else young[word]
+        return young
+
+    @staticmethod
+    def _forget_long(known: dict, chunks: set[str]) -> None:
+        for x in chunks:
+            if len(x) > CACHE_CHARS:
+                known.pop(x, None)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids; null texts count as empty."""
         split = [self._chunks(x or "") for x in texts]
-        self._learn((x for x in split if x), False)
-        get, out = self.ids.__getitem__, []
+        wanted: set[str] = set().union(*[x for x in split if x])
+        known, out = self._learn(wanted), []
+        get = known.__getitem__
         for text, chunks in zip(texts, split):
             out.append(le32(self.tokenizer.encode(text, add_special_tokens=False).ids) if chunks is None else b"".join(map(get, chunks)))
-        self._forget_long()
+        self._forget_long(known, wanted)
         return out
 
     def offsets(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's token spans as rows (start, end) in characters, each text encoded once."""
-        split = [self._chunks(x or "") for x in texts]
-        self._learn((x for x in split if x), True)
-        get, out = self.starts.__getitem__, []
+        split = [None if self.normalizes else self._chunks(x or "") for x in texts]
+        wanted: set[str] = set().union(*[x for x in split if x])
+        young, old = self.spans
+        if len(young) > CACHE_CHUNKS // 2:
+            young, old = self.spans = {}, young
+        new = wanted.difference(young)
+        again = new & old.keys()
+        for x in again:
+            young[x] = old[x]
+        order = list(new - again)
+        for i in range(0, len(order), 20_000):
+            some = order[i : i + 20_000]
+            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                young[x] = array.array("i", [v for span in e.offsets for v in span]).tobytes()
+        get, out = young.__getitem__, []
         for text, chunks in zip(texts, split):
-            if chunks is None or self.drops_space:
-                spans = np.array(self.tokenizer.encode(text or "", add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+            if chunks is None:
+                found = np.array(self.tokenizer.encode(text or "", add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
             else:
                 parts = list(map(get, chunks))
-                spans = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
+                found = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
                 lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
                 counts = np.fromiter(map(len, parts), np.int64, len(parts)) >> 3
-                spans += np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
-            out.append(spans)
-        self._forget_long()
+                found += np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
+            out.append(found)
+        self._forget_long(young, wanted)
         return out
 
 
@@ -108,7 +148,7 @@ def le32(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def slices(rows: list, chars: int = 8 << 20, size=lambda x: len(x or "")) -> Iterable[list]:
+def slices(rows: list, chars: int = 4 << 20, size=lambda x: len(x or "")) -> Iterable[list]:
     """Runs of rows of about so many characters, so that no step holds a whole batch's tokens."""
     run, n = [], 0
     for x in rows:
