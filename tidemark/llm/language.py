@@ -86,12 +86,14 @@ class Scorer:
         self._learn(new)
         self.table = np.array(self.rows) if self.rows else np.empty((0, len(self.model.languages)))
 
-    def score(self, words: list[str]) -> tuple[str, float]:
+    def score(self, words: list[str]) -> tuple[str, float, float]:
+        """The language, its share of the certainty, and its lead over the next one in log frequency per word."""
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         mean = self.table[at].mean(axis=0)
         certain = np.exp((mean - mean.max()) * min(len(words), FULL_WORDS))
         best = int(np.argmax(mean))
-        return self.model.languages[best], float(certain[best] / certain.sum())
+        lead = mean[best] - np.delete(mean, best).max() if len(mean) > 1 else math.inf
+        return self.model.languages[best], float(certain[best] / certain.sum()), float(lead)
 
 
 def fit(docs: DataFrame, *, docs_per_language: int = 1_500, max_languages: int = 200, words_per_language: int = 40_000, grams_per_language: int = 40_000) -> Model:
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = 1_500, max_languages: int =
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1) of every row, from its text alone; ``with_row`` adds ``row``, the whole of it.
+    """doc_id, lang_pred, score (0 to 1), lead (in log frequency per word) of every row, from its text alone; ``with_row`` adds ``row``, the whole of it.
 
     Text that is null, empty or has no letter is ``und`` with score 0. So is every text if the model knows no language. Ties go to the first language
     by name. Long texts are read whole, repeated rows score alike, other columns are ignored, an empty table gives no rows.
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     spread = docs.sparkSession.sparkContext.broadcast(model)
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
-    schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), *rows.schema.fields[2:]])
+    schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lead", DoubleType()), *rows.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(spread.value)
@@ -167,9 +169,9 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             for some in slices(batch.column(1).to_pylist()):
                 texts = [LETTERS_RE.findall((t or "").lower()) for t in some]
                 scorer.start(texts)
-                found = [scorer.score(w) if w and scorer.model.languages else (UNKNOWN, 0.0) for w in texts]
+                found = [scorer.score(w) if w and scorer.model.languages else (UNKNOWN, 0.0, 0.0) for w in texts]
                 part = batch.slice(at, len(some))
                 at += len(some)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *part.columns[2:]], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), *part.columns[2:]], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)

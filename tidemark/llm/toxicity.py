@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from tidemark.llm import jaccard
 from tidemark.llm.shared import LETTERS_RE, cut
 from tidemark.llm.tokens import slices
 
@@ -107,7 +108,7 @@ class Index:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y to x, a hundredth of x kept so that no two votes score alike."""
+    """Knots of the non-decreasing fit of y to x, each level drawn to the mean by one example, and a hundredth of x kept so that no two votes score alike."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []  # lowest x, highest x, weighted y, weight
     for a, b, w in zip(x[order], y[order], weight[order]):
@@ -120,7 +121,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             last = pools.pop()
             pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
     xs = np.array([v for p in pools for v in (p[0], p[1])])
-    ys = np.array([p[2] / p[3] for p in pools for _ in (0, 1)])
+    mean = float((y * weight).sum() / weight.sum())
+    ys = np.maximum.accumulate([(p[2] + mean) / (p[3] + 1) for p in pools for _ in (0, 1)])
     return xs, np.clip(0.99 * ys + 0.01 * np.clip(xs, 0, 1), 0, 1)
 
 
@@ -132,13 +134,19 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
     return chosen.join(F.broadcast(known.groupBy("toxic").count()), "toxic")  # two rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 3_000, max_terms: int = 5_000, least_chi2: float = 30.0, k: int = 10) -> Index:
-    """The index over at most ``max_examples`` examples of each label, in at most ``max_terms`` terms. Equal texts count once."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 3_000, max_terms: int = 5_000, least_chi2: float = 30.0, k: int = 10, family_percent: int = 30) -> Index:
+    """The index over at most ``max_examples`` examples of each label, in at most ``max_terms`` terms.
+
+    Equal texts count once, and so do families of near copies (``family_percent`` of common shingles or more), whose chance words
+    would otherwise look like signs of their label.
+    """
     spark = docs.sparkSession
     chosen = cut(_sample(labels, max_examples))
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # twice max_examples rows at most
     texts = texts.groupBy("doc_id", "toxic", "count").agg(F.min("text").alias("text")).groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.max("count").alias("count"))
     texts = cut(texts)
+    heads = jaccard.join(texts, percent=family_percent).filter("doc_id = component_id").select(F.col("doc_id").alias("head"))
+    texts = cut(texts.join(F.broadcast(heads), F.col("doc_id") == F.col("head")).drop("head"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
