@@ -78,7 +78,8 @@ def search(
     asked = query_keys.select("rep", F.posexplode("keys").alias("tree", "key")).withColumn("level", up)
     asked = asked.withColumn("p", F.expr(f"shiftright(key, {BITS} - level)"))
     summed = asked.join(counts, ["tree", "level", "p"], "left").groupBy("rep", "level").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    levels = summed.groupBy("rep").agg(F.coalesce(F.max(F.when(F.col("n") >= F.lit(share * n), F.col("level"))), F.lit(floor)).alias("level"))
+    enough = max(share * n, trees * min(n, 4 * listed))  # of few rows, all
+    levels = summed.groupBy("rep").agg(F.coalesce(F.max(F.when(F.col("n") >= F.lit(enough), F.col("level"))), F.lit(floor)).alias("level"))
 
     n_queries = max(1, -(-query_keys.count() // queries_block))
     parts = deep.groupBy("tree", F.expr(f"p div {1 << (deepest - floor)}").alias("block")).agg(F.ceil(F.sum("n") / points_block).cast("int").alias("parts"))

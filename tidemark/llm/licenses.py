@@ -3,7 +3,7 @@
 Texts and templates are words of letters and digits in lower case, in shingles of five. For each power of two s that a template's size
 asks for, windows of 2 s shingles start at every s-th, so any run of s shingles lies whole in one of them. A window that holds the required part of a
 template has at least about a fifth of all shingles in common with it; with BANDS bands of one MinHash each, the chance that none agrees is
-0.8 ** BANDS or less, below one in a thousand. What meets is verified: the window's shingles must hold the part exactly.
+0.8 ** BANDS or less, below one in a thousand. What meets is verified: some run of s shingles must hold the part exactly.
 """
 
 from __future__ import annotations
@@ -59,9 +59,13 @@ class Templates:
         self.sizes: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s):
-                self.sizes.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
+                self.sizes.setdefault(self.run(i), []).append(i)
         self.values = np.array([[self.hashes(b, s).min() if len(s) else 0 for b in range(BANDS)] for s in self.sets], np.uint32)
 
+    def run(self, template: int) -> int:
+        """Shingles among which the required part must lie: the power of two that the template needs."""
+        return 1 << (len(self.sets[template]) - 1).bit_length()
+
     def hashes(self, band: int, shingles: np.ndarray) -> np.ndarray:
         return ((shingles * self.turns[band]) >> np.uint64(32)).astype(np.uint32)
 
@@ -95,9 +99,11 @@ def scan_texts(texts: list[str | None], templates: Templates) -> Iterator[tuple[
         text = np.searchsorted(ends, hit, side="right")
         for k in np.unique(text):
             mine = hit[text == k]
-            held = len(np.unique(shingles[mine]))
-            if held >= templates.needed[t]:
-                spans.setdefault((int(k), t), []).append((int(mine[0] - starts[k]), int(mine[-1] - starts[k]) + WIDTH, held / len(templates.sets[t])))
+            # Within a run of the size that windows cover, not just within a window.
+            for i, j in enumerate(np.searchsorted(mine, mine + templates.run(t))):
+                held = len(np.unique(shingles[mine[i:j]])) if j - i >= templates.needed[t] else 0
+                if held >= templates.needed[t]:
+                    spans.setdefault((int(k), t), []).append((int(mine[i] - starts[k]), int(mine[j - 1] - starts[k]) + WIDTH, held / len(templates.sets[t])))
     for (k, t), found in sorted(spans.items()):
         found.sort()
         a, b, part = found[0]
