@@ -1 +1 @@
-
+"""Column functions: text, durations, numbers."""

@@ -1 +1 @@
-
+"""Readers and writers of telemetry and artifact tables."""
