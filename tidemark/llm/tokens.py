@@ -57,20 +57,28 @@ class Encoder:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if text else []
 
-    def _split_end(self, chunk: str) -> tuple[str, str] | None:
-        """A word and the stop or comma after it, which every vocabulary here keeps apart."""
-        word, end = chunk[:-1], chunk[-1:]
-        if end not in {",", "."}:
-            word, end = chunk, ""
-        if not word.lstrip(" ").isalpha():
-            return None
-        if self.normalizes:
-            lower = word.lower()
-            return (lower, end) if max(word) <= _LATIN and len(lower) == len(word) else None
-        return word, end
-
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of every wanted chunk."""
+    def _split_ends(self, chunks: set[str]) -> dict[str, tuple[str, str]]:
+        """Chunks that are a word and a stop or comma, which every vocabulary here keeps apart, or a word in capitals where case is dropped."""
+        split, drops_case = {}, self.normalizes
+        for x in chunks:
+            end = x[-1:]
+            if end == "." or end == ",":
+                word = x[:-1]
+            elif not drops_case or x.islower():
+                continue
+            else:
+                word, end = x, ""
+            if drops_case:
+                if word.isalpha() and (word.isascii() or max(word) <= _LATIN):
+                    lower = word.lower()
+                    if len(lower) == len(word):
+                        split[x] = lower, end
+            elif word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+                split[x] = word, end
+        return split
+
+    def _learn(self, wanted: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of every wanted chunk, and the new chunks too long to keep."""
         young, old = self.ids
         if len(young) > CACHE_CHUNKS:
             young, old = self.ids = {}, young
@@ -79,7 +87,7 @@ class Encoder:
         for x in again:
             young[x] = old[x]
         new -= again
-        split = {x: parts for x in new if (parts := self._split_end(x)) is not None and parts != (x, "")}
+        split = self._split_ends(new)
         direct = new.difference(split)
         words = {x for parts in split.values() for x in parts if x}
         for x in (words - direct) & old.keys():
@@ -91,23 +99,18 @@ class Encoder:
             young.update(zip(some, [le32(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
         for x, (word, end) in split.items():
             young[x] = young[word] + young[end] if end else young[word]
-        return young
-
-    @staticmethod
-    def _forget_long(known: dict, chunks: set[str]) -> None:
-        for x in chunks:
-            if len(x) > CACHE_CHARS:
-                known.pop(x, None)
+        return young, [x for x in new if len(x) > CACHE_CHARS]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids; null texts count as empty."""
         split = [self._chunks(x or "") for x in texts]
         wanted: set[str] = set().union(*[x for x in split if x])
-        known, out = self._learn(wanted), []
+        (known, long), out = self._learn(wanted), []
         get = known.__getitem__
         for text, chunks in zip(texts, split):
             out.append(le32(self.tokenizer.encode(text, add_special_tokens=False).ids) if chunks is None else b"".join(map(get, chunks)))
-        self._forget_long(known, wanted)
+        for x in long:
+            del known[x]
         return out
 
     def offsets(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -137,7 +140,9 @@ class Encoder:
                 counts = np.fromiter(map(len, parts), np.int64, len(parts)) >> 3
                 found += np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
             out.append(found)
-        self._forget_long(young, wanted)
+        for x in order:
+            if len(x) > CACHE_CHARS:
+                del young[x]
         return out
 
 
