@@ -31,6 +31,8 @@ _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Documents per task of one verification key.
 FAN = 512
+#: Shared shingles of a class that are looked back on.
+BEFORE = 64
 #: Rows of a side that is sent to every executor at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -135,36 +137,58 @@ def _profiles(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndar
     return docs.mapInArrow(run, f"doc_id {doc_type}, text_key long, n long, cid long, gid long, prefix array<long>")
 
 
-def _verified(docs: DataFrame, places: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _sent_small(df: DataFrame) -> DataFrame:
+    """Marked for every executor while its size, counted first, allows that; otherwise Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _likely(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough.
+
+    What two sets share lies in both prefixes, up to the earlier of the prefixes' ends, or after it in the set whose prefix ends there; so the
+    prefixes share at least the needed overlap less the longer rest.
+    """
+    ids = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+    have = profiles.select("cid", "n", "prefix").join(_sent_small(ids), "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    side = lambda c: have.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    need = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    rest = f"({percent} * greatest(n_a, n_b) + 99) div 100 - 1"
+    return both.filter(F.expr(f"size(array_intersect(prefix_a, prefix_b)) >= {need} - ({rest})")).select("a", "b")
+
+
+def _verified(docs: DataFrame, profiles: DataFrame, places: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are at the threshold, by exact intersection of whole sets.
 
     ``places`` names a document of each class. ``b`` is the side with many partners: they come to it in runs of FAN documents.
     """
-    pairs = cut(pairs)
+    pairs = cut(_likely(profiles, cut(pairs), percent))
     runs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("runs"))
     to_b = pairs.join(runs, "b").select(F.col("a").alias("cid"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("runs")).cast("int").alias("run"), F.lit(True).alias("member"))
     own = runs.select(F.col("b").alias("cid"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(False).alias("member"))
-    jobs = to_b.union(own).groupBy("cid").agg(F.collect_list(F.struct("key", "run", "member")).alias("jobs"))
-    wanted = cut(places.join(jobs, "cid").select(F.col("place").alias("doc_id"), "cid", "jobs"))
-    small = wanted.select("doc_id", "cid")
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    # Only these documents' texts go on; their sets are made anew.
-    texts = docs.select(F.col("doc_id"), F.col("text")).join(small, "doc_id")
+    jobs = cut(places.join(to_b.union(own), "cid").select(F.col("place").alias("doc_id"), "cid", "key", "run", "member"))
+    # A document's text goes on once for each of its pairs as a set, which is made where the text is read.
+    per_doc = jobs.groupBy("doc_id", "cid").agg(F.collect_list(F.struct("key", "run", "member")).alias("jobs"))
+    small = F.broadcast(per_doc) if jobs.count() <= BROADCAST_ROWS else per_doc
+    texts = docs.select("doc_id", "text").join(small, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at_row = 0
             for some in slices(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), size=lambda x: len(x[0] or "")):
-                rows = []
-                for text, cid in some:
+                tokens, keep = [], []
+                for i, (text, cid) in enumerate(some):
                     s = shingle_set(text, width)
                     if len(s) and xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s) & 0x7FFFFFFF) - (1 << 63) == cid:
-                        rows.append((cid, s.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "tokens"])
+                        tokens.append(s.tobytes())
+                        keep.append(at_row + i)
+                at_row += len(some)
+                if keep:
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(tokens, pa.binary())], names=["cid", "jobs", "tokens"])
 
-    found = texts.select("text", "cid").mapInArrow(sets, "cid long, tokens binary")
-    sent = found.join(wanted.select("cid", "jobs"), "cid").select("cid", "tokens", F.explode("jobs").alias("job")).select("job.*", "cid", "tokens")
+    found = texts.select("text", "cid", "jobs").mapInArrow(sets, "cid long, jobs array<struct<key:long,run:int,member:boolean>>, tokens binary")
+    # Rows that repeat an id and a text give a set again; the links are the same.
+    sent = found.select("cid", "tokens", F.explode("jobs").alias("job")).select("job.*", "cid", "tokens")
     sent = sent.repartition(F.col("key"), F.col("run")).sortWithinPartitions("key", "run", "member")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +235,7 @@ def join(
     groups = own.filter("doc_id is not null").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     at_token = Window.partitionBy("token")
-    meeting = postings.withColumn("met", F.count(F.lit(1)).over(at_token)).withColumn("head", F.min(F.struct("pos", "gid", "n")).over(at_token)).filter("met > 1")
+    meeting = postings.withColumn("met", F.count(F.lit(1)).over(at_token)).withColumn("head", F.min(F.struct("pos", "gid", "n")).over(at_token)).filter("met > 1").drop("met")
     kept_at = new_dir(spark, "shingle-postings")
     meeting.write.parquet(kept_at)
     meeting = spark.read.parquet(kept_at)
@@ -222,7 +246,7 @@ def join(
     first_of = members.groupBy("gid").agg(F.min("cid").alias("first"))
     to_heads = star.join(members, "gid").join(first_of.withColumnRenamed("gid", "head"), "head").select(F.col("cid").alias("a"), F.col("first").alias("b"))
     within = members.join(first_of, "gid").filter("cid != first").select(F.col("cid").alias("a"), F.col("first").alias("b"))
-    star_links = _verified(docs, places, to_heads.union(within).distinct(), width, percent)
+    star_links = _verified(docs, profiles, places, to_heads.union(within).distinct(), width, percent)
     clusters = components(star_links)
 
     known = cut(members.join(clusters.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("cluster")))
@@ -231,13 +255,18 @@ def join(
     met = meeting.select("token", "gid", "n", "pos").join(known, "gid").select("token", "cid", "cluster", "n", "pos")
     met = met.union(several.select(F.xxhash64(F.lit("group"), "gid").alias("token"), "cid", "cluster", "n", F.lit(0).alias("pos")))
     mixed = met.withColumn("lo", F.min("cluster").over(at_token)).withColumn("hi", F.max("cluster").over(at_token)).filter("lo != hi").drop("lo", "hi")
-    mixed = cut(mixed)
-    x, y = mixed.alias("x"), mixed.alias("y")
+    # Each class's shared shingles in order, so that a pair is made at the first one that it has in common.
+    placed = mixed.groupBy("cid", "cluster", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("seq"))
+    placed = placed.select("cid", "cluster", "n", "seq", F.posexplode("seq").alias("at", "here"))
+    # Of a long prefix only the nearest BEFORE, so a pair may be made again, but never lost.
+    before = F.transform(F.slice("seq", F.greatest(F.lit(1), F.col("at") - (BEFORE - 1)), F.least(F.col("at"), F.lit(BEFORE))), lambda e: e["token"])
+    placed = cut(placed.select("here.token", "here.pos", "cid", "cluster", "n", before.alias("before")))
+    x, y = placed.alias("x"), placed.alias("y")
     cross = x.join(
         y,
-        F.expr("x.token = y.token and x.cluster != y.cluster and (x.n < y.n or x.n = y.n and x.cid < y.cid) and 100 * x.n >= {t} * y.n and least(x.n - x.pos, y.n - y.pos) * (100 + {t}) >= {t} * (x.n + y.n)".format(t=percent)),
+        F.expr("x.token = y.token and x.cluster != y.cluster and (x.n < y.n or x.n = y.n and x.cid < y.cid) and 100 * x.n >= {t} * y.n and least(x.n - x.pos, y.n - y.pos) * (100 + {t}) >= {t} * (x.n + y.n) and not arrays_overlap(x.before, y.before)".format(t=percent)),
     ).select(F.col("x.cid").alias("p"), F.col("y.cid").alias("q"))
-    cross_links = _verified(docs, places, cross.distinct().select(F.col("p").alias("a"), F.col("q").alias("b")), width, percent)
+    cross_links = _verified(docs, profiles, places, cross.distinct().select(F.col("p").alias("a"), F.col("q").alias("b")), width, percent)
     linked = components(star_links.union(cross_links)) if not cross_links.isEmpty() else clusters
 
     least_id = classes.groupBy("cid").agg(F.min("place").alias("place"))
@@ -260,15 +289,14 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     judged = rows.join(best, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
     judged = cut(judged.select(F.col("doc_id").alias("_tm_id"), F.col("text_key").alias("_tm_key"), "stays", "times"))
     same = lambda other: docs["doc_id"].eqNullSafe(other["_tm_id"]) & (F.xxhash64(docs["text"]) == other["_tm_key"])
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     several = judged.filter("stays and times > 1").select("_tm_id", "_tm_key")
     go = judged.filter("not stays").select("_tm_id", "_tm_key").union(several)
     # What goes is less than what stays, and texts stay where they are unless even that is beyond a broadcast.
-    go = small(go)
+    go = _sent_small(go)
     kept = docs.join(go, same(go), "left_anti")
     if several.isEmpty():
         return kept
-    several = small(several)
+    several = _sent_small(several)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     first = Window.partitionBy("doc_id", "text").orderBy(*(F.col(f"`{c}`") for c in others) if others else [F.lit(0)])
     again = docs.join(several, same(several), "left_semi").withColumn("_tm_turn", F.row_number().over(first)).filter("_tm_turn = 1")
