@@ -32,7 +32,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Documents per task of one verification key.
 FAN = 512
 #: Shared shingles of a class that are looked back on.
-BEFORE = 64
+BEFORE = 4
 #: Rows of a side that is sent to every executor at most.
 BROADCAST_ROWS = 1_000_000
 
