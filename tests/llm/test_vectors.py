@@ -70,6 +70,25 @@ def test_nearest_finds_most_and_scores_exactly(spark):
             assert s == pytest.approx(scores[q, i], abs=1e-12)
 
 
+def test_queries_far_from_a_hot_direction_meet_all_rows(spark):
+    n, d = 4_100, 8
+    x = np.random.default_rng(9).standard_normal((n, d)) * 0.15
+    x[:, 0] += 1
+    outliers = {0: 1, 50: 2}
+    for q, axis in outliers.items():  # at 150 degrees from the others
+        x[q] = 0
+        x[q, [0, axis]] = -np.cos(np.pi / 6), np.sin(np.pi / 6)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1, "s", 2) for i, row in enumerate(x)], SCHEMA)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want, got = ranked((u @ u.T).round(12), list(range(n)), 5), collected(ann.search(df))
+    assert got.keys() == want.keys() and all(len(found) == 5 for found in got.values())
+    for q in outliers:
+        assert {i for i, _ in got[q]} == {i for i, _ in want[q]}
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-11)
+
+
 def test_few_and_no_vectors(spark):
     for search in (ann.search, topk.top_k):
         assert collected(search(spark.createDataFrame([], SCHEMA))) == {}

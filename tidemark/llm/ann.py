@@ -6,7 +6,8 @@ a time, until the rows that share the prefix, summed over the trees, are ``share
 exactly, and each tree's best go on.
 
 How far to ascend is found from counts: rows per prefix of ``deepest`` bits, summed upwards. The arrays lie in blocks by their first
-``floor`` bits (and by hash where such a block is large), sorted, so a level's rows are one run found by binary search.
+``floor`` bits (and by hash where such a block is large), sorted, so a level's rows are one run found by binary search. A query that meets
+too few rows there (one far from a direction that most rows share) goes to all blocks of the first tree: it meets every row once.
 Data without clusters, where a fifth neighbour is hardly nearer than a hundredth, needs a large share; that is why it is a share of all rows.
 """
 
@@ -57,8 +58,6 @@ def search(
     n = points.count()
     query_rows = clean.filter(F.col("id") % every == 0)
     queries = query_rows.select(F.col("v").alias("qv")).distinct().join(points, F.col("qv") == F.col("v")).select("rep", "v")
-    if n <= 4_000:
-        floor = 0
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +78,7 @@ def search(
     asked = asked.withColumn("p", F.expr(f"shiftright(key, {BITS} - level)"))
     summed = asked.join(counts, ["tree", "level", "p"], "left").groupBy("rep", "level").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     enough = max(share * n, trees * min(n, 4 * listed))  # of few rows, all
-    levels = summed.groupBy("rep").agg(F.coalesce(F.max(F.when(F.col("n") >= F.lit(enough), F.col("level"))), F.lit(floor)).alias("level"))
+    levels = summed.groupBy("rep").agg(F.coalesce(F.max(F.when(F.col("n") >= F.lit(enough), F.col("level"))), F.lit(0)).alias("level"))
 
     n_queries = max(1, -(-query_keys.count() // queries_block))
     parts = deep.groupBy("tree", F.expr(f"p div {1 << (deepest - floor)}").alias("block")).agg(F.ceil(F.sum("n") / points_block).cast("int").alias("parts"))
@@ -87,7 +86,9 @@ def search(
     # A row per tree and block: small, and Spark sees its size before it is sent.
     placed = point_keys.select("rep", "v", F.posexplode("keys").alias("tree", "key")).withColumn("block", prefix(floor)).join(parts, ["tree", "block"])
     point_side = placed.select("tree", "block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), chunks.alias("chunk"), F.lit(1).alias("side"), "key", "rep", "v", F.lit(0).alias("level"))
-    sent = query_keys.join(levels, "rep").select("rep", "v", "level", F.posexplode("keys").alias("tree", "key")).withColumn("block", prefix(floor)).join(parts, ["tree", "block"])
+    sent = query_keys.join(levels, "rep").select("rep", "v", "level", F.posexplode("keys").alias("tree", "key")).filter((F.col("level") >= floor) | (F.col("tree") == 0))
+    all_blocks = F.sequence(F.lit(0), F.lit((1 << floor) - 1)).cast("array<long>")
+    sent = sent.withColumn("block", F.explode(F.when(F.col("level") < floor, all_blocks).otherwise(F.array(prefix(floor))))).join(parts, ["tree", "block"])
     query_side = sent.select("tree", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(n_queries)).cast("int").alias("chunk"), F.lit(0).alias("side"), "key", "rep", "v", "level")
     keys = ["tree", "block", "part", "chunk"]
     both = point_side.unionByName(query_side).repartition(*keys).sortWithinPartitions(*keys, "side", "key", "rep")
