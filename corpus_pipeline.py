@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import jaccard, language, mixing, packing, toxicity
 from tidemark.llm.shared import new_dir, table
 
-#: A document in another language than it names goes only if that leads by so much per word, as a text in one language does; mixed ones stay.
-LEAD = 3.5
+#: A document in another language than it names goes only if the log odds of that against the one named are at least so high (1,000 to 1), and
+#: of its words' evidence between the two less than this share is for the one named; mixed ones have more and stay.
+NAMED_ODDS, NAMED_SHARE = 7.0, 0.05
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those that are certainly in another language than they name."""
     model = language.fit(docs)
-    wrong = F.coalesce((F.col("lang_pred") != F.col("row.lang")) & (F.col("lead") >= LEAD), F.lit(False))
-    return language.identify(docs, model, with_row=True).filter((F.col("lang_pred") != language.UNKNOWN) & ~wrong).select("row.*")
+    wrong = F.coalesce((F.col("named_odds") >= NAMED_ODDS) & (F.col("named_share") < NAMED_SHARE), F.lit(False))
+    return language.identify(docs, model, named_col="lang", with_row=True).filter((F.col("lang_pred") != language.UNKNOWN) & ~wrong).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

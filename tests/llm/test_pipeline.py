@@ -50,6 +50,23 @@ def test_stages_keep_what_they_should(spark, corpus):
     assert abs(words - 1.5 * have) <= 3
 
 
+def test_language_stage_drops_wrongly_labelled_and_keeps_mixed(spark, corpus):
+    at, rows = corpus
+    rng = random.Random(7)
+    # 'bc' is a relative of 'bb': three of four sounds are common.
+    sounds = {"aa": ["ka", "lo", "mi", "ru"], "bb": ["sch", "ein", "gel", "ung"], "bc": ["sch", "ein", "gel", "øj"], "zz": ["ño", "xy", "çà", "quw"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    more = [(800 + i, text("bc", 30), "bc") for i in range(60)]
+    wrong = [(900 + i, text("bb", 25), "aa") for i in range(4)] + [(910, text("bc", 25), "aa"), (911, text("aa", 25), "bc")]
+    mixed = [(920 + i, text("bb", 30) + " " + text("aa", 10), "aa") for i in range(4)] + [(930, text("bb", 10), None), (931, text("zz", 25), "zz")]
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    added = spark.createDataFrame([(i, t, lang, "s0", len(t)) for i, t, lang in more + wrong + mixed], COLUMNS)
+    for df, gone in ((docs, {700}), (docs.unionByName(added), {700} | {r[0] for r in wrong})):
+        kept = [r.doc_id for r in corpus_pipeline.keep_languages(spark, df, at).collect()]
+        have = [r.doc_id for r in df.collect()]
+        assert sorted(kept) == sorted(i for i in have if i not in gone | {600, 601, 602})
+
+
 def test_run_packs_everything(spark, corpus):
     at, _ = corpus
     rows = corpus_pipeline.run(spark, at).collect()

@@ -72,6 +72,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.number, self.rows = model, {}, []
+        self.at = {x: i for i, x in enumerate(model.languages)}
 
     def _learn(self, words) -> None:
         for w in words:
@@ -86,14 +87,20 @@ class Scorer:
         self._learn(new)
         self.table = np.array(self.rows) if self.rows else np.empty((0, len(self.model.languages)))
 
-    def score(self, words: list[str]) -> tuple[str, float, float]:
-        """The language, its share of the certainty, and its lead over the next one in log frequency per word."""
+    def score(self, words: list[str], named: str | None = None) -> tuple[str, float, float | None, float | None]:
+        """The language, its share of the certainty, and against the named one: its log odds, and the named one's share of the words' evidence between the two."""
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         mean = self.table[at].mean(axis=0)
         certain = np.exp((mean - mean.max()) * min(len(words), FULL_WORDS))
         best = int(np.argmax(mean))
-        lead = mean[best] - np.delete(mean, best).max() if len(mean) > 1 else math.inf
-        return self.model.languages[best], float(certain[best] / certain.sum()), float(lead)
+        i = self.at.get(named)
+        odds = share = None
+        if i is not None:
+            ahead = self.table[at, best] - self.table[at, i]
+            total = float(np.abs(ahead).sum())
+            odds = float((mean[best] - mean[i]) * min(len(words), FULL_WORDS))
+            share = float(-ahead[ahead < 0].sum()) / total if total else 1.0
+        return self.model.languages[best], float(certain[best] / certain.sum()), odds, share
 
 
 def fit(docs: DataFrame, *, docs_per_language: int = 1_500, max_languages: int = 200, words_per_language: int = 40_000, grams_per_language: int = 40_000) -> Model:
@@ -151,16 +158,21 @@ def fit(docs: DataFrame, *, docs_per_language: int = 1_500, max_languages: int =
     return Model(languages, word_counts, gram_counts, word_totals, gram_totals)
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), lead (in log frequency per word) of every row, from its text alone; ``with_row`` adds ``row``, the whole of it.
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", named_col: str | None = None, with_row: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1) of every row, from its text alone; ``with_row`` adds ``row``, the whole of it.
+
+    ``named_col``, the language a row names, adds how lang_pred compares with it: named_odds, the log odds of lang_pred against it, and named_share, what
+    part of the words' evidence between the two is for the one named (0 to 1). Both are null where the model does not know the language named.
 
     Text that is null, empty or has no letter is ``und`` with score 0. So is every text if the model knows no language. Ties go to the first language
     by name. Long texts are read whole, repeated rows score alike, other columns are ignored, an empty table gives no rows.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
-    schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lead", DoubleType()), *rows.schema.fields[2:]])
+    named = F.col(named_col) if named_col else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), named.alias("named"), *row)
+    added = [StructField(n, DoubleType()) for n in ("score", "named_odds", "named_share")]
+    schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), *added, *rows.schema.fields[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(spread.value)
@@ -169,9 +181,11 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             for some in slices(batch.column(1).to_pylist()):
                 texts = [LETTERS_RE.findall((t or "").lower()) for t in some]
                 scorer.start(texts)
-                found = [scorer.score(w) if w and scorer.model.languages else (UNKNOWN, 0.0, 0.0) for w in texts]
                 part = batch.slice(at, len(some))
                 at += len(some)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), *part.columns[2:]], names=schema.fieldNames())
+                found = [scorer.score(w, n) if w and scorer.model.languages else (UNKNOWN, 0.0, None, None) for w, n in zip(texts, part.column(2).to_pylist())]
+                numbers = [pa.array([x[i] for x in found], pa.float64()) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), *numbers, *part.columns[3:]], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    return out if named_col else out.drop("named_odds", "named_share")
