@@ -1,7 +1,7 @@
 """Token ids of whole texts by the ``tokenizers`` library, a vocabulary file's path being a parameter.
 
 Both public vocabularies split a text before they merge, and never across a space between two words. So a
-batch's texts are split at spaces, each distinct chunk goes through the tokenizer once, and a text's ids
+batch's texts are split at spaces and at stops, each distinct chunk goes through the tokenizer once, and a text's ids
 are its chunks' ids in order. A text where a space is not such a boundary (a run of white space) goes through
 the tokenizer whole. Ids are kept as little-endian 32-bit numbers.
 """
@@ -20,12 +20,21 @@ import numpy as np
 CACHE_CHUNKS = 400_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
+#: New words that go through the tokenizer as one text.
+TOGETHER = 400
 #: Where a space is not a boundary of its own: within three or more white spaces, or after another one at the end.
 _RUN = re.compile(r"\s\s(?:\s|$)")
 #: White space to str.split() alone.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Last letter of the blocks in which lower case is decided letter by letter and no letter combines with another.
+#: How a special token's string starts, which is looked for across all other boundaries.
+_SPECIAL = "<|"
+#: A stop or comma after a plain letter or digit and before white space is a token of its own, and so is a line break between others.
+_PLAIN = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]"
+_STOP = re.compile(rf"[.,](?<={_PLAIN}[.,])(?=\s|\Z)")
+_STOP_OR_LINE = re.compile(rf"[.,](?<={_PLAIN}[.,])(?=[ \n]|\Z)|\n(?<=\S\n)(?=\S)")
+#: Last letter of the blocks in which lower case is decided letter by letter and no letter combines with another; and what is not of them (U+0130 has a lower case of two letters).
 _LATIN = "\u017f"
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 
 class Encoder:
@@ -40,6 +49,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # A vocabulary that normalizes drops white space and case altogether; the others keep a space as part of the next word.
         self.normalizes = self.tokenizer.normalizer is not None
+        # Tokens that end a word, or those that start with its space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.normalizes else t.startswith("\u0120"))]] = True
         self.ids: tuple[dict, dict] = {}, {}
         self.spans: tuple[dict, dict] = {}, {}
 
@@ -50,32 +63,40 @@ class Encoder:
         return cls._open[path]
 
     def _chunks(self, text: str) -> list[str] | None:
+        if _SPECIAL in text:
+            return None
         if self.normalizes:
-            return None if _SEPARATORS.search(text) else text.split()
-        if _RUN.search(text):
+            if _SEPARATORS.search(text):
+                return None
+            if text.isascii() or not _BEYOND.search(text):
+                text = text.lower()
+            return _STOP.sub(r" \g<0>", text).split()
+        if _RUN.search(text) or "\0" in text:
             return None
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if text else []
-
-    def _split_ends(self, chunks: set[str]) -> dict[str, tuple[str, str]]:
-        """Chunks that are a word and a stop or comma, which every vocabulary here keeps apart, or a word in capitals where case is dropped."""
-        split, drops_case = {}, self.normalizes
-        for x in chunks:
-            end = x[-1:]
-            if end == "." or end == ",":
-                word = x[:-1]
-            elif not drops_case or x.islower():
-                continue
-            else:
-                word, end = x, ""
-            if drops_case:
-                if word.isalpha() and (word.isascii() or max(word) <= _LATIN):
-                    lower = word.lower()
-                    if len(lower) == len(word):
-                        split[x] = lower, end
-            elif word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
-                split[x] = word, end
-        return split
+        return _STOP_OR_LINE.sub("\0\\g<0>\0", text).replace(" ", "\0 ").replace("\0\0", "\0").split("\0") if text else []
+
+    def _encode_each(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 20_000):
+            out += [le32(e.ids) for e in self.tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks that are a word of plain letters each: many are encoded as one text, whose tokens tell where a word ends or starts."""
+        out: list[bytes] = []
+        between = " " if self.normalizes else ""
+        for i in range(0, len(words), 50 * TOGETHER):
+            runs = [words[j : j + TOGETHER] for j in range(i, min(i + 50 * TOGETHER, len(words)), TOGETHER)]
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast([between.join(x) for x in runs], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(self.edge[ids])
+                bounds = np.concatenate([[0], at + 1]) if self.normalizes else np.concatenate([at, [len(ids)]])
+                if len(bounds) != len(run) + 1 or bounds[0] or bounds[-1] != len(ids):
+                    out += self._encode_each(run)
+                    continue
+                raw, ends = ids.tobytes(), (4 * bounds).tolist()
+                out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
     def _learn(self, wanted: set[str]) -> tuple[dict[str, bytes], list[str]]:
         """Ids of every wanted chunk, and the new chunks too long to keep."""
@@ -87,18 +108,11 @@ class Encoder:
         for x in again:
             young[x] = old[x]
         new -= again
-        split = self._split_ends(new)
-        direct = new.difference(split)
-        words = {x for parts in split.values() for x in parts if x}
-        for x in (words - direct) & old.keys():
-            young.setdefault(x, old[x])
-        direct |= words.difference(young)
-        order = list(direct)
-        for i in range(0, len(order), 20_000):
-            some = order[i : i + 20_000]
-            young.update(zip(some, [le32(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
-        for x, (word, end) in split.items():
-            young[x] = young[word] + young[end] if end else young[word]
+        first = 0 if self.normalizes else 1
+        plain = [x for x in new if x[first:].isalpha() and (first == 0 or x[0] == " ") and (x.isascii() or max(x) <= _LATIN)]
+        young.update(zip(plain, self._encode_words(plain)))
+        others = list(new.difference(plain))
+        young.update(zip(others, self._encode_each(others)))
         return young, [x for x in new if len(x) > CACHE_CHARS]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
