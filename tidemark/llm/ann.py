@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by cosine with a forest of hash prefixes.
 
-Each tree gives a vector a long string of bits, the sides of random hyperplanes it lies on; a tree is the array of all rows sorted by
-string. A query descends in every tree to its longest matching prefix and then ascends in all trees at once, a bit at
-a time, until the rows that share the prefix, summed over the trees, are ``share`` times all rows. The rows met at that level are scored
-exactly, and each tree's best go on.
-
-How far to ascend is found from counts: rows per prefix of ``deepest`` bits, summed upwards. The arrays lie in blocks by their first
-``floor`` bits (and by hash where such a block is large), sorted, so a level's rows are one run found by binary search. A query that meets
-too few rows there (one far from a direction that most rows share) goes to all blocks of the first tree: it meets every row once.
-Data without clusters, where a fifth neighbour is hardly nearer than a hundredth, needs a large share; that is why it is a share of all rows.
+Each tree turns a vector by a random rotation and gives it a long string: the numbers and signs of its largest coordinates there, largest
+first. Near vectors share a long prefix with far better odds than sides of random planes would give them. A tree is the array of all rows sorted by string.
+A query descends in every tree to its longest matching prefix and then ascends in all trees at once, a bit at a time, until the rows that share the
+prefix, summed over the trees, are enough: the table's size to a power below one, so a larger table is read less deeply in proportion.
+
+How far to ascend is found in a bounded sample of the strings, sorted, which every task has; with few rows that is all of them. A query far
+from a direction that most rows share ascends to the root, where it meets every row once. The arrays lie in blocks by their first bits, as many as
+the table's size asks for (a block with very many equal prefixes is split by hash). In them vectors take a byte a component; each tree's best for a query go
+on, and of those the nearest are scored again on the original vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,75 +22,150 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import vectors
-from tidemark.llm.shared import cut
-
-#: Bits of a tree's string.
-BITS = 48
-
-
-def hash_strings(v: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """(rows, trees): each tree's string as a number whose binary order is the string's."""
-    planes = np.random.default_rng(seed).standard_normal((trees * BITS, v.shape[1]))
-    sides = (v @ planes.T > 0).reshape(len(v), trees, BITS)
-    return sides @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+from tidemark.llm.shared import at_hash, cut, sent_small
+
+#: A string has as many symbols as fit in so many bits.
+MOST_BITS = 56
+#: Coordinates of a rotated vector at most.
+WIDEST = 64
+
+
+class Forest:
+    """The trees' rotations, drawn from a seed."""
+
+    def __init__(self, d: int, trees: int, seed: int) -> None:
+        self.d, self.trees, self.seed = d, trees, seed
+        self.wide = max(1, min(d, WIDEST))
+        self.symbol_bits = max(1, math.ceil(math.log2(2 * self.wide)))
+        self.symbols = max(1, min(self.wide, MOST_BITS // self.symbol_bits))
+        self.bits = self.symbols * self.symbol_bits
+
+    def rotations(self) -> list[np.ndarray]:
+        rng = np.random.default_rng(self.seed)
+        return [np.linalg.qr(rng.standard_normal((self.d, self.wide)))[0] for _ in range(self.trees)]
+
+    def strings(self, v: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+        """(rows, trees): each tree's string as a number whose binary order is the string's."""
+        out = np.empty((len(v), self.trees), np.int64)
+        rows = np.arange(len(v))[:, None]
+        for t, turn in enumerate(rotations):
+            y = v @ turn
+            size = np.abs(y)
+            most = np.argpartition(-size, self.symbols - 1, axis=1)[:, : self.symbols] if self.symbols < self.wide else np.tile(np.arange(self.wide), (len(v), 1))
+            most = np.take_along_axis(most, np.argsort(-size[rows, most], axis=1, kind="stable"), 1)
+            symbol = (y[rows, most] > 0).astype(np.int64) << (self.symbol_bits - 1) | most
+            key = np.zeros(len(v), np.int64)
+            for s in range(self.symbols):
+                key = key << self.symbol_bits | symbol[:, s]
+            out[:, t] = key
+        return out
+
+
+def bytes_of(v: np.ndarray) -> np.ndarray:
+    """Unit vectors with a byte a component, up to a factor of each row's own."""
+    return np.rint(v * (127 / np.abs(v).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def level_of(keys: np.ndarray, sample: np.ndarray, bits: int, enough: float) -> np.ndarray:
+    """Each query's deepest level at which its prefixes, summed over the trees, hold ``enough`` rows of ``sample`` (sorted, a row per tree); 0 without."""
+    level, open_ = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+    for bit in range(bits, 0, -1):
+        at = np.flatnonzero(open_)
+        if not len(at):
+            break
+        total = np.zeros(len(at))
+        for t, tree in enumerate(sample):
+            low = (keys[at, t] >> (bits - bit)) << (bits - bit)
+            total += np.searchsorted(tree, low + (1 << (bits - bit))) - np.searchsorted(tree, low)
+        done = at[total >= enough]
+        level[done], open_[done] = bit, False
+    return level
 
 
 def _score(a: str, b: str):
-    """Cosine in double precision, summed in the vectors' order on every row alike."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    """Cosine in double precision, summed in the vectors' order on every row alike; scaled first, so that no square overflows or vanishes."""
+    unit = lambda c: F.transform(c, lambda x: x / F.array_max(F.transform(c, F.abs)))
+    dot = F.aggregate(F.zip_with(unit(a), unit(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda c: F.sqrt(F.aggregate(unit(c), F.lit(0.0), lambda s, x: s + x * x))
     return dot / (norm(a) * norm(b))
 
 
 def search(
-    rows: DataFrame, *, k: int = 5, every: int = 50, trees: int = 16, share: float = 1.0, floor: int = 3, deepest: int = 12, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", points_block: int = vectors.POINTS, queries_block: int = vectors.QUERIES
+    rows: DataFrame,
+    *,
+    k: int = 5,
+    every: int = 50,
+    trees: int = 48,
+    power: float = 0.9,
+    part: float = 0.9,
+    sample_rows: int = 16_384,
+    seed: int = 11,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    points_block: int = vectors.POINTS,
+    queries_block: int = vectors.QUERIES,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id ``every`` divides the k nearest found, ties to smaller ids.
 
-    Vectors that are null, empty, all zero, hold nulls or non-finite numbers or have another length than most take no part, nor do rows
-    without an id. Of rows that repeat an id the least vector counts; equal vectors of several ids all appear. Fewer candidates than k
-    give fewer rows, an empty table none. Other columns are ignored.
+    A query ascends until it meets ``part`` * n ** ``power`` rows of n, summed over the trees, and k + 1 rows in every tree on average at least.
+
+    Vectors that are null, empty, all zero or hold nulls or non-finite numbers take no part, nor do rows without an id; shorter vectors count as
+    if zeros followed. Rows alike in id and vector count once; rows that repeat an id with other vectors are rows of their own. Equal vectors of several
+    ids all appear. Fewer candidates than k give fewer rows, an empty table none. Other columns are ignored.
     """
     keep, listed = k + 1, k + 4
-    clean = vectors.valid(rows, id_col, vector_col).filter(F.exists("v", lambda x: x != 0))
-    d = vectors.usual_length(clean)
-    clean = cut(clean.filter(F.size("v") == d))
+    clean, d = vectors.padded(vectors.valid(rows, id_col, vector_col).filter(F.exists("v", lambda x: x != 0)))
+    clean = cut(clean)
     points = cut(vectors.distinct_vectors(clean, keep))
     n = points.count()
-    query_rows = clean.filter(F.col("id") % every == 0)
-    queries = query_rows.select(F.col("v").alias("qv")).distinct().join(points, F.col("qv") == F.col("v")).select("rep", "v")
+    owners, queries = vectors.queries_of(clean, points, every)
+    owners, queries = cut(owners), cut(queries)
+    forest = Forest(d, trees, seed)
+    bits = forest.bits
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        v = v / np.abs(v).max(axis=1, keepdims=True)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotations = None
         for batch in batches:
+            rotations = rotations or forest.rotations()
             for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                v = vectors.matrix(part.column("v"), d)
-                keys = hash_strings(v / np.linalg.norm(v, axis=1, keepdims=True), trees, seed)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("v"), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "v", "keys"])
-
-    hashed = lambda df: cut(df.select("rep", "v").mapInArrow(strings, "rep long, v array<double>, keys array<long>"))
-    point_keys, query_keys = hashed(points), hashed(queries)
-
-    prefix = lambda bits: F.shiftright("key", BITS - bits)
-    deep = point_keys.select(F.posexplode("keys").alias("tree", "key")).groupBy("tree", prefix(deepest).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    up = F.explode(F.sequence(F.lit(floor), F.lit(deepest)))
-    counts = deep.withColumn("level", up).groupBy("tree", "level", F.expr(f"p div cast(power(2, {deepest} - level) as long)").alias("p")).agg(F.sum("n").alias("n"))
-    asked = query_keys.select("rep", F.posexplode("keys").alias("tree", "key")).withColumn("level", up)
-    asked = asked.withColumn("p", F.expr(f"shiftright(key, {BITS} - level)"))
-    summed = asked.join(counts, ["tree", "level", "p"], "left").groupBy("rep", "level").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    enough = max(share * n, trees * min(n, 4 * listed))  # of few rows, all
-    levels = summed.groupBy("rep").agg(F.coalesce(F.max(F.when(F.col("n") >= F.lit(enough), F.col("level"))), F.lit(0)).alias("level"))
-
-    n_queries = max(1, -(-query_keys.count() // queries_block))
-    parts = deep.groupBy("tree", F.expr(f"p div {1 << (deepest - floor)}").alias("block")).agg(F.ceil(F.sum("n") / points_block).cast("int").alias("parts"))
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
-    # A row per tree and block: small, and Spark sees its size before it is sent.
-    placed = point_keys.select("rep", "v", F.posexplode("keys").alias("tree", "key")).withColumn("block", prefix(floor)).join(parts, ["tree", "block"])
-    point_side = placed.select("tree", "block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), chunks.alias("chunk"), F.lit(1).alias("side"), "key", "rep", "v", F.lit(0).alias("level"))
-    sent = query_keys.join(levels, "rep").select("rep", "v", "level", F.posexplode("keys").alias("tree", "key")).filter((F.col("level") >= floor) | (F.col("tree") == 0))
-    all_blocks = F.sequence(F.lit(0), F.lit((1 << floor) - 1)).cast("array<long>")
-    sent = sent.withColumn("block", F.explode(F.when(F.col("level") < floor, all_blocks).otherwise(F.array(prefix(floor))))).join(parts, ["tree", "block"])
-    query_side = sent.select("tree", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(n_queries)).cast("int").alias("chunk"), F.lit(0).alias("side"), "key", "rep", "v", "level")
+                part_ = batch.slice(i, 2048)
+                v = unit(vectors.matrix(part_.column("v"), d))
+                small = [x.tobytes() for x in bytes_of(v)]
+                yield pa.RecordBatch.from_arrays([part_.column("rep"), pa.array(small, pa.binary()), pa.array(list(forest.strings(v, rotations)), pa.list_(pa.int64()))], names=["rep", "small", "keys"])
+
+    point_keys = cut(points.select("rep", "v").mapInArrow(strings, "rep long, small binary, keys array<long>"))
+    some = point_keys.select("keys").filter(at_hash(3, "rep") < sample_rows / max(1, n)).toArrow() if n else None
+    sample = np.sort(vectors.matrix(some.column(0).combine_chunks(), trees).T, axis=1) if n else np.empty((trees, 0), np.int64)
+    enough = max(part * n**power, trees * min(keep, n)) * sample.shape[1] / max(1, n)
+    strung = rows.sparkSession.sparkContext.broadcast(sample)
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = vectors.matrix(batch.column("keys"), trees)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(level_of(keys, strung.value, bits, enough), pa.int32())], names=["rep", "small", "keys", "level"])
+
+    query_keys = cut(point_keys.join(queries.select("rep"), "rep", "left_semi").mapInArrow(levels, "rep long, small binary, keys array<long>, level int"))
+
+    depth = min(bits, max(0, math.ceil(math.log2(max(1, n / points_block)))))
+    by_tree = lambda df, *more: df.select("rep", "small", *more, F.posexplode("keys").alias("tree", "key")).withColumn("block", F.shiftright("key", bits - depth))
+    # At the root one tree's blocks hold every row once; between the root and the blocks' depth those below the prefix are asked.
+    sent = by_tree(query_keys, "level").filter("level > 0 or tree = 0")
+    low = F.expr(f"shiftleft(shiftright(block, greatest({depth} - level, 0)), greatest({depth} - level, 0))")
+    sent = sent.withColumn("block", F.explode(F.sequence(low, low + F.expr(f"shiftleft(1L, greatest({depth} - level, 0))") - 1))) if depth else sent
+    placed = by_tree(point_keys)
+    number = lambda df, size, name: df.groupBy("tree", "block").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    # A row per tree and block: small, and its size is checked before it is sent.
+    sizes = cut(number(placed, points_block, "parts").join(number(sent, queries_block, "chunks"), ["tree", "block"]))
+    sizes = sent_small(sizes)
+    every_one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one_of = lambda c, seed_: F.pmod(F.xxhash64("rep", F.lit(seed_)), F.col(c)).cast("int")
+    point_side = placed.join(sizes, ["tree", "block"]).withColumn("part", one_of("parts", 5)).withColumn("chunk", every_one("chunks")).select("tree", "block", "part", "chunk", F.lit(1).alias("side"), "key", "rep", "small", F.lit(0).alias("level"))
+    query_side = sent.join(sizes, ["tree", "block"]).withColumn("part", every_one("parts")).withColumn("chunk", one_of("chunks", 4)).select("tree", "block", "part", "chunk", F.lit(0).alias("side"), "key", "rep", "small", "level")
     keys = ["tree", "block", "part", "chunk"]
     both = point_side.unionByName(query_side).repartition(*keys).sortWithinPartitions(*keys, "side", "key", "rep")
 
@@ -99,24 +175,28 @@ def search(
             m = int((side == 0).sum())
             if not m or m == len(side):
                 continue
-            v = vectors.matrix(t.column("v").combine_chunks(), d)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            shift = BITS - t.column("level").to_numpy()[:m].astype(np.int64)
+            v = np.frombuffer(b"".join(t.column("small").to_pylist()), np.int8).reshape(-1, d).astype(np.float32)
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            shift = bits - t.column("level").to_numpy()[:m].astype(np.int64)
             lo = np.searchsorted(key[m:], (key[:m] >> shift) << shift, side="left")
             hi = np.searchsorted(key[m:], ((key[:m] >> shift) + 1) << shift, side="left")
             order = np.lexsort((hi, lo))
             turns = np.flatnonzero(np.r_[True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0), True])
+            found: list[list[np.ndarray]] = [[], [], []]
             for a, b in zip(turns, turns[1:]):
                 run = order[a:b]
                 i, j = int(lo[run[0]]), int(hi[run[0]])
-                for at in range(0, len(run) if j > i else 0, 512):
-                    some = run[at : at + 512]
-                    s = v[some] @ v[m + i : m + j].T
+                for first in range(0, len(run) if j > i else 0, 512):
+                    mine = run[first : first + 512]
+                    s = v[mine] @ v[m + i : m + j].T
                     best = vectors.top_columns(s, listed)
-                    yield pa.RecordBatch.from_pydict({"query_rep": np.repeat(rep[some], best.shape[1]), "rep": rep[m + i + best].ravel(), "near": np.take_along_axis(s, best, 1).ravel()})
+                    for to, x in zip(found, (np.repeat(rep[mine], best.shape[1]), rep[m + i + best].ravel(), np.take_along_axis(s, best, 1).ravel())):
+                        to.append(x)
+            if found[0]:
+                yield pa.RecordBatch.from_pydict(dict(zip(("query_rep", "rep", "near"), (np.concatenate(x) for x in found))))
 
-    found = both.mapInArrow(nearest, "query_rep long, rep long, near double").groupBy("query_rep", "rep").agg(F.max("near").alias("near"))
+    found = both.mapInArrow(nearest, "query_rep long, rep long, near float").groupBy("query_rep", "rep").agg(F.max("near").alias("near"))
     few = found.withColumn("turn", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep"))).filter(F.col("turn") <= listed)
     with_vectors = few.join(points.select("rep", F.col("v").alias("pv")), "rep").join(queries.select(F.col("rep").alias("query_rep"), F.col("v").alias("qv")), "query_rep")
     best = with_vectors.select("query_rep", "rep", _score("qv", "pv").alias("score"))
-    return vectors.results(best, points, query_rows, k)
+    return vectors.results(best, points, owners, k)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import cut, new_dir
+from tidemark.llm.shared import BROADCAST_ROWS, cut, new_dir, sent_small
 from tidemark.llm.tokens import slices
 
 #: Multipliers of a shingle's words, and those of the finishing mix (odd 64-bit numbers).
@@ -33,8 +33,6 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 FAN = 512
 #: Shared shingles of a class that are looked back on.
 BEFORE = 4
-#: Rows of a side that is sent to every executor at most.
-BROADCAST_ROWS = 1_000_000
 
 
 class _WordHashes(dict):
@@ -137,11 +135,6 @@ def _profiles(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndar
     return docs.mapInArrow(run, f"doc_id {doc_type}, text_key long, n long, cid long, gid long, prefix array<long>")
 
 
-def _sent_small(df: DataFrame) -> DataFrame:
-    """Marked for every executor while its size, counted first, allows that; otherwise Spark joins it by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _likely(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose prefixes share enough.
 
@@ -149,7 +142,7 @@ def _likely(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     prefixes share at least the needed overlap less the longer rest.
     """
     ids = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    have = profiles.select("cid", "n", "prefix").join(_sent_small(ids), "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    have = profiles.select("cid", "n", "prefix").join(sent_small(ids), "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     side = lambda c: have.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     need = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
@@ -292,11 +285,11 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     several = judged.filter("stays and times > 1").select("_tm_id", "_tm_key")
     go = judged.filter("not stays").select("_tm_id", "_tm_key").union(several)
     # What goes is less than what stays, and texts stay where they are unless even that is beyond a broadcast.
-    go = _sent_small(go)
+    go = sent_small(go)
     kept = docs.join(go, same(go), "left_anti")
     if several.isEmpty():
         return kept
-    several = _sent_small(several)
+    several = sent_small(several)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     first = Window.partitionBy("doc_id", "text").orderBy(*(F.col(f"`{c}`") for c in others) if others else [F.lit(0)])
     again = docs.join(several, same(several), "left_semi").withColumn("_tm_turn", F.row_number().over(first)).filter("_tm_turn = 1")

@@ -7,7 +7,6 @@ which it has a known n-gram, then by shorter ones, down to single letters. A doc
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,14 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.shared import LETTERS_RE, cut
+from tidemark.llm.shared import at_hash, cut, letter_words, sent_small
 from tidemark.llm.tokens import slices
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Words of evidence after which the score's certainty grows no more.
 FULL_WORDS = 40
-CACHE_WORDS = 300_000
+#: Numbers that a worker keeps of words met before: a row of all languages each.
+CACHE_CELLS = 2_000_000
 
 
 def n_grams(word: str, order: int) -> list[str]:
@@ -32,36 +32,58 @@ def n_grams(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)] if order > 1 else list(word)
 
 
+class Counts:
+    """How often each key (a word, an n-gram) occurs in each language that has it; ``kind`` groups keys that share totals."""
+
+    def __init__(self, found: pa.Table, n_languages: int, kind) -> None:
+        """``found``: language (a number), key, n."""
+        key = found.column("key").combine_chunks().dictionary_encode()
+        number, language = key.indices.to_numpy(zero_copy_only=False), found.column("language").to_numpy()
+        order = np.lexsort((language, number))
+        self.keys = key.dictionary.to_pylist()
+        self.language, n = language[order].astype(np.int32), found.column("n").to_numpy()[order]
+        self.start = np.searchsorted(number[order], np.arange(len(self.keys) + 1))
+        # A key's log frequency in a language is that of a key not seen there, and this much more.
+        self.more = np.log(2.0 * n + 1).astype(np.float32)
+        self.kinds = [kind(x) for x in self.keys]
+        per_entry = np.repeat(np.array(self.kinds, np.int64), np.diff(self.start))
+        self.unseen = {}
+        for k in set(self.kinds):
+            mine = per_entry == k
+            totals = np.bincount(self.language[mine], n[mine], n_languages)
+            self.unseen[k] = np.log(0.5 / (totals + 0.5 * self.kinds.count(k) + 1))
+        self.number: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"number": {}}
+
+    def row(self, key: str) -> np.ndarray | None:
+        """The key's log frequency in every language; nothing if none has it."""
+        if not self.number:
+            self.number = {x: i for i, x in enumerate(self.keys)}
+        i = self.number.get(key)
+        if i is None:
+            return None
+        row = self.unseen[self.kinds[i]].copy()
+        a, b = self.start[i], self.start[i + 1]
+        row[self.language[a:b]] += self.more[a:b]
+        return row
+
+
 class Model:
     """Log frequencies of words and n-grams by language."""
 
-    def __init__(self, languages: list[str], words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]], word_totals: dict[str, int], gram_totals: dict[tuple[str, int], int]) -> None:
+    def __init__(self, languages: list[str], words: pa.Table, grams: pa.Table) -> None:
         self.languages = languages
-        self.words = self._table(words, np.array([word_totals.get(x, 0) for x in languages], float), len(words))
-        self.grams: dict[str, np.ndarray] = {}
-        for order in ORDERS:
-            some = {g: c for g, c in grams.items() if len(g) == order}
-            self.grams |= self._table(some, np.array([gram_totals.get((x, order), 0) for x in languages], float), len(some))
-
-    def _table(self, counts: dict[str, dict[str, int]], totals: np.ndarray, size: int) -> dict[str, np.ndarray]:
-        floor = np.log(0.5 / (totals + 0.5 * size + 1))
-        per = {x: i for i, x in enumerate(self.languages)}
-        table = {}
-        for key, by_language in counts.items():
-            row = floor.copy()
-            for language, n in by_language.items():
-                i = per[language]
-                row[i] = math.log((n + 0.5) / (totals[i] + 0.5 * size + 1))
-            table[key] = row
-        return table
+        self.words, self.grams = Counts(words, len(languages), lambda _: 0), Counts(grams, len(languages), len)
 
     def word(self, word: str) -> np.ndarray:
         """Log scores of a word in every language; of a word of unknown letters all alike."""
-        known = self.words.get(word)
+        known = self.words.row(word)
         if known is not None:
             return known
         for order in ORDERS:
-            rows = [self.grams[g] for g in n_grams(word, order) if g in self.grams]
+            rows = [r for g in n_grams(word, order) if (r := self.grams.row(g)) is not None]
             if rows:
                 return np.mean(rows, axis=0)
         return np.zeros(len(self.languages))
@@ -82,7 +104,7 @@ class Scorer:
     def start(self, texts: list[list[str]]) -> None:
         wanted = set().union(*texts)
         new = wanted.difference(self.number)
-        if len(self.number) + len(new) > CACHE_WORDS:
+        if (len(self.number) + len(new)) * len(self.model.languages) > CACHE_CELLS:
             self.number, self.rows, new = {}, [], wanted
         self._learn(new)
         self.table = np.array(self.rows) if self.rows else np.empty((0, len(self.model.languages)))
@@ -103,28 +125,30 @@ class Scorer:
         return self.model.languages[best], float(certain[best] / certain.sum()), odds, share
 
 
-def fit(docs: DataFrame, *, docs_per_language: int = 1_500, max_languages: int = 200, words_per_language: int = 40_000, grams_per_language: int = 40_000) -> Model:
-    """Learns from text and lang of at most ``docs_per_language`` documents of each of the ``max_languages`` most frequent languages.
+def fit(docs: DataFrame, *, docs_per_language: int = 1_500, max_docs: int = 300_000, keys_per_language: int = 40_000, max_keys: int = 400_000) -> Model:
+    """Learns every language of the table, each from at most ``docs_per_language`` of its documents and ``max_docs`` divided by all languages.
 
-    Rows with null text, lang or id teach nothing. Of a language its most frequent words and n-grams are kept, so the model's size is bounded.
+    Rows with null text or lang teach nothing; equal texts of a language teach once. Of a language its most frequent words and n-grams are kept,
+    ``keys_per_language`` of either at most and ``max_keys`` divided by all languages, so the model's size is bounded whatever the number of languages.
     """
-    rows = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    by_language = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id")
-    ids = rows.select("doc_id", "lang").join(F.broadcast(top), "lang").withColumn("turn", F.row_number().over(by_language)).filter(F.col("turn") <= docs_per_language)
-    ids = cut(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct())
-    # At most docs_per_language times max_languages ids.
-    texts = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("text", "lang")
+    rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    n_languages = max(1, counts.count())
+    most = max(1, min(docs_per_language, max_docs // n_languages))
+    # A threshold on the hash leaves about twice as many as asked for, whatever a language's size; only those are shuffled and ranked.
+    near = rows.join(sent_small(counts), "lang").filter(at_hash(29, "doc_id", "text") < 2.0 * most / F.col("rows"))
+    by_language = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(29)), "text")
+    texts = near.select("text", "lang").distinct().withColumn("turn", F.row_number().over(by_language)).filter(F.col("turn") <= most).select("text", "lang")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, Counter()).update(LETTERS_RE.findall(text.lower()))
-            for lang, c in by.items():
+                by.setdefault(lang, Counter()).update(letter_words(text))
+            for lang, c in ((lang, c) for lang, c in by.items() if c):
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "key": list(c), "n": list(c.values())})
 
-    words = cut(texts.mapInArrow(count_words, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    words = cut(texts.repartition(F.xxhash64("text")).mapInArrow(count_words, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,29 +157,20 @@ def fit(docs: DataFrame, *, docs_per_language: int = 1_500, max_languages: int =
                 for order in ORDERS:
                     for g in n_grams(word, order):
                         c[lang, g] += n
-            yield pa.RecordBatch.from_pydict({"lang": [x[0] for x in c], "key": [x[1] for x in c], "n": list(c.values())})
+            if c:
+                yield pa.RecordBatch.from_pydict({"lang": [x[0] for x in c], "key": [x[1] for x in c], "n": list(c.values())})
 
     grams = words.mapInArrow(cut_up, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    kept = lambda df, n: df.withColumn("turn", F.row_number().over(most)).filter(F.col("turn") <= n).select("lang", "key", "n").toArrow()
-
-    def by_key(found: pa.Table) -> dict[str, dict[str, int]]:
-        out: dict[str, dict[str, int]] = {}
-        for lang, key, n in zip(*(found.column(i).to_pylist() for i in range(3))):
-            out.setdefault(key, {})[lang] = n
-        return out
-
-    word_counts = by_key(kept(words.filter("n > 1"), words_per_language))
-    gram_counts = by_key(kept(grams.filter("n > 1"), grams_per_language))
-    word_totals: Counter = Counter()
-    for by in word_counts.values():
-        word_totals.update(by)
-    gram_totals: Counter = Counter()
-    for g, by in gram_counts.items():
-        for lang, n in by.items():
-            gram_totals[lang, len(g)] += n
-    languages = sorted({r["lang"] for r in top.collect()})
-    return Model(languages, word_counts, gram_counts, word_totals, gram_totals)
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    numbered = docs.sparkSession.createDataFrame(list(enumerate(languages)), "language int, lang string")
+    keys = max(1, min(keys_per_language, max_keys // n_languages))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
+
+    def kept(df: DataFrame) -> pa.Table:
+        top = df.filter("n > 1").withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= keys)
+        return top.join(sent_small(numbered), "lang").select("language", "key", "n").toArrow()
+
+    return Model(languages, kept(words), kept(grams))
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", named_col: str | None = None, with_row: bool = False) -> DataFrame:
@@ -179,7 +194,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             at = 0
             for some in slices(batch.column(1).to_pylist()):
-                texts = [LETTERS_RE.findall((t or "").lower()) for t in some]
+                texts = [letter_words(t) for t in some]
                 scorer.start(texts)
                 part = batch.slice(at, len(some))
                 at += len(some)

@@ -89,14 +89,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op7_nearest": op7_nearest, "op9_top_k": op9_top_k}
 ORACLE_SQL["op9_top_k"] = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
   from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+  select q.vec_id as query_id, q.v as query, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and (q.vec_id <> c.vec_id or q.v <> c.v)),
 ranked as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+  select *, row_number() over (partition by query_id, query order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5"""
 
 

@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A word: everything but ASCII white space. Java, DuckDB and Python read this pattern alike.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD)
-#: Only A-Z become lower case, so that every engine agrees.
-LOWER_AZ = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
-#: A run of letters.
-LETTERS_RE = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of numerals such as fractions, which Python's word class holds as well.
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Rows of a side that is sent to every executor at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def letter_words(text: str | None) -> list[str]:
+    """The runs of letters in lower case; numerals of all kinds stand between words."""
+    words = _LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return " ".join(w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w) for w in words).split()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one is set where a local session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = have.get() if have.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         if not have.isDefined():
             spark.sparkContext.setCheckpointDir(at)
@@ -43,6 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def at_hash(seed: int, *columns: str) -> Column:
+    """A number in [0, 1) from the columns' hash."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def sent_small(df: DataFrame) -> DataFrame:
+    """Marked for every executor while its size, counted first, allows that; otherwise Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null for a null id)."""
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % n

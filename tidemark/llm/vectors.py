@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of candidates, and of a block of queries.
@@ -18,25 +18,33 @@ POINTS, QUERIES = 16_384, 32_768
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>): rows whose id and vector are not null and whose components are all finite.
+    """(id, v array<double>): rows whose id and vector are not null and whose components are all finite; rows alike in both count once."""
+    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    return rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).distinct()
 
-    Of several rows with one id the least vector counts.
-    """
-    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
-    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
 
-
-def usual_length(rows: DataFrame) -> int:
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return top[0]["d"] if top else 0
+def padded(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Shorter vectors with zeros up to the longest one's length, and that length: their products and norms stay."""
+    d = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("v")))), d
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """(rep, ids, v): each distinct vector with its ``keep`` least ids, rep being the least. Ranks are limited before the shuffle."""
+    """(rep, ids, v): each distinct vector with its ``keep`` least ids and a number of its own. Ranks are limited before the shuffle."""
     # Of a vector that a third of all rows hold only ``keep`` rows leave each task.
     ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("turn") <= keep)
-    return ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v")
+    return ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("rep"), "ids", "v")
+
+
+def queries_of(rows: DataFrame, points: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of every query row, and (rep, v) of the distinct vectors among them."""
+    owners = rows.filter(F.col("id") % every == 0).withColumnRenamed("v", "qv").join(points, F.col("qv") == F.col("v")).select("id", "rep")
+    return owners, points.join(owners.select("rep").distinct(), "rep").select("rep", "v")
+
+
+def spread(rep: str, parts: int, seed: int) -> Column:
+    """A block number from the hash of a vector's number."""
+    return F.pmod(F.xxhash64(rep, F.lit(seed)), F.lit(parts)).cast("int")
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -72,13 +80,12 @@ def top_columns(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, axis=1)[:, :k]
 
 
-def results(best: DataFrame, points: DataFrame, query_rows: DataFrame, k: int) -> DataFrame:
+def results(best: DataFrame, points: DataFrame, owners: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score from ``best`` (query_rep, rep, score): the ids of equal vectors put back, the query's own left out."""
-    owners = query_rows.join(points.select(F.col("rep").alias("query_rep"), F.col("v").alias("qv")), F.col("v") == F.col("qv")).select(F.col("id").alias("query_id"), "query_rep")
-    named = best.join(points.select("rep", "ids"), "rep").select("query_rep", "score", F.explode("ids").alias("vec_id"))
+    named = best.join(points.select("rep", "ids"), "rep").select("query_rep", "rep", "score", F.explode("ids").alias("vec_id"))
     # Of each distinct query vector no more ids than a result can name, before they meet its rows.
-    first = Window.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
+    first = Window.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id", "rep")
     named = named.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= k + 1).drop("turn")
-    met = owners.join(named, "query_rep").filter("vec_id != query_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = owners.select(F.col("id").alias("query_id"), F.col("rep").alias("query_rep")).join(named, "query_rep").filter("vec_id != query_id or rep != query_rep")
+    final = Window.partitionBy("query_id", "query_rep").orderBy(F.desc("score"), "vec_id", "rep")
     return met.withColumn("rank", F.row_number().over(final).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
