@@ -19,29 +19,50 @@ NAMED_ODDS, NAMED_SHARE = 7.0, 0.05
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; all labels teach."""
+    """Documents predicted toxic go; all labels teach.
+
+    Null and empty texts have no neighbours and stay, long texts are scored whole, repeated rows fare alike, a null id teaches nothing. No labels of one
+    kind: nothing goes. An empty table stays empty. Columns keep their values whatever their names.
+    """
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, index, with_row=True).filter("predicted = 0").select("row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those that are certainly in another language than they name."""
+    """Documents without a letter go (null and empty texts among them), and those that are certainly in another language than they name.
+
+    A null language names none. Long texts are read whole, repeated rows fare alike, ties go to the first language by name. An empty table stays
+    empty. Columns keep their values whatever their names.
+    """
     model = language.fit(docs)
     wrong = F.coalesce((F.col("named_odds") >= NAMED_ODDS) & (F.col("named_share") < NAMED_SHARE), F.lit(False))
     return language.identify(docs, model, named_col="lang", with_row=True).filter((F.col("lang_pred") != language.UNKNOWN) & ~wrong).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, once; texts without words all stay."""
+    """Of each class of near duplicates the document with the least id stays, once; texts without words all stay.
+
+    Null ids come after all others; of rows alike in id and text the first by the other columns stays. Long texts are compared whole. An
+    empty table stays empty. Names that start with ``_tm_`` are the operator's own.
+    """
     return jaccard.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents: repeated by whole epochs, the last one cut at its source's budget."""
+    """The mix's documents: repeated by whole epochs, the last one cut at its source's budget.
+
+    A null source is a source of its own. Texts without words go, as nothing of them is taken; a long text at the cut is taken in part. Rows alike at the
+    cut share what it takes. An empty table stays empty. Names that start with ``_tm_`` are the operator's own.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence of at most 2048 tokens.
+
+    A null or empty text is its end id alone, a null id stays null, a long text is cut into many pieces, repeated rows are documents of their own, other
+    columns are left out. An empty table gives no rows.
+    """
     return packing.pack(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
 
 
