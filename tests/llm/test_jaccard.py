@@ -78,6 +78,10 @@ def test_equals_brute_force(spark, seed):
 def test_odd_rows(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [(3, text), (3, text), (None, text), (5, text + " nu"), (7, None), (7, ""), (None, ""), (3, "a different text of six words"), (None, "only null ids hold this text here")]
+    rows += [(None, text + " nu xi"), (None, text + " nu xi"), (None, "other words " + "a b c d e f g h i j k l m n o p q r"), (None, "other words " + "a b c d e f g h i j k l m n o p q r s")]
+    # A row with a null id joins two that are too far apart for a link of their own.
+    rows += [(40, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 10 11"), (None, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (41, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17")]
+    assert (41, 24, 40) in brute(rows)
     assert run(spark, rows) == brute(rows)
 
 

@@ -77,11 +77,13 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def frequent_shingles(docs: DataFrame, width: int, sample_docs: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a bounded sample share, ascending, and their rank by frequency.
+    """Shingles that several documents of a sample share, ascending, and their rank by frequency.
 
-    They only order the shingles: any order gives the same links. ``most`` bounds what is collected and sent to the tasks.
+    The sample is ``sample_docs`` documents or a sixteenth of all, whichever is more. The ranks only order the shingles: any order gives the
+    same links. ``most`` bounds what is collected and sent to the tasks.
     """
     n = docs.count()
+    sample_docs = max(sample_docs, n // 16)
     part = min(1.0, sample_docs / max(1, n))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.lit(int(part * 1_000_000) + 1))
 
@@ -153,17 +155,21 @@ def _likely(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _verified(docs: DataFrame, profiles: DataFrame, places: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are at the threshold, by exact intersection of whole sets.
 
-    ``places`` names a document of each class. ``b`` is the side with many partners: they come to it in runs of FAN documents.
+    ``places`` names a document of each class by its id or, of a class whose ids are all null, by its text's hash. ``b`` is the side with many partners: they come to it in runs of FAN documents.
     """
     pairs = cut(_likely(profiles, cut(pairs), percent))
     runs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("runs"))
     to_b = pairs.join(runs, "b").select(F.col("a").alias("cid"), F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("runs")).cast("int").alias("run"), F.lit(True).alias("member"))
     own = runs.select(F.col("b").alias("cid"), F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(False).alias("member"))
-    jobs = cut(places.join(to_b.union(own), "cid").select(F.col("place").alias("doc_id"), "cid", "key", "run", "member"))
+    jobs = cut(places.join(to_b.union(own), "cid").select(F.col("place").alias("doc_id"), "place_key", "cid", "key", "run", "member"))
     # A document's text goes on once for each of its pairs as a set, which is made where the text is read.
-    per_doc = jobs.groupBy("doc_id", "cid").agg(F.collect_list(F.struct("key", "run", "member")).alias("jobs"))
+    per_doc = jobs.groupBy("doc_id", "place_key", "cid").agg(F.collect_list(F.struct("key", "run", "member")).alias("jobs"))
     small = F.broadcast(per_doc) if jobs.count() <= BROADCAST_ROWS else per_doc
-    texts = docs.select("doc_id", "text").join(small, "doc_id")
+    columns = ["text", "cid", "jobs"]
+    texts = docs.select("doc_id", "text").join(small, "doc_id").select(columns)
+    if not jobs.filter("doc_id is null").isEmpty():
+        unnamed = docs.filter("doc_id is null").dropDuplicates(["text_key"]).select("text", "text_key")
+        texts = texts.union(unnamed.join(small.filter("doc_id is null"), F.col("text_key") == F.col("place_key")).select(columns))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +185,7 @@ def _verified(docs: DataFrame, profiles: DataFrame, places: DataFrame, pairs: Da
                 if keep:
                     yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(tokens, pa.binary())], names=["cid", "jobs", "tokens"])
 
-    found = texts.select("text", "cid", "jobs").mapInArrow(sets, "cid long, jobs array<struct<key:long,run:int,member:boolean>>, tokens binary")
+    found = texts.mapInArrow(sets, "cid long, jobs array<struct<key:long,run:int,member:boolean>>, tokens binary")
     # Rows that repeat an id and a text give a set again; the links are the same.
     sent = found.select("cid", "tokens", F.explode("jobs").alias("job")).select("job.*", "cid", "tokens")
     sent = sent.repartition(F.col("key"), F.col("run")).sortWithinPartitions("key", "run", "member")
@@ -221,11 +227,11 @@ def join(
     _profiles(docs, width, percent, frequent_shingles(docs, width, sample_docs, frequent_least, frequent_most)).write.parquet(at)
     profiles = spark.read.parquet(at)
     own = profiles.filter("n > 0")
-    # A class's place is the least id that holds it; ids that are null can hold no place, so such classes link as equal sets only.
-    classes = cut(own.groupBy("gid", "cid").agg(F.min("doc_id").alias("place"), F.first("n").alias("n")))
-    places = classes.filter("place is not null").select("cid", "place")
-    members = classes.filter("place is not null").select("gid", "cid")
-    groups = own.filter("doc_id is not null").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # A class's place is the least id that holds it, or a text's hash where no id does.
+    classes = cut(own.groupBy("gid", "cid").agg(F.min("doc_id").alias("place"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("key"), F.first("n").alias("n")))
+    places = classes.select("cid", "place", F.when(F.col("place").isNull(), F.col("key")).alias("place_key"))
+    members = classes.select("gid", "cid")
+    groups = own.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     at_token = Window.partitionBy("token")
     meeting = postings.withColumn("met", F.count(F.lit(1)).over(at_token)).withColumn("head", F.min(F.struct("pos", "gid", "n")).over(at_token)).filter("met > 1").drop("met")
