@@ -27,7 +27,7 @@ from tidemark.llm.shared import at_hash, cut, letter_words
 from tidemark.llm.tokens import slices
 
 STEM = 5
-BLOCK = 64
+BLOCK = 128
 FIRST_BLOCKS = 4
 #: Chi-square of a term and the label at which its log odds count half.
 HALF_CHI2 = 30.0
@@ -83,7 +83,7 @@ class Index:
         self.run_max = np.nextafter((np.maximum.reduceat(self.value, at) if len(at) else np.empty(0)).astype(np.float32), np.float32(2))
         self.term_run = np.searchsorted(term[at], np.arange(len(names) + 1))
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.number: dict[str, int] = {}
+        self.known: Numbers | None = None
         if len(ids):
             own = np.argsort(doc, kind="stable")
             ends = np.searchsorted(doc[own], np.arange(len(ids) + 1))
@@ -91,16 +91,16 @@ class Index:
             self.steps = isotonic(votes, labels.astype(float), self.stands)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"number": {}, "names": "\n".join(self.names)}
+        return self.__dict__ | {"known": None, "names": "\n".join(self.names)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.names = state["names"].split("\n") if state["names"] else []
 
-    def numbers(self) -> dict[str, int]:
-        if not self.number:
-            self.number = {x: i for i, x in enumerate(self.names)}
-        return self.number
+    def words(self) -> Numbers:
+        """The term numbers of words, which a worker keeps from task to task."""
+        self.known = self.known or Numbers({x: i for i, x in enumerate(self.names)})
+        return self.known
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights of a text's counts by term number."""
@@ -164,9 +164,12 @@ class Index:
 class Numbers(dict):
     """The term numbers of a word and its stem; words met again are looked up once."""
 
-    def __init__(self, index: Index) -> None:
+    def __init__(self, known: dict[str, int]) -> None:
         super().__init__()
-        self.known = index.numbers()
+        self.known = known
+
+    def __bool__(self) -> bool:
+        return True
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= KNOWN_WORDS:
@@ -217,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 3_000, max_te
     """The index over at most ``max_examples`` examples of each label, in at most ``max_terms`` terms that two examples share at least.
 
     Equal texts count once. A term counts once for all examples that have it between the same words, so a family of near copies does not make its
-    chance words look like signs of its label. Words in over a twentieth of the examples that say next to nothing of the label are stop words.
+    chance words look like signs of its label. Words in over a fiftieth of the examples that say next to nothing of the label are stop words.
     """
     spark = docs.sparkSession
     chosen, count = _sample(labels, max_examples)
@@ -251,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 3_000, max_te
     chi2 = F.expr(f"{both}D * power(greatest(abs(a * ({n0}D - b) - b * ({n1}D - a)) - {both / 2}D, 0D), 2) / ({n1}D * {n0}D * (a + b) * greatest({both}D - a - b, 0.5D))")
     odds = F.abs(F.log((F.col("a") + 0.5) / n1) - F.log((F.col("b") + 0.5) / n0))
     df = df.withColumn("sure", chi2 * chi2 / (chi2 * chi2 + HALF_CHI2**2)).withColumn("says", F.greatest(F.col("sure") * odds, F.lit(1e-3)))
-    picked = df.filter((F.col("docs") <= both / 20) | (F.col("sure") >= 0.05)).orderBy(F.desc("says"), F.desc("docs"), "term").limit(max_terms)
+    picked = df.filter((F.col("docs") <= both / 50) | (F.col("sure") >= 0.05)).orderBy(F.desc("says"), F.desc("docs"), "term").limit(max_terms)
     picked = picked.select("term", F.col("says") * F.log(1 + both / F.col("docs"))).toArrow()
     names = picked.column(0).to_pylist()
     numbered = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string()), "t": pa.array(range(len(names)), pa.int32())}))
@@ -276,7 +279,7 @@ def score(docs: DataFrame, index: Index, *, threshold: float = 0.7, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spread.value
-        numbers = Numbers(model)
+        numbers = model.words()
         none = model.probability(-1.0) if len(model.ids) else 0.0
         for batch in batches:
             at = 0
