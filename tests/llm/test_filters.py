@@ -78,7 +78,7 @@ def test_scores_and_evidence_are_those_of_all_cosines(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2], "doc_id long, toxic int")
     index = toxicity.fit(docs, labels)
-    dense, number = dense_index(index), index.words().known
+    dense, number = dense_index(index), {x: i for i, x in enumerate(index.names)}
     stands = {y: sum(1 for i, _, v in rows if i % 2 and v == y) / max(1, int((index.labels == y).sum())) for y in (0, 1)}
     for r in toxicity.score(docs, index).collect():
         q, words = np.zeros(len(number)), rows[r.doc_id][1].split()

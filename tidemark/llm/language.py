@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidemark.llm.shared import at_hash, cut, letter_words, sent_small
-from tidemark.llm.tokens import slices
+from tidemark.llm.tokens import text_parts
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Words of evidence after which the score's certainty grows no more.
 FULL_WORDS = 40
 #: Numbers that a worker keeps of words met before: a row of all languages each.
-CACHE_CELLS = 2_000_000
+CACHE_CELLS = 800_000
 
 
 def n_grams(word: str, order: int) -> list[str]:
@@ -93,21 +93,24 @@ class Scorer:
     """Scores documents in a worker; words met again are not cut up again."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.number, self.rows = model, {}, []
+        self.model, self.number = model, {}
         self.at = {x: i for i, x in enumerate(model.languages)}
-
-    def _learn(self, words) -> None:
-        for w in words:
-            self.number[w] = len(self.rows)
-            self.rows.append(self.model.word(w))
+        self.table = np.empty((1024, len(model.languages)))
 
     def start(self, texts: list[list[str]]) -> None:
+        """A row of scores for every word of the texts."""
         wanted = set().union(*texts)
         new = wanted.difference(self.number)
         if (len(self.number) + len(new)) * len(self.model.languages) > CACHE_CELLS:
-            self.number, self.rows, new = {}, [], wanted
-        self._learn(new)
-        self.table = np.array(self.rows) if self.rows else np.empty((0, len(self.model.languages)))
+            self.number, new = {}, wanted
+        n = len(self.number)
+        if n + len(new) > len(self.table):
+            larger = np.empty((2 * (n + len(new)), self.table.shape[1]))
+            larger[:n] = self.table[:n]
+            self.table = larger
+        for i, w in enumerate(new, n):
+            self.number[w] = i
+            self.table[i] = self.model.word(w)
 
     def score(self, words: list[str], named: str | None = None) -> tuple[str, float, float | None, float | None]:
         """The language, its share of the certainty, and against the named one: its log odds, and the named one's share of the words' evidence between the two."""
@@ -183,24 +186,24 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     by name. Long texts are read whole, repeated rows score alike, other columns are ignored, an empty table gives no rows.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
     named = F.col(named_col) if named_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), named.alias("named"), *row)
+    # The text goes to the workers once, within the row or by itself.
+    sent = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if with_row else F.col(text_col).alias("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), named.alias("named"), sent)
     added = [StructField(n, DoubleType()) for n in ("score", "named_odds", "named_share")]
-    schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), *added, *rows.schema.fields[3:]])
+    schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), *added, *([rows.schema["row"]] if with_row else [])])
+    at = docs.columns.index(text_col)
+    texts_of = (lambda part: part.column(2).field(at)) if with_row else (lambda part: part.column(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(spread.value)
         for batch in batches:
-            at = 0
-            for some in slices(batch.column(1).to_pylist()):
+            for part, some in text_parts(batch, texts_of):
                 texts = [letter_words(t) for t in some]
                 scorer.start(texts)
-                part = batch.slice(at, len(some))
-                at += len(some)
-                found = [scorer.score(w, n) if w and scorer.model.languages else (UNKNOWN, 0.0, None, None) for w, n in zip(texts, part.column(2).to_pylist())]
+                found = [scorer.score(w, n) if w and scorer.model.languages else (UNKNOWN, 0.0, None, None) for w, n in zip(texts, part.column(1).to_pylist())]
                 numbers = [pa.array([x[i] for x in found], pa.float64()) for i in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), *numbers, *part.columns[3:]], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), *numbers, *part.columns[2 + (not with_row) :]], names=schema.fieldNames())
 
     out = rows.mapInArrow(run, schema)
     return out if named_col else out.drop("named_odds", "named_share")

@@ -15,9 +15,10 @@ import sys
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks that a worker keeps, in two generations: a full one becomes the old one, from which what is met again comes back.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
 #: New words that go through the tokenizer as one text.
@@ -178,3 +179,12 @@ def slices(rows: list, chars: int = 4 << 20, size=lambda x: len(x or "")) -> Ite
             run, n = [], 0
     if run:
         yield run
+
+
+def text_parts(batch: pa.RecordBatch, texts) -> Iterable[tuple[pa.RecordBatch, list]]:
+    """A batch's rows in runs of about four million characters, each with what ``texts`` finds in it, so that no step holds a whole batch's strings."""
+    for i in range(0, batch.num_rows, 1024):
+        part, at = batch.slice(i, 1024), 0
+        for some in slices(texts(part).to_pylist()):
+            yield part.slice(at, len(some)), some
+            at += len(some)

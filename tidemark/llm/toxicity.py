@@ -24,15 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidemark.llm.shared import at_hash, cut, letter_words
-from tidemark.llm.tokens import slices
+from tidemark.llm.tokens import text_parts
 
 STEM = 5
 BLOCK = 128
 FIRST_BLOCKS = 4
 #: Chi-square of a term and the label at which its log odds count half.
 HALF_CHI2 = 30.0
-#: Words that a worker remembers the terms of.
-KNOWN_WORDS = 500_000
 EVIDENCE = (("score", DoubleType()), ("neighbours", ArrayType(LongType())), ("cosines", ArrayType(DoubleType())))
 
 
@@ -83,7 +81,7 @@ class Index:
         self.run_max = np.nextafter((np.maximum.reduceat(self.value, at) if len(at) else np.empty(0)).astype(np.float32), np.float32(2))
         self.term_run = np.searchsorted(term[at], np.arange(len(names) + 1))
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.known: Numbers | None = None
+        self.number: dict[str, int] = {}
         if len(ids):
             own = np.argsort(doc, kind="stable")
             ends = np.searchsorted(doc[own], np.arange(len(ids) + 1))
@@ -91,16 +89,25 @@ class Index:
             self.steps = isotonic(votes, labels.astype(float), self.stands)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": None, "names": "\n".join(self.names)}
+        return self.__dict__ | {"number": {}, "names": "\n".join(self.names)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.names = state["names"].split("\n") if state["names"] else []
 
-    def words(self) -> Numbers:
-        """The term numbers of words, which a worker keeps from task to task."""
-        self.known = self.known or Numbers({x: i for i, x in enumerate(self.names)})
-        return self.known
+    def counts(self, text: str | None) -> dict[int, int]:
+        """How often each term is in a text, by its number."""
+        if not self.number:
+            self.number = {x: i for i, x in enumerate(self.names)}
+        number, out = self.number.get, {}
+        for word, n in Counter(letter_words(text)).items():
+            t = number(word)
+            if t is not None:
+                out[t] = out.get(t, 0) + n
+            t = number(word[:STEM] + "*") if len(word) > STEM else None
+            if t is not None:
+                out[t] = out.get(t, 0) + n
+        return out
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights of a text's counts by term number."""
@@ -161,30 +168,6 @@ class Index:
         return self.probability(self.vote(ids, cosines)), self.ids[ids], cosines
 
 
-class Numbers(dict):
-    """The term numbers of a word and its stem; words met again are looked up once."""
-
-    def __init__(self, known: dict[str, int]) -> None:
-        super().__init__()
-        self.known = known
-
-    def __bool__(self) -> bool:
-        return True
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = tuple(self.known[x] for x in (word, stem(word)) if x in self.known)
-        return value
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for word, n in Counter(letter_words(text)).items():
-            for t in self[word]:
-                out[t] = out.get(t, 0) + n
-        return out
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y to x, each level drawn to the mean by one example, and a hundredth of x kept so that no two votes score alike."""
     order = np.argsort(x, kind="stable")
@@ -273,25 +256,24 @@ def score(docs: DataFrame, index: Index, *, threshold: float = 0.7, id_col: str
     both labels every score is 0.
     """
     spread = docs.sparkSession.sparkContext.broadcast(index)
-    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
-    schema = StructType([rows.schema["doc_id"], *(StructField(n, t) for n, t in EVIDENCE), *rows.schema.fields[2:]])
+    # The text goes to the workers once, within the row or by itself.
+    sent = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if with_row else F.col(text_col).alias("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), sent)
+    schema = StructType([rows.schema["doc_id"], *(StructField(n, t) for n, t in EVIDENCE), *([rows.schema["row"]] if with_row else [])])
+    at = docs.columns.index(text_col)
+    texts = (lambda part: part.column(1).field(at)) if with_row else (lambda part: part.column(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spread.value
-        numbers = model.words()
         none = model.probability(-1.0) if len(model.ids) else 0.0
         for batch in batches:
-            at = 0
-            for some in slices(batch.column(1).to_pylist()):
+            for part, some in text_parts(batch, texts):
                 out = []
                 for text in some:
-                    counts = numbers.counts(text)
+                    counts = model.counts(text)
                     out.append(model.score(counts) if counts else (none, [], []))
                 c = list(zip(*out))
-                part = batch.slice(at, len(some))
-                at += len(some)
                 found_columns = [pa.array(c[0], pa.float64()), pa.array(c[1], pa.list_(pa.int64())), pa.array(c[2], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *found_columns, *part.columns[2:]], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), *found_columns, *part.columns[1 + (not with_row) :]], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
