@@ -39,7 +39,7 @@ class _WordHashes(dict):
     """Words' hashes; the most recent are kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

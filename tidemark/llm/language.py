@@ -23,8 +23,10 @@ UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Words of evidence after which the score's certainty grows no more.
 FULL_WORDS = 40
+#: Numbers of a model's table up to which a worker spreads it over all languages, for speed.
+SPREAD_CELLS = 4_000_000
 #: Numbers that a worker keeps of words met before: a row of all languages each.
-CACHE_CELLS = 800_000
+CACHE_CELLS = 1_000_000
 
 
 def n_grams(word: str, order: int) -> list[str]:
@@ -53,21 +55,27 @@ class Counts:
             totals = np.bincount(self.language[mine], n[mine], n_languages)
             self.unseen[k] = np.log(0.5 / (totals + 0.5 * self.kinds.count(k) + 1))
         self.number: dict[str, int] = {}
+        self.spread: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"number": {}}
+        return self.__dict__ | {"number": {}, "spread": None}
+
+    def _row(self, i: int) -> np.ndarray:
+        row = self.unseen[self.kinds[i]].copy()
+        a, b = self.start[i], self.start[i + 1]
+        row[self.language[a:b]] += self.more[a:b]
+        return row
 
     def row(self, key: str) -> np.ndarray | None:
         """The key's log frequency in every language; nothing if none has it."""
         if not self.number:
             self.number = {x: i for i, x in enumerate(self.keys)}
+            if self.keys and len(self.keys) * len(self._row(0)) <= SPREAD_CELLS:
+                self.spread = np.array([self._row(i) for i in range(len(self.keys))])
         i = self.number.get(key)
         if i is None:
             return None
-        row = self.unseen[self.kinds[i]].copy()
-        a, b = self.start[i], self.start[i + 1]
-        row[self.language[a:b]] += self.more[a:b]
-        return row
+        return self._row(i) if self.spread is None else self.spread[i]
 
 
 class Model:
@@ -85,7 +93,7 @@ class Model:
         for order in ORDERS:
             rows = [r for g in n_grams(word, order) if (r := self.grams.row(g)) is not None]
             if rows:
-                return np.mean(rows, axis=0)
+                return sum(rows[1:], rows[0]) / len(rows)
         return np.zeros(len(self.languages))
 
 

@@ -199,7 +199,7 @@ def _sample(labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
     return ranked.filter(F.col("turn") <= most).drop("turn"), count
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 3_000, max_terms: int = 40_000, k: int = 10) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 1_500, max_terms: int = 40_000, k: int = 10) -> Index:
     """The index over at most ``max_examples`` examples of each label, in at most ``max_terms`` terms that two examples share at least.
 
     Equal texts count once. A term counts once for all examples that have it between the same words, so a family of near copies does not make its
