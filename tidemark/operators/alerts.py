@@ -9,13 +9,9 @@ from tidemark.functions.columns import alert_name, duration_seconds
 from tidemark.operators.series import over_time
 
 
-def error_ratio(steps: DataFrame) -> DataFrame:
-    return steps.withColumn("error_ratio", F.try_divide("hits", "n"))
-
-
 def latency_ratio(rows: DataFrame, keys: list[str], targets: DataFrame, value: str, at: Column) -> DataFrame:
-    """Share of rows within their service's agreement per step; ``targets`` has one row per service (service, sla_target)."""
-    return rows.join(targets, "service").groupBy(*keys, at.alias("epoch")).agg(F.try_divide(F.count_if(F.col(value) <= F.col("sla_target")), F.count(F.lit(1))).alias("good_ratio"))
+    """Share of rows within their agreement per step; ``targets`` has one row per key: ``keys``, sla_target."""
+    return rows.join(targets, keys).groupBy(*keys, at.alias("epoch")).agg(F.try_divide(F.count_if(F.col(value) <= F.col("sla_target")), F.count(F.lit(1))).alias("good_ratio"))
 
 
 def alert_rules(targets: DataFrame, keys: list[str]) -> DataFrame:

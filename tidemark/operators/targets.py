@@ -81,7 +81,6 @@ def check(targets: DataFrame, strict: bool = False) -> DataFrame:
     if strict:
         limit = limit & (F.col("sli_type") != "throughput")
     judged = seen.isNotNull() & ~limit
-    between = F.when(op == "lte", ((slo < seen) & (seen <= sla)) | ((slo <= seen) & (seen < sla))).otherwise(((sla < seen) & (seen <= slo)) | ((sla <= seen) & (seen < slo)))
     crossed = F.when(op == "lte", slo >= sla).otherwise(slo <= sla)
     rules = [
         (operator_of(F.col("sli_type")).isNotNull() & (F.col("target_op") != op), "wrong_op"),
@@ -90,7 +89,7 @@ def check(targets: DataFrame, strict: bool = False) -> DataFrame:
         (judged & (slo == seen), "slo_equals_observed"),
         (judged & (sla == seen), "sla_equals_observed"),
         (judged & (sd > 0) & (looseness(op, sla, seen, sd) > LOOSEST), "too_loose"),
-        (judged & ~between & crossed, "wrong_order"),
+        (judged & crossed, "wrong_order"),
     ]
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in rules]), lambda x: x.isNotNull())
     return targets.withColumn("violations", found)

@@ -68,7 +68,7 @@ CTE: dict[str, tuple[str, str]] = {
             when name like '%latency%' then case when direction = 'increasing' then 'latency_regression' else 'latency_improvement' end when name like '%error%' then case when direction = 'increasing' then 'error_rate_elevation' else 'error_rate_reduction' end
             when name like '%throughput%' then case when direction = 'decreasing' then 'throughput_collapse' else 'throughput_surge' end when name like '%cpu%' or name like '%memory%' then case when direction = 'increasing' then 'saturation_approach' else 'no_significant_drift' end
             when name like '%availability%' then case when direction = 'decreasing' then 'availability_drop' else 'no_significant_drift' end else 'no_significant_drift' end as first_pass_class,
-        case when measured then 'measured' else 'skipped' end as status, case when measured then null when core then 'indicator ' || name || ' not available in live or baseline data' else 'saturation data not available in live sample' end as skip_reason
+        case when measured then 'measured' else 'skipped' end as status, case when measured then null when core then 'unmeasured' else 'live_gauges_absent' end as skip_reason
         from (select *, coalesce(live_value > band_upper or live_value < band_lower, false) as breach, (band_upper - band_lower) / 2 as half from dev)"""),
     "ranked": ("drift", "select *, row_number() over (partition by service order by round(breach_magnitude, 9) desc, ord) as place from drift where band_breach"),
     "mapped": ("ranked", "select *, case first_pass_class when 'dependency_latency_regression' then 'latency_regression' when 'error_category_shift' then 'error_rate_elevation' else first_pass_class end as cls from ranked"),
@@ -182,7 +182,7 @@ ORACLE_SQL: dict[str, str] = {
     "drift_saturation": sql("drift", f"select {_DRIFT} from drift where ord in (6, 7)"),
     "drift_dependency": sql("drift", f"select {_DRIFT} from drift where ord = 8"),
     "drift_category": sql("drift", f"select {_DRIFT} from drift where ord = 9"),
-    "drift_skipped": sql("ind", """select service, name, 0.0::double as live_value, false as band_breach, 'no_significant_drift' as first_pass_class, case when core then 'indicator ' || name || ' not available in live or baseline data' else 'saturation data not available in live sample' end as skip_reason
+    "drift_skipped": sql("ind", """select service, name, 0.0::double as live_value, false as band_breach, 'no_significant_drift' as first_pass_class, case when core then 'unmeasured' else 'live_gauges_absent' end as skip_reason
         from ind where win = 'baseline' and ((service in ('svc-04', 'svc-05') and ord <= 7) or (service = 'svc-06' and ord in (6, 7))) and (core or ok)"""),
     "drift_signal": sql("signal", "select service, indicators, skipped, dominant_indicator, dominant_class, round(dominant_magnitude, 5) as dominant_magnitude, all_breached_indicators from signal"),
     "report_class": sql("report", "select service, report_class, severity, remediation_category from report"),
