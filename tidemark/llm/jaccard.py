@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import BROADCAST_ROWS, cut, new_dir, sent_small
+from tidemark.llm.shared import BROADCAST_ROWS, cut, held, new_dir, sent_small, small_batches
 from tidemark.llm.tokens import slices
 
 #: Multipliers of a shingle's words, and those of the finishing mix (odd 64-bit numbers).
@@ -45,14 +45,11 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingle_hashes(words: list[bytes], width: int = 5) -> np.ndarray:
     """The hash of every run of ``width`` words; fewer words than that are one shingle, no words none."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
     if n < 1:
         mixed = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
@@ -223,6 +220,7 @@ def join(
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     spark = docs.sparkSession
+    small_batches(spark)
     at = new_dir(spark, "shingle-profiles")
     _profiles(docs, width, percent, frequent_shingles(docs, width, sample_docs, frequent_least, frequent_most)).write.parquet(at)
     profiles = spark.read.parquet(at)

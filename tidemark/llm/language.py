@@ -7,6 +7,7 @@ which it has a known n-gram, then by shorter ones, down to single letters. A doc
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.shared import at_hash, cut, letter_words, sent_small
+from tidemark.llm.shared import at_hash, cut, held, letter_words, sent_small, small_batches
 from tidemark.llm.tokens import text_parts
 
 UNKNOWN = "und"
@@ -26,7 +27,7 @@ FULL_WORDS = 40
 #: Numbers of a model's table up to which a worker spreads it over all languages, for speed.
 SPREAD_CELLS = 4_000_000
 #: Numbers that a worker keeps of words met before: a row of all languages each.
-CACHE_CELLS = 1_000_000
+CACHE_CELLS = 500_000
 
 
 def n_grams(word: str, order: int) -> list[str]:
@@ -98,7 +99,7 @@ class Model:
 
 
 class Scorer:
-    """Scores documents in a worker; words met again are not cut up again."""
+    """Scores documents in a worker; words met again, in later tasks too, are not cut up again."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.number = model, {}
@@ -193,7 +194,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     Text that is null, empty or has no letter is ``und`` with score 0. So is every text if the model knows no language. Ties go to the first language
     by name. Long texts are read whole, repeated rows score alike, other columns are ignored, an empty table gives no rows.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    spread, name = docs.sparkSession.sparkContext.broadcast(model), f"scorer {uuid.uuid4().hex}"
     named = F.col(named_col) if named_col else F.lit(None).cast("string")
     # The text goes to the workers once, within the row or by itself.
     sent = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if with_row else F.col(text_col).alias("text")
@@ -204,7 +206,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     texts_of = (lambda part: part.column(2).field(at)) if with_row else (lambda part: part.column(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(spread.value)
+        scorer = held(name, lambda: Scorer(spread.value))
         for batch in batches:
             for part, some in text_parts(batch, texts_of):
                 texts = [letter_words(t) for t in some]

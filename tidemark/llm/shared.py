@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Rows of a side that is sent to every executor at most.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that go to a Python worker at a time, unless the session names a limit of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What this worker keeps from task to task.
+_held: dict[str, Any] = {}
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -52,6 +60,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has rows sent to Python workers by BATCH_BYTES: 10,000 rows of long texts are too much for a worker, and for the buffers beside Spark's heap."""
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps under ``name`` from task to task. It keeps one thing at a time, so that those of one job's operators don't add up."""
+    if name not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[name] = make()
+    return _held[name]
+
+
 def at_hash(seed: int, *columns: str) -> Column:
     """A number in [0, 1) from the columns' hash."""
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

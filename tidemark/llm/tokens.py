@@ -17,6 +17,8 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 
+from tidemark.llm.shared import held
+
 #: Chunks that a worker keeps, in two generations: a full one becomes the old one, from which what is met again comes back.
 CACHE_CHUNKS = 200_000
 #: Longer chunks are not kept.
@@ -41,8 +43,6 @@ _BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
 class Encoder:
     """Encodes batches of texts; one per vocabulary file and worker."""
 
-    _open: dict[str, Encoder] = {}
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
@@ -59,9 +59,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        return held(f"encoder of {path}", lambda: cls(path))
 
     def _chunks(self, text: str) -> list[str] | None:
         if _SPECIAL in text:
@@ -168,7 +166,7 @@ def le32(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def slices(rows: list, chars: int = 4 << 20, size=lambda x: len(x or "")) -> Iterable[list]:
+def slices(rows: list, chars: int = 2 << 20, size=lambda x: len(x or "")) -> Iterable[list]:
     """Runs of rows of about so many characters, so that no step holds a whole batch's tokens."""
     run, n = [], 0
     for x in rows:
@@ -182,7 +180,7 @@ def slices(rows: list, chars: int = 4 << 20, size=lambda x: len(x or "")) -> Ite
 
 
 def text_parts(batch: pa.RecordBatch, texts) -> Iterable[tuple[pa.RecordBatch, list]]:
-    """A batch's rows in runs of about four million characters, each with what ``texts`` finds in it, so that no step holds a whole batch's strings."""
+    """A batch's rows in runs of about two million characters, each with what ``texts`` finds in it, so that no step holds a whole batch's strings."""
     for i in range(0, batch.num_rows, 1024):
         part, at = batch.slice(i, 1024), 0
         for some in slices(texts(part).to_pylist()):

@@ -13,6 +13,7 @@ cosine; the share of toxic votes is turned into a probability by an isotonic fit
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tidemark.llm.shared import at_hash, cut, letter_words
+from tidemark.llm.shared import at_hash, cut, held, letter_words, small_batches
 from tidemark.llm.tokens import text_parts
 
 STEM = 5
@@ -255,7 +256,8 @@ def score(docs: DataFrame, index: Index, *, threshold: float = 0.7, id_col: str
     alike; columns of ``docs`` other than the id and text are ignored, whatever their names; an empty table gives no rows; without examples of
     both labels every score is 0.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(index)
+    small_batches(docs.sparkSession)
+    spread, name = docs.sparkSession.sparkContext.broadcast(index), f"index {uuid.uuid4().hex}"
     # The text goes to the workers once, within the row or by itself.
     sent = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if with_row else F.col(text_col).alias("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), sent)
@@ -264,7 +266,7 @@ def score(docs: DataFrame, index: Index, *, threshold: float = 0.7, id_col: str
     texts = (lambda part: part.column(1).field(at)) if with_row else (lambda part: part.column(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = spread.value
+        model = held(name, lambda: spread.value)
         none = model.probability(-1.0) if len(model.ids) else 0.0
         for batch in batches:
             for part, some in text_parts(batch, texts):
