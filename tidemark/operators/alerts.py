@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import alert_name, duration_seconds
-from tidemark.operators.series import over_time
+from tidemark.operators.series import over_time, ratio_over_time
+
+
+def latency_steps(rows: DataFrame, keys: list[str], targets: DataFrame, value: str, at: Column) -> DataFrame:
+    """Rows and those within their agreement per step."""
+    return rows.join(targets, keys).groupBy(*keys, at.alias("epoch")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) <= F.col("sla_target")).alias("hits"))
+
+
+def cpu_utilization(gauges: DataFrame, keys: list[str], value: str, at: Column) -> DataFrame:
+    """Mean utilization per step; a step without a sample has none."""
+    return gauges.filter(F.col(value).isNotNull()).groupBy(*keys, at.alias("epoch")).agg(F.avg(value).alias("cpu"))
 
 
 def latency_ratio(rows: DataFrame, keys: list[str], targets: DataFrame, value: str, at: Column) -> DataFrame:
     """Share of rows within their agreement per step; ``targets`` has one row per key: ``keys``, sla_target."""
-    return rows.join(targets, keys).groupBy(*keys, at.alias("epoch")).agg(F.try_divide(F.count_if(F.col(value) <= F.col("sla_target")), F.count(F.lit(1))).alias("good_ratio"))
+    return latency_steps(rows, keys, targets, value, at).select(*keys, "epoch", F.try_divide("hits", "n").alias("good_ratio"))
 
 
 def alert_rules(targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,13 +30,14 @@ def alert_rules(targets: DataFrame, keys: list[str]) -> DataFrame:
     return rules.withColumns({"threshold": F.round(F.col("burn_rate") * F.col("error_budget_percent") / 100, 9), "alert": alert_name(F.col("sli_name"), F.col("severity")), "status": F.lit("armed")})
 
 
-def evaluate(steps: DataFrame, rules: DataFrame, keys: list[str], value: str, windows: list[int], fires) -> DataFrame:
+def evaluate(steps: DataFrame, rules: DataFrame, keys: list[str], value: str | tuple[str, str], windows: list[int], fires) -> DataFrame:
     """Steps at which a rule's condition holds over both of its windows.
 
-    Each window length is computed once, in one sort per key; then rules, few per service, are joined. ``fires(value, rule)`` is the condition.
+    Each window length is computed once, in one sort per key; then rules, few per service, are joined. ``value`` is averaged over a window,
+    a pair (hits, rows) summed and divided. ``fires(value)`` is the condition.
     """
     for seconds in windows:
-        steps = over_time(steps, keys, value, seconds, f"w{seconds}")
+        steps = over_time(steps, keys, value, seconds, f"w{seconds}") if isinstance(value, str) else ratio_over_time(steps, keys, *value, seconds, f"w{seconds}")
     by_window = lambda c: F.coalesce(*[F.when(duration_seconds(F.col(c)) == s, F.col(f"w{s}")) for s in windows])
     met = steps.join(rules, keys).withColumns({"long_value": by_window("long_window"), "short_value": by_window("short_window")})
     return met.withColumn("firing", F.coalesce(fires(F.col("long_value")) & fires(F.col("short_value")), F.lit(False)))

@@ -93,9 +93,10 @@ def throughput(rates: DataFrame, keys: list[str], value: str = "rps") -> DataFra
 def saturation(gauges: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and p95 of cpu and memory; available if there is a sample of either."""
     means = gauges.groupBy(*keys).agg(F.coalesce(F.avg("cpu"), F.lit(0.0)).alias("cpu_mean_ratio"), F.coalesce(F.avg("mem"), F.lit(0.0)).alias("memory_mean_ratio"), ((F.count("cpu") > 0) | (F.count("mem") > 0)).alias("saturation_available"))
-    for column, name in (("cpu", "cpu_p95_ratio"), ("mem", "memory_p95_ratio")):
-        means = means.join(ranked_values(gauges, keys, column, {name: (0.95, "ceil")}).drop("n"), keys, "left")
-    return means
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("double").alias("v")) for c in ("cpu", "mem")])
+    p95 = ranked_values(gauges.select(*keys, F.inline(kinds)), [*keys, "kind"], "v", {"p95": (0.95, "ceil")})
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("p95")))
+    return means.join(p95.groupBy(*keys).agg(of("cpu").alias("cpu_p95_ratio"), of("mem").alias("memory_p95_ratio")), keys, "left")
 
 
 def span_counts(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,6 +132,17 @@ def trace_latency(deps: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame
     return top.join(own.select(*keys, "service_p99_ms"), keys, "left").withColumn("top_dependency_contribution", share)
 
 
+def traces(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``trace_latency`` in one pass over spans: percentiles of every service below a root, then its own and the slowest other one picked."""
+    ranked = ranked_values(spans, [*keys, "root_service", "service"], F.col("duration_ns") / 1e6, {"p99": (0.99, "floor")})
+    own = F.col("service") == F.col("root_service")
+    first = F.min(F.when(~own, F.struct((-F.col("p99")).alias("m"), F.col("service").alias("dependency"))))
+    row = ranked.groupBy(*keys).agg(first.alias("first"), F.max(F.when(own, F.col("p99"))).alias("service_p99_ms")).filter("first is not null")
+    row = row.select(*keys, F.col("first.dependency").alias("top_dependency"), (-F.col("first.m")).alias("top_dependency_p99_ms"), "service_p99_ms")
+    share = F.coalesce(F.try_divide("top_dependency_p99_ms", F.nullif(F.col("service_p99_ms"), F.lit(0.0))), F.lit(0.0))
+    return row.withColumn("top_dependency_contribution", share)
+
+
 def slow_pattern(dependency: Column, share: Column) -> Column:
     return F.format_string("%s accounts for %.0f%% of p99 tail latency", dependency, share * 100)
 

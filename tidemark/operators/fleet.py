@@ -40,6 +40,11 @@ def drift_monitor(statuses: DataFrame) -> DataFrame:
     return rows.withColumn("drifting", ~F.coalesce(F.col("drift_class") == "no_significant_drift", F.lit(False))).orderBy("severity_rank", "service")
 
 
+def drift_counts(monitored: DataFrame) -> DataFrame:
+    """How many services drift and how many do not, by severity, of ``drift_monitor``'s rows."""
+    return monitored.groupBy("drifting", F.coalesce("drift_severity", F.lit("info")).alias("severity")).agg(F.count(F.lit(1)).alias("services"))
+
+
 def recommendations(reports: DataFrame) -> DataFrame:
     """One row per recommendation of (service, recommendations array<struct<action, confidence, rationale>>)."""
     return reports.select("service", F.posexplode("recommendations").alias("place", "r")).select("service", "place", "r.*")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cited_numbers, has_actuation
-from tidemark.operators.drift import IMPROVED, NONE
+from tidemark.operators.drift import IMPROVED, NONE, REMEDIES, SEVERITIES
+from tidemark.operators.targets import OPERATORS
 
 # Words by which a remedy's category is known.
 KEYWORDS = {
@@ -73,18 +74,38 @@ def severity_violations(severity: Column, magnitude: Column, cls: Column) -> Col
     return F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in rules]), lambda x: x.isNotNull())
 
 
+def well_formed(cls: Column, severity: Column, cause: Column, recommendations: Column) -> Column:
+    """The report has a known class and severity, a cause, and recommendations that each have an action and a rationale."""
+    filled = lambda c: F.coalesce(c != "", F.lit(False))
+    complete = F.forall(recommendations, lambda r: filled(r["action"]) & filled(r["rationale"]))
+    known = cls.isin(*REMEDIES) & severity.isin("info", *[name for _, name in SEVERITIES])
+    return F.coalesce(known & filled(cause) & (F.size(recommendations) > 0) & complete, F.lit(False))
+
+
+#: Gates of a report and of a proposal.
+REPORT_GATES = ("schema_valid", "grounding", "class_validity", "no_actuation", "classification_accuracy", "severity_calibration", "remediation_relevance", "rationale_quality", "remediation_depth", "severity_consistent")
+PROPOSAL_GATES = ("schema_valid", "grounding", "consistency", "budget_coherence", "trace_log_citation", "indicator_appropriateness")
+
+
+def gate_totals(graded: DataFrame, gates: tuple[str, ...]) -> DataFrame:
+    """The grid in long form, summed: documents and passes of each gate and of all gates together."""
+    long = graded.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("passed")) for g in (*gates, "pass")])))
+    return long.groupBy("gate").agg(F.count(F.lit(1)).alias("documents"), F.count_if("passed").alias("passed"))
+
+
 def grade_reports(reports: DataFrame) -> DataFrame:
     """Gates of (classification, severity, likely_cause, recommendations, values, dominant_class, magnitude, and the truth: class, severity_range, category)."""
     text = F.concat_ws(" ", "likely_cause", F.array_join(F.transform("recommendations", lambda r: F.concat_ws(" ", r["action"], r["rationale"])), " "))
     values = F.col("values")
     rationale = F.forall("recommendations", lambda r: cites_value(F.coalesce(r["rationale"], F.lit("")), values, 0.02))
     gates = {
+        "schema_valid": well_formed(F.col("classification"), F.col("severity"), F.col("likely_cause"), F.col("recommendations")),
         "grounding": grounded(text, values), "class_validity": class_consistent(F.col("classification"), F.col("dominant_class")), "no_actuation": ~has_actuation(text),
         "classification_accuracy": F.col("classification") == F.col("class"), "severity_calibration": F.array_contains("severity_range", F.col("severity")), "remediation_relevance": relevant(F.col("recommendations"), F.col("category")),
         "rationale_quality": (F.size(values) == 0) | rationale, "remediation_depth": deep(F.col("recommendations"), F.col("classification")), "severity_consistent": F.size(severity_violations(F.col("severity"), F.col("magnitude"), F.col("classification"))) == 0,
     }
     graded = reports.withColumns(gates)
-    return graded.withColumn("pass", F.array_min(F.array(*[F.col(g).cast("int") for g in gates])) == 1)
+    return graded.withColumn("pass", F.array_min(F.array(*[F.coalesce(F.col(g), F.lit(False)).cast("int") for g in REPORT_GATES])) == 1)
 
 
 def grade_proposals(targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,8 +117,9 @@ def grade_proposals(targets: DataFrame, keys: list[str]) -> DataFrame:
     category = ~F.col("sli_type").isin("error_rate", "availability") | F.col("top_category").isNull() | F.contains(lower, F.lower("top_category")) | F.contains(lower, F.lower(F.replace("top_category", F.lit("_"), F.lit(" "))))
     kinds = F.collect_set("sli_type")
     every = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
-    graded = targets.groupBy(*keys).agg(every(numeric).alias("grounding"), every(F.size("violations") == 0).alias("consistency"), every(budget).alias("budget_coherence"), every(dependency & category).alias("trace_log_citation"), (F.array_contains(kinds, "latency") & F.arrays_overlap(kinds, F.array(F.lit("availability"), F.lit("error_rate")))).alias("indicator_appropriateness"))
-    return graded.withColumn("pass", F.col("grounding") & F.col("consistency") & F.col("budget_coherence") & F.col("trace_log_citation") & F.col("indicator_appropriateness"))
+    whole = (F.col("rationale") != "") & F.col("sli_type").isin(*OPERATORS) & F.col("target_op").isin("lte", "gte") & F.col("slo_target").isNotNull() & F.col("sla_target").isNotNull()
+    graded = targets.groupBy(*keys).agg(every(whole).alias("schema_valid"), every(numeric).alias("grounding"), every(F.size("violations") == 0).alias("consistency"), every(budget).alias("budget_coherence"), every(dependency & category).alias("trace_log_citation"), (F.array_contains(kinds, "latency") & F.arrays_overlap(kinds, F.array(F.lit("availability"), F.lit("error_rate")))).alias("indicator_appropriateness"))
+    return graded.withColumn("pass", F.array_min(F.array(*[F.col(g).cast("int") for g in PROPOSAL_GATES])) == 1)
 
 
 def scorecard(attempts: DataFrame, keys: list[str]) -> DataFrame:

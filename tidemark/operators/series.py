@@ -68,6 +68,12 @@ def over_time(df: DataFrame, keys: list[str], value: str, seconds: int, name: st
     return df.withColumn(name, F.avg(value).over(window))
 
 
+def ratio_over_time(df: DataFrame, keys: list[str], hits: str, total: str, seconds: int, name: str) -> DataFrame:
+    """Hits over rows of the last ``seconds`` at each step, its own time included."""
+    window = Window.partitionBy(*keys).orderBy("epoch").rangeBetween(-(seconds - 1), 0)
+    return df.withColumn(name, F.try_divide(F.sum(hits).over(window), F.sum(total).over(window)))
+
+
 def ratio_per_step(rows: DataFrame, keys: list[str], step: int, good: Column) -> DataFrame:
     """Rows, good rows and their ratio per step: both sides of a matched ratio in one pass."""
     at = (F.floor(epoch() / step) * step).alias("epoch")

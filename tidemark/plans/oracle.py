@@ -78,6 +78,18 @@ CTE: dict[str, tuple[str, str]] = {
         left join (select service, string_agg(name, ',' order by place) as names, count(distinct cls) filter (cls <> 'no_significant_drift') as classes from mapped group by all) a using (service)"""),
     "report": ("signal", """select *, case when report_class in ('latency_improvement', 'error_rate_reduction', 'no_significant_drift') then 'info' when dominant_magnitude > 10 then 'critical' when dominant_magnitude > 5 then 'high' when dominant_magnitude > 2 then 'medium' when dominant_magnitude > 0 then 'low' else 'info' end as severity,
         case report_class when 'latency_regression' then 'performance' when 'latency_improvement' then 'monitoring' when 'error_rate_elevation' then 'reliability' when 'error_rate_reduction' then 'monitoring' when 'throughput_collapse' then 'capacity' when 'throughput_surge' then 'capacity' when 'saturation_approach' then 'capacity' when 'availability_drop' then 'reliability' when 'distribution_shift' then 'performance' else 'none' end as remediation_category from signal"""),
+    "vals": ("drift", "select service, list_distinct(flatten(list([live_value, baseline_value, abs_deviation, rel_deviation, band_upper, band_lower]))) as vals from drift group by service"),
+    "reports": ("report vals", """select *, case when cls in ('latency_improvement', 'error_rate_reduction', 'no_significant_drift') then 'info' when magnitude > 10 then 'critical' when magnitude > 5 then 'high' when magnitude > 2 then 'medium' when magnitude > 0 then 'low' else 'info' end as ruled,
+        case when n = 9 then 'kubectl scale' else 'continue monitoring' end as action, case when n = 6 then 'no figure' else 'latency error capacity at ' || printf('%.4f', list_max(vals) * case when n = 4 then 1.5 else 1 end) end as rationale,
+        case when n = 6 then null else printf('%.4f', list_max(vals) * case when n = 4 then 1.5 else 1 end)::double end as cited
+        from (select service, substr(service, 5, 2)::int as n, report_class as class, dominant_class, dominant_magnitude as magnitude, remediation_category as category, vals, case when substr(service, 5, 2)::int = 7 then 'throughput_surge' else report_class end as cls from report join vals using (service))"""),
+    "judged": ("reports", """select service, n <> 3 as schema_valid, cited is null or cited = 0 or near as grounding, cls = dominant_class or (dominant_class = 'latency_regression' and cls = 'distribution_shift') as class_validity, n <> 9 as no_actuation, cls = class as classification_accuracy, severity in ('info', 'low', 'medium', 'high') as severity_calibration,
+        case category when 'none' then regexp_matches(action, 'no action|continue monitor|no significant|monitor|baseline|update|track|observe|sustain|verif|confirm')
+            when 'performance' then regexp_matches(said, 'latency|performance|profil|optimiz|regression|slow|response time|critical path') when 'monitoring' then regexp_matches(said, 'monitor|baseline|update|track|observe|sustain|verif|confirm')
+            when 'reliability' then regexp_matches(said, 'error|reliab|fail|log|rollback|deploy|health|readiness|availab') when 'capacity' then regexp_matches(said, 'capacity|scal|resource|cpu|memory|throughput|load|replica|pod|autoscal') else true end as remediation_relevance,
+        coalesce(near, false) as rationale_quality, n <> 5 or calm or cls = 'no_significant_drift' as remediation_depth, not (magnitude = 0 and grave) and not (magnitude > 2 and severity = 'info') and not (calm and grave) as severity_consistent
+        from (select *, action || ' ' || rationale as said, severity in ('critical', 'high') as grave, cls in ('latency_improvement', 'error_rate_reduction') as calm, cited <> 0 and len(list_filter(vals, lambda x: x <> 0 and abs(cited - x) / greatest(abs(x), 1e-10) < 0.02)) > 0 as near from (select *, case when n = 8 then 'critical' else ruled end as severity from reports))"""),
+    "grid": ("judged", "select *, schema_valid and grounding and class_validity and no_actuation and classification_accuracy and severity_calibration and remediation_relevance and rationale_quality and remediation_depth and severity_consistent as pass from judged"),
     "seen": ("base", """select service, win, unnest([{'sli_type': 'latency', 'sli_name': 'latency_p99', 'observed': p99_ms, 'sd': stddev_ms, 'target_op': 'lte'}, {'sli_type': 'error_rate', 'sli_name': 'error_rate', 'observed': error_ratio, 'sd': error_stddev, 'target_op': 'lte'},
         {'sli_type': 'availability', 'sli_name': 'availability', 'observed': availability, 'sd': error_stddev, 'target_op': 'gte'}, {'sli_type': 'throughput', 'sli_name': 'throughput', 'observed': mean_rps, 'sd': stddev_rps, 'target_op': 'gte'},
         {'sli_type': 'saturation', 'sli_name': 'cpu', 'observed': cpu_mean_ratio, 'sd': null::double, 'target_op': 'lte'}, {'sli_type': 'saturation', 'sli_name': 'memory', 'observed': memory_mean_ratio, 'sd': null::double, 'target_op': 'lte'}], recursive := true) from base"""),
@@ -99,6 +111,9 @@ CTE: dict[str, tuple[str, str]] = {
         select service, bool_or(artifact_type = 'baseline') as has_baseline, false as has_proposal, bool_or(artifact_type = 'drift-signal') as has_drift_signal, bool_or(artifact_type = 'drift-report') as has_drift_report, max(stored_at) filter (artifact_type = 'baseline' and turn = 1) as last_baseline, max(stored_at) filter (artifact_type = 'drift-signal' and turn = 1) as last_drift,
         bool_or(breached) filter (artifact_type = 'drift-signal' and turn = 1) as breached, max(class) filter (artifact_type = 'drift-signal' and turn = 1) as drift_class, max(severity) filter (artifact_type = 'drift-report' and turn = 1) as drift_severity, coalesce(max(maturity_tier) filter (artifact_type = 'baseline' and turn = 1), 'unknown') as maturity_tier from newest group by service)"""),
     "sections": ("", """select doc_id, source as section, '{"id":' || doc_id || ',"n":' || length(text) || ',"lang":"' || lang || '"}' as payload from documents"""),
+    "error_steps": ("req", "select service, epoch(date_trunc('second', ts))::bigint // 300 * 300 as epoch, count(*) filter (is_error) / count(*) as ratio from req group by all"),
+    "latency_steps": ("req prop", """select r.service, epoch(date_trunc('second', ts))::bigint // 300 * 300 as epoch, count(*) as n, count(*) filter (latency_ms <= round(sla_target, 4)) as hits from req r join prop p on p.service = r.service and p.sli_type = 'latency' group by all"""),
+    "cpu_steps": ("", "select 'svc-' || lpad((l_suppkey % 10)::varchar, 2, '0') as service, epoch(l_shipdate::timestamp)::bigint // 86400 * 86400 as epoch, avg(l_quantity / 50) as cpu from lineitem group by all"),
     "wins": ("req", "select service, is_error, latency_ms, unnest([s, s - interval 12 hour]) as ws from (select *, time_bucket(interval 12 hour, ts) as s from req)"),
 }
 
@@ -125,6 +140,38 @@ def rounded(columns: str, digits: int = 6) -> str:
 _DRIFT = "service, ord, name, " + rounded("live_value baseline_value abs_deviation rel_deviation", 5) + ", direction, " + rounded("band_upper band_lower", 5) + ", band_breach, round(breach_magnitude, 5) as breach_magnitude, first_pass_class, status, skip_reason"
 _LAT = rounded("p50_ms p90_ms p95_ms p99_ms stddev_ms", 5)
 _SVC = "substr(service, 5, 2)::int"
+_GATES = "schema_valid grounding class_validity no_actuation classification_accuracy severity_calibration remediation_relevance rationale_quality remediation_depth severity_consistent pass".split()
+_PROPOSAL_GATES = "schema_valid grounding consistency budget_coherence trace_log_citation indicator_appropriateness pass".split()
+
+
+def _violations(rows: str) -> str:
+    return f"""select service, sli_name, coalesce(list_aggregate(list_filter([case when target_op <> op then 'wrong_op' end, case when judged and not slo_tight then 'slo_not_tighter' end, case when judged and sla_tight then 'sla_tighter' end, case when judged and slo = observed then 'slo_equals_observed' end, case when judged and sla = observed then 'sla_equals_observed' end,
+        case when judged and sd > 0 and loose / sd > 5 then 'too_loose' end, case when judged and crossed then 'wrong_order' end], lambda x: x is not null), 'string_agg', ','), '') as violations from (
+        select *, not ((op = 'gte' and observed >= 1) or (op = 'lte' and observed <= 0)) as judged, case when op = 'lte' then slo < observed else slo > observed end as slo_tight, case when op = 'lte' then sla < observed else sla > observed end as sla_tight, case when op = 'lte' then sla - observed else observed - sla end as loose,
+        case when op = 'lte' then slo >= sla else slo <= sla end as crossed from ({rows}))"""
+
+
+def _totals(rows: str, gates: list[str]) -> str:
+    return " union all ".join(f"select '{g}' as gate, count(*) as documents, count(*) filter ({g}) as passed from {rows}" for g in gates)
+
+
+def _fired(steps: str, value: str, kind: str, threshold: str, windows: tuple[tuple[str, int, int], ...]) -> str:
+    """Steps, firings and peaks of each rule: ``value`` is an aggregate over a frame, ``threshold`` what both windows' values must be beyond."""
+    frame = lambda s: value.replace("over", f"over (partition by service order by epoch range between {s - 1} preceding and current row)")
+    both = " union all ".join(f"select service, epoch, '{w}' as w, {frame(a)} as l, {frame(b)} as s from {steps}" for w, a, b in windows)
+    return f"""select v.service, alert, count(*) as steps, count(*) filter ({threshold.replace('value', 'l')} and {threshold.replace('value', 's')}) as firing, round(max(l), 6) as long_peak, round(max(s), 6) as short_peak
+        from ({both}) v join rules r on r.service = v.service and r.long_window = v.w and {kind} group by all"""
+
+
+CTE["proposal_grades"] = ("prop base", """select *, schema_valid and grounding and consistency and budget_coherence and trace_log_citation and indicator_appropriateness as pass from (
+    select service, true as schema_valid, bool_and(len(list_filter(regexp_extract_all(rationale, '-?[0-9]+\\.?[0-9]*'), lambda t: t::double <> 0 and len(list_filter(vals, lambda x: x <> 0 and abs(t::double - x) / greatest(abs(x), 1e-10) < 0.01)) > 0)) > 0) as grounding, bool_and(violations = '') as consistency,
+    bool_and(error_budget_percent > 0 and error_budget_percent <= 100) as budget_coherence, bool_and((sli_type <> 'latency' or dep is null or contains(lower(rationale), lower(dep))) and (sli_type not in ('error_rate', 'availability') or cat is null or contains(lower(rationale), lower(cat)) or contains(lower(rationale), lower(replace(cat, '_', ' '))))) as trace_log_citation,
+    bool_or(sli_type = 'latency') and bool_or(sli_type in ('availability', 'error_rate')) as indicator_appropriateness from (
+        select p.*, v.violations, b.top_dependency as dep, b.top_category as cat, [b.p50_ms, b.p99_ms, b.error_ratio, b.availability, b.mean_rps] as vals,
+            'observed ' || printf('%.6f', observed) || ' with ' || coalesce(b.top_dependency, '') || ' and ' || case when p.service = 'svc-02' then '' else coalesce(b.top_category, '') end as rationale
+        from prop p join base b on b.service = p.service and b.win = 'baseline' join (""" + _violations("select service, sli_name, sli_type, observed, sd, target_op, target_op as op, slo_target as slo, sla_target as sla from prop") + """) v on v.service = p.service and v.sli_name = p.sli_name where p.sli_type <> 'saturation') group by service)""")
+
+_RULE_WINDOWS = (("1h", 3600, 300), ("6h", 21600, 1800))
 _CHECKED = f"""select service, sli_name, sli_type, observed, sd, case when {_SVC} = 5 then 'gte' else target_op end as target_op, target_op as op,
   case when {_SVC} = 1 then observed when {_SVC} = 2 then sla_target else slo_target end as slo, case when {_SVC} = 3 then observed + 9 * coalesce(sd, 0) when {_SVC} = 4 then slo_target else sla_target end as sla from prop where sli_type <> 'saturation'"""
 
@@ -190,11 +237,17 @@ ORACLE_SQL: dict[str, str] = {
         bool_or(ord = 5 and band_breach and direction = 'decreasing') as dt, bool_or(ord = 3 and band_breach and direction = 'increasing') as ue, bool_or(ord = 8 and band_breach and direction = 'increasing') as ud from drift group by service)"""),
     "target_rows": sql("prop", f"select service, sli_type, sli_name, {rounded('observed', 5)}, round(coalesce(sd, -1.0), 5) as sd, target_op, maturity_tier, {rounded('slo_target sla_lo sla_hi sla_target error_budget_percent', 5)} from prop"),
     "promotion": sql("signal targets", "select s.service, s.dominant_class, t.sli_type, round(t.slo_target, 5) as slo_target from signal s join targets t on t.service = s.service and t.win = 'live' and t.sli_type in ('latency', 'error_rate') where s.dominant_class in ('latency_improvement', 'error_rate_reduction', 'no_significant_drift')"),
-    "target_violations": sql("prop", f"""select service, sli_name, coalesce(list_aggregate(list_filter([case when target_op <> op then 'wrong_op' end, case when judged and not slo_tight then 'slo_not_tighter' end, case when judged and sla_tight then 'sla_tighter' end, case when judged and slo = observed then 'slo_equals_observed' end, case when judged and sla = observed then 'sla_equals_observed' end,
-        case when judged and sd > 0 and loose / sd > 5 then 'too_loose' end, case when judged and not between_ and crossed then 'wrong_order' end], lambda x: x is not null), 'string_agg', ','), '') as violations from (
-        select *, not ((op = 'gte' and observed >= 1) or (op = 'lte' and observed <= 0)) as judged, case when op = 'lte' then slo < observed else slo > observed end as slo_tight, case when op = 'lte' then sla < observed else sla > observed end as sla_tight, case when op = 'lte' then sla - observed else observed - sla end as loose,
-        case when op = 'lte' then (slo < observed and observed <= sla) or (slo <= observed and observed < sla) else (sla < observed and observed <= slo) or (sla <= observed and observed < slo) end as between_, case when op = 'lte' then slo >= sla else slo <= sla end as crossed from ({_CHECKED}))"""),
+    "target_violations": sql("prop", _violations(_CHECKED)),
     "margin_direction": sql("prop", f"select service, bool_and({_SVC} <> 1 and slo_target <> observed and sla_target <> observed) as margin_ok, bool_and({_SVC} <> 5 or target_op = 'gte') as direction_ok from prop group by service"),
+    "grading_grid": sql("grid", f"select service, {', '.join(_GATES)} from grid"),
+    "grading_totals": sql("grid", _totals("grid", _GATES)),
+    "proposal_grid": sql("proposal_grades", f"select service, {', '.join(_PROPOSAL_GATES)} from proposal_grades"),
+    "proposal_totals": sql("proposal_grades", _totals("proposal_grades", _PROPOSAL_GATES)),
+    "error_alerts": sql("error_steps rules", _fired("error_steps", "avg(ratio) over", "r.sli_type = 'error_rate'", "value > round(threshold, 6)", _RULE_WINDOWS)),
+    "latency_alerts": sql("latency_steps rules", _fired("latency_steps", "sum(hits) over / sum(n) over", "r.sli_type = 'latency'", "1 - value > threshold", _RULE_WINDOWS)),
+    "record_cpu": sql("cpu_steps", "select service, epoch, round(cpu, 6) as cpu from cpu_steps"),
+    "saturation_alerts": sql("cpu_steps rules", _fired("cpu_steps", "avg(cpu) over", "r.sli_name = 'cpu'", "value > round(sla_target, 6) + burn_rate * error_budget_percent / 100", (("1h", 604800, 86400), ("6h", 604800, 86400)))),
+    "drift_counts": sql("status", "select coalesce(drift_class, '') <> 'no_significant_drift' as drifting, coalesce(drift_severity, 'info') as severity, count(*) as services from status where has_drift_signal group by all"),
     "burn_windows": sql("rules", "select service, sli_name, alert, severity, long_window, short_window, burn_rate, round(threshold, 7) as threshold, status from rules"),
     "alert_summary": sql("rules", "select count(*) as alerts, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning, count(distinct service) as services from rules"),
     "objectives": sql("prop", "select service, sli_name, sli_type, target_op, round(case when sli_type = 'latency' then (100 - error_budget_percent) / 100 else slo_target end, 5) as target, round(case when sli_type = 'latency' then slo_target else -1.0 end, 5) as value from prop"),
@@ -215,8 +268,7 @@ ORACLE_SQL: dict[str, str] = {
     "recommendations": "select 'svc-' || s as service, sum(n)::bigint as open, (max(n) - 1)::int as last_place from (select l_suppkey % 50 as s, l_orderkey, count(*) as n from lineitem group by all) group by s",
     "cited_numbers": """select l_orderkey, l_linenumber, list_aggregate(list_transform(list_filter([round(l_extendedprice, 0)::bigint, l_suppkey, 7], lambda x: x <> 0), lambda x: x || '.0'), 'string_agg', ',') as cited from lineitem""",
     "cited_in_conversations": r"""select role, sum(len(regexp_extract_all(coalesce(text, ''), '[0-9]+')))::bigint as numbers, count(*) filter (regexp_matches(text, '(?i)\b(?:kubectl|oc|curl|docker|helm)\b|```(?:yaml|yml|json)\b|\b(?:POST|PUT|PATCH|DELETE)\s+https?://')) as actuation from conversations group by role""",
-    "grounding": sql("drift", """, v as (select service, list_distinct(flatten(list([live_value, baseline_value, abs_deviation, rel_deviation, band_upper, band_lower]))) as vals from drift group by service)
-        select v.service, count(*) filter (l_quantity = 0 or len(list_filter(vals, lambda x: x <> 0 and abs(l_quantity - x) / greatest(abs(x), 1e-10) < 0.02)) > 0) as grounded, count(*) as n from lineitem l join v on v.service = 'svc-' || lpad((l_suppkey % 10)::varchar, 2, '0') group by v.service""").replace("\n, v as", ",\nv as", 1),
+    "grounding": sql("vals", """select v.service, count(*) filter (l_quantity = 0 or len(list_filter(vals, lambda x: x <> 0 and abs(l_quantity - x) / greatest(abs(x), 1e-10) < 0.02)) > 0) as grounded, count(*) as n from lineitem l join vals v on v.service = 'svc-' || lpad((l_suppkey % 10)::varchar, 2, '0') group by v.service"""),
     "actuation_hits": "select doc_id, doc_id % 3 <> 2 or regexp_matches(text, '(?i)\\b(?:kubectl|oc|curl|docker|helm)\\b|```(?:yaml|yml|json)\\b|\\b(?:POST|PUT|PATCH|DELETE)\\s+https?://') as hit from documents",
     "scorecard": "select coalesce(o_orderstatus, 'all') as model, coalesce(o_orderpriority, 'all') as prompt, count(*) as attempts, round(avg((o_totalprice > 100000)::int), 5) as pass_rate, round(avg(o_totalprice / 1000), 5) as mean_latency_s from orders group by cube (o_orderstatus, o_orderpriority)",
     "audit_hash": sql("sections", "select doc_id, section, payload, sha256(payload) as sha256 from sections"),

@@ -237,8 +237,7 @@ def dependencies_top5(spark, d):
 
 
 def _trace(spark, d) -> DataFrame:
-    s, keys = own_spans(spark, d), ["service_key", "win"]
-    return base.trace_latency(base.dependencies(s, keys), base.service_latency(s, keys), keys)
+    return base.traces(own_spans(spark, d), ["service_key", "win"])
 
 
 @query
@@ -429,6 +428,45 @@ def throughput_alerts(spark, d):
     return fired.groupBy("service", "win").agg(F.count_if("firing").alias("firing"), F.count(F.lit(1)).alias("steps"))
 
 
+def _counted(fired: DataFrame) -> DataFrame:
+    return rounded(fired.groupBy("service", "alert").agg(F.count(F.lit(1)).alias("steps"), F.count_if("firing").alias("firing"), F.max("long_value").alias("long_peak"), F.max("short_value").alias("short_peak")))
+
+
+#: Seconds of the windows that targets' rules name, both of each rule.
+RULE_WINDOWS = [300, 1800, 3600, 21600]
+
+
+@query
+def error_alerts(spark, d):
+    steps = series.ratio_per_step(roles.requests(spark, d), ["service"], 300, F.col("is_error"))
+    rules = targets_rules(spark, d).filter("sli_type = 'error_rate'").select("service", "alert", F.round("threshold", 6).alias("threshold"), "long_window", "short_window")
+    return _counted(alerts.evaluate(steps, rules, ["service"], "ratio", RULE_WINDOWS, alerts.over_budget))
+
+
+@query
+def latency_alerts(spark, d):
+    rules = targets_rules(spark, d).filter("sli_type = 'latency'").select("service", "alert", "threshold", "long_window", "short_window")
+    sla = proposals(spark, d).filter("sli_type = 'latency'").select("service", F.round("sla_target", 4).alias("sla_target"))
+    steps = alerts.latency_steps(roles.requests(spark, d), ["service"], sla, "latency_ms", F.floor(series.epoch() / 300) * 300)
+    return _counted(alerts.evaluate(steps, rules, ["service"], ("hits", "n"), RULE_WINDOWS, alerts.slow))
+
+
+def cpu_steps(spark, d) -> DataFrame:
+    return alerts.cpu_utilization(roles.gauges(spark, d), ["service"], "cpu", F.floor(series.epoch() / 86400) * 86400)
+
+
+@query
+def record_cpu(spark, d):
+    return rounded(cpu_steps(spark, d))
+
+
+@query
+def saturation_alerts(spark, d):
+    # Gauges come by the day, so a week and a day stand for the rules' hours.
+    rules = targets_rules(spark, d).filter("sli_type = 'saturation' and sli_name = 'cpu'").select("service", "alert", F.round("sla_target", 6).alias("sla_target"), "burn_rate", "error_budget_percent", F.lit("7d").alias("long_window"), F.lit("1d").alias("short_window"))
+    return _counted(alerts.evaluate(cpu_steps(spark, d), rules, ["service"], "cpu", [7 * 86400, 86400], alerts.saturated))
+
+
 # Fleet, artifacts
 
 
@@ -466,6 +504,11 @@ def drift_monitor(spark, d):
     return fleet.drift_monitor(statuses(spark, d))
 
 
+@query
+def drift_counts(spark, d):
+    return fleet.drift_counts(fleet.drift_monitor(statuses(spark, d)))
+
+
 @query
 def recommendations(spark, d):
     reports = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("s"), "l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("action"), "l_returnflag"))).alias("recommendations"))
@@ -516,20 +559,23 @@ def _reports(spark, d) -> DataFrame:
     cls = F.when(n == 7, "throughput_surge").otherwise(F.col("report_class"))
     sev = F.when(n == 8, "critical").otherwise(drift.severity(F.col("dominant_magnitude"), cls))
     first = F.element_at("values", -1)
-    rationale = F.when(n == 6, F.lit("no figure")).otherwise(F.concat(F.lit("latency error capacity at "), F.format_string("%.4f", first)))
+    rationale = F.when(n == 6, F.lit("no figure")).otherwise(F.concat(F.lit("latency error capacity at "), F.format_string("%.4f", F.when(n == 4, first * 1.5).otherwise(first))))
     rec = F.array(F.struct(F.when(n == 9, "kubectl scale").otherwise("continue monitoring").alias("action"), rationale.alias("rationale"), F.lit("immediate").alias("priority"), F.lit("signals").alias("evidence_basis"), F.when(n == 5, "").otherwise("run again").alias("verification_method")))
-    truth = s.join(v, "service").select("service", F.col("report_class").alias("class"), "dominant_class", F.col("dominant_magnitude").alias("magnitude"), "values", cls.alias("classification"), sev.alias("severity"), F.lit("seen in signals").alias("likely_cause"), rec.alias("recommendations"))
+    truth = s.join(v, "service").select("service", F.col("report_class").alias("class"), "dominant_class", F.col("dominant_magnitude").alias("magnitude"), "values", cls.alias("classification"), sev.alias("severity"), F.when(n == 3, "").otherwise("seen in signals").alias("likely_cause"), rec.alias("recommendations"))
     return truth.withColumns({"severity_range": F.array(F.lit("info"), F.lit("low"), F.lit("medium"), F.lit("high")), "category": drift.remedy(F.col("class"))})
 
 
 @query
 def grading_grid(spark, d):
-    gates = ["class_validity", "no_actuation", "classification_accuracy", "severity_calibration", "rationale_quality", "remediation_depth", "severity_consistent"]
-    return grading.grade_reports(_reports(spark, d)).select("service", "remediation_relevance", "grounding", "pass", *gates)
+    return grading.grade_reports(_reports(spark, d)).select("service", *grading.REPORT_GATES, "pass")
 
 
 @query
-def proposal_grid(spark, d):
+def grading_totals(spark, d):
+    return grading.gate_totals(grading.grade_reports(_reports(spark, d)), grading.REPORT_GATES)
+
+
+def _graded_proposals(spark, d) -> DataFrame:
     b = baselines(spark, d).filter("win = 'baseline'")
     values = b.select("service", "top_dependency", "top_category", F.array("p50_ms", "p99_ms", "error_ratio", "availability", "mean_rps").alias("values"))
     p = targets.check(proposals(spark, d).filter("sli_type != 'saturation'")).join(values, "service")
@@ -537,6 +583,16 @@ def proposal_grid(spark, d):
     return grading.grade_proposals(p.withColumn("rationale", rationale), ["service"])
 
 
+@query
+def proposal_grid(spark, d):
+    return _graded_proposals(spark, d)
+
+
+@query
+def proposal_totals(spark, d):
+    return grading.gate_totals(_graded_proposals(spark, d), grading.PROPOSAL_GATES)
+
+
 @query
 def scorecard(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("prompt"), (F.col("o_totalprice") > 100000).alias("pass"), (F.col("o_totalprice") / 1000).alias("latency_s"))

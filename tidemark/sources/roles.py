@@ -46,7 +46,7 @@ def counters(reqs: DataFrame) -> DataFrame:
 
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.select(service("l_suppkey").alias("service"), _gauge_window().alias("win"), (F.col("l_quantity") / 50).alias("cpu"), (F.col("l_discount") * 10).alias("mem"))
+    return li.select(service("l_suppkey").alias("service"), _gauge_window().alias("win"), (F.col("l_quantity") / 50).alias("cpu"), (F.col("l_discount") * 10).alias("mem"), F.col("l_shipdate").cast("timestamp").alias("ts"))
 
 
 def _gauge_window() -> Column:
@@ -56,8 +56,8 @@ def _gauge_window() -> Column:
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as spans of their order; the first line's service is the root."""
     li = table(spark, sf_dir, "lineitem").withColumn("service", service("l_suppkey"))
-    root = li.groupBy("l_orderkey").agg(F.min_by("service", F.struct("l_linenumber", "l_suppkey")).alias("root"))
-    both = li.join(root, "l_orderkey")
+    first = F.min(F.struct("l_linenumber", "l_suppkey", "service")).over(Window.partitionBy("l_orderkey"))
+    both = li.withColumn("root", first["service"])
     return both.select(F.col("root").alias("service_key"), _gauge_window().alias("win"), F.col("l_orderkey").alias("trace_id"), F.col("root").alias("root_service"), "service", F.round(F.col("l_extendedprice") * 1000).cast("bigint").alias("duration_ns"))
 
 
