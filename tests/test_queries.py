@@ -35,6 +35,22 @@ def test_every_query_without_sql_is_known():
     assert set(QUERIES) - set(ORACLE_SQL) == set(STREAMS) and not set(ORACLE_SQL) - set(QUERIES)
 
 
+def test_stream_signals_equal_those_of_the_batch(spark):
+    from tidemark.plans.queries import _request_stream, baselines
+    from tidemark.sources import roles
+    from tidemark.streaming.windows import stream_indicators, window_signals
+
+    columns = ["service", "window_start", "dominant_indicator", "report_class", "severity", "all_breached_indicators"]
+    got = {(r.service, r.window_start): r for r in entry.queries()["stream_drift"](spark, SF).select(columns).collect()}
+    names = _request_stream(spark, SF).columns
+    raw = roles.table(spark, SF, "events").select(roles.service("user_id").alias("service"), "ts", roles.F.col("value").alias("latency_ms"), (roles.F.col("event_type") == "error").alias("is_error")).select(names)
+    batch = window_signals(stream_indicators(raw, "1 day", "12 hours"), baselines(spark, SF).filter("win = 'baseline'"))
+    want = {(r.service, r.window_start): r for r in batch.select(columns).collect()}
+    assert len(got) > 0.9 * len(want) and all(want[k] == r for k, r in got.items())
+    status = entry.queries()["stream_status"](spark, SF).collect()
+    assert len(status) == 10 and all(r.has_drift_signal and r.status in ("healthy", "degraded", "critical", "improving") for r in status)
+
+
 def test_closed_stream_windows_equal_the_batch(spark):
     from tidemark.sources import roles
     from tidemark.streaming.windows import stream_indicators

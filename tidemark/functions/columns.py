@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,11 +82,3 @@ ACTUATION = r"(?i)\b(?:kubectl|oc|curl|docker|helm)\b|```(?:yaml|yml|json)\b|\b(
 def has_actuation(text: Column) -> Column:
     """Commands, configuration blocks or calls in a text that should only advise."""
     return F.coalesce(text.rlike(ACTUATION), F.lit(False))
-
-
-def seconds_of(text: str) -> int:
-    """Driver-side seconds of a duration text."""
-    m = re.match(DURATION, text)
-    if not m:
-        raise ValueError(f"no duration: {text}")
-    return int(m[1]) * UNIT_SECONDS[m[2]]

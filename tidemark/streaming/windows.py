@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.drift import deviation, first_pass
+from tidemark.operators.drift import deviation, drift_signal, first_pass, report_class, severity
 
 
 def stream_indicators(requests: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -27,11 +27,25 @@ def stream_record(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def stream_drift(windows: DataFrame, base: DataFrame) -> DataFrame:
-    """Each window's p99 and error ratio against the stored baseline (service, p99_ms, stddev_ms, error_ratio, error_stddev): a stream-static join, one row per window."""
-    b = base.select("service", F.col("p99_ms").alias("b_p99"), F.col("stddev_ms").alias("sd_p99"), F.col("error_ratio").alias("b_err"), F.col("error_stddev").alias("sd_err"))
-    one = lambda ord_, name, live, was, sd, unit: F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("name"), F.col(live).alias("live_value"), F.col(was).alias("baseline_value"), F.col(sd).alias("sd"), F.lit(unit).alias("unit"))
-    rows = windows.join(b, "service").select("service", "window_start", "window_end", F.inline(F.array(one(1, "latency_p99_ms", "p99_ms", "b_p99", "sd_p99", "ms"), one(3, "error_rate_ratio", "error_ratio", "b_err", "sd_err", "ratio"))))
-    return deviation(rows).withColumn("first_pass_class", first_pass(F.col("name"), F.col("direction"), F.col("band_breach")))
+    """Each window's indicators against the stored baseline (service, p99_ms, p50_ms, stddev_ms, error_ratio, error_stddev, availability, mean_rps, stddev_rps): one row per window and indicator.
+
+    A join of a stream with a table, or of two tables; what rates and gauges a stream of requests lacks leaves no row.
+    """
+    named = (  # ord, name, live, baseline, spread, unit
+        (1, "latency_p99_ms", "p99_ms", "p99_ms", "stddev_ms", "ms"), (2, "latency_p50_ms", "p50_ms", "p50_ms", "stddev_ms", "ms"), (3, "error_rate_ratio", "error_ratio", "error_ratio", "error_stddev", "ratio"),
+        (4, "availability_ratio", "availability", "availability", "error_stddev", "ratio"), (5, "throughput_mean_rps", "rps", "mean_rps", "stddev_rps", "rps"),
+    )
+    rows = windows.withColumns({"availability": 1 - F.col("error_ratio"), "rps": F.col("n") / (F.unix_timestamp("window_end") - F.unix_timestamp("window_start"))})
+    stored = base.select("service", F.struct(*[c for c in base.columns if c != "service"]).alias("b"))
+    one = lambda o, name, live, was, sd, unit: F.struct(F.lit(o).alias("ord"), F.lit(name).alias("name"), F.col(live).alias("live_value"), F.col("b")[was].alias("baseline_value"), F.col("b")[sd].alias("sd"), F.lit(unit).alias("unit"))
+    rows = rows.join(stored, "service").select("service", "window_start", "window_end", F.inline(F.array(*[one(*x) for x in named])))
+    return deviation(rows).withColumns({"first_pass_class": first_pass(F.col("name"), F.col("direction"), F.col("band_breach")), "status": F.lit("measured")})
+
+
+def window_signals(windows: DataFrame, base: DataFrame) -> DataFrame:
+    """One row per service and window of a batch: its breached indicators, the dominant one, the class and severity of a report."""
+    signal = report_class(drift_signal(stream_drift(windows, base), ["service", "window_start", "window_end"]))
+    return signal.withColumn("severity", severity(F.col("dominant_magnitude"), F.col("report_class")))
 
 
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -39,6 +53,11 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_status(stream: DataFrame, save, checkpoint: str) -> StreamingQuery:
-    """Hands each batch to ``save``, which appends it to the artifact table."""
-    return stream.writeStream.outputMode("append").foreachBatch(lambda df, _: save(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_batches(stream: DataFrame, save, checkpoint: str) -> StreamingQuery:
+    """Hands each batch and its number to ``save``; a batch may come again after a failure, so ``save`` replaces what it wrote under that number."""
+    return stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a finished run's watermark dropped, as far as its progress reports go back."""
+    return sum(int(state.get("numRowsDroppedByWatermark", 0)) for progress in query.recentProgress for state in progress["stateOperators"])
