@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, jaccard, language, licenses, mixing, packing, token_counts, token_output, topk, toxicity
+from tidemark.llm import ann, collocations, jaccard, language, licenses, mixing, packing, token_counts, token_output, topk, toxicity
 from tidemark.llm.shared import crc_mod, table
 
 
@@ -121,3 +121,34 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op10_licenses": op10_licenses}
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_collocations"] = op11_collocations
+ORACLE_SQL["op11_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+worded as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from worded group by lang),
+grams as (
+  select lang, k as m, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest([1, 2, 3, 4, 5]) as k from worded))),
+counts as (select lang, m, phrase, count(*) as f from grams group by all having count(*) >= 100),
+candidates as (select * from counts where m > 1),
+cuts as (
+  select c.lang, c.phrase, c.f as a, k, array_to_string(string_split(c.phrase, ' ')[:k], ' ') as lhs, array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') as rhs
+  from (select *, unnest(range(1, m)) as k from candidates) c),
+scored as (
+  select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, n, ((1000::hugeint * c.a * n) // (x.f::hugeint * y.f))::bigint as score
+  from cuts c join counts x on x.lang = c.lang and x.phrase = lhs join counts y on y.lang = c.lang and y.phrase = rhs join totals t on t.lang = c.lang),
+least as (select *, row_number() over (partition by lang, phrase order by score, k) as turn from scored),
+kept as (
+  select * from least s where turn = 1 and not exists (
+    select 1 from candidates c where c.lang = s.lang and c.f >= s.a and len(c.phrase) > len(s.phrase) and contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000"""
