@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, collocations, jaccard, language, licenses, mixing, packing, token_counts, token_output, topk, toxicity
+from tidemark.llm import ann, collocations, jaccard, language, licenses, line_dedup, mixing, packing, token_counts, token_output, topk, toxicity, whitening
 from tidemark.llm.shared import crc_mod, table
 
 
@@ -152,3 +152,32 @@ kept as (
     select 1 from candidates c where c.lang = s.lang and c.f >= s.a and len(c.phrase) > len(s.phrase) and contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
 select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000"""
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines that ten documents hold go, the first of them too."""
+    clean = line_dedup.drop_lines(table(spark, sf_dir, "documents"), min_docs=10, keep_first=False)
+    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES["op12_line_dedup"] = op12_line_dedup
+ORACLE_SQL["op12_line_dedup"] = """
+with docs as materialized (
+  select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lined as materialized (
+  select r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select r, unnest(range(1, len(lines) + 1)) as i, unnest(lines) as line from docs)),
+common as (select key from (select distinct r, key from lined where key <> '') group by key having count(*) >= 10),
+kept as (select r, count(*) as n, string_agg(line, chr(10) order by i) as text from lined anti join common using (key) group by r)
+select doc_id, len(lines)::bigint as n_lines, (len(lines) - coalesce(n, 0))::bigint as n_dropped, sha256(coalesce(text, '')) as kept_sha256
+from docs left join kept using (r)"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    rows = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained[F.col("place")].alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+QUERIES["op13_whitening"] = op13_whitening
