@@ -26,6 +26,8 @@ SCALE, OFFSET = 64, 1_000_000
 LARGEST = float(1 << 53)
 #: Share of the total variance under which a component is rounding noise and is left out.
 NOISE = 1e-10
+#: Vectors of a task that sums, at least, beside which the matrix that it sends is small.
+TASK_ROWS = 8_192
 #: Quadrature points on half a circle, eigenvalues of an interval, rounds of a contour.
 POINTS, PER_CONTOUR, ROUNDS = 8, 8, 40
 
@@ -205,6 +207,7 @@ def fit(x_rows: DataFrame, d: int, components: int) -> Model:
     """The model over the distinct vectors among ``x_rows`` (x)."""
     fit_list = cut(x_rows.select("x").distinct())
     n = fit_list.count()
+    fit_list = fit_list.coalesce(max(1, n // TASK_ROWS))
     if not n or not d:
         return Model(d, n, [OFFSET * n] * d, [OFFSET] * d, [0] * d, np.empty(0), np.empty((d, 0)), 0.0)
     sums = [0] * d
