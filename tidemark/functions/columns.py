@@ -76,6 +76,7 @@ def cited_numbers(text: Column) -> Column:
     return F.filter(F.transform(kept, lambda x: x.cast("double")), lambda x: x != 0)
 
 
+# Fixed value: what counts as actuation.
 ACTUATION = r"(?i)\b(?:kubectl|oc|curl|docker|helm)\b|```(?:yaml|yml|json)\b|\b(?:POST|PUT|PATCH|DELETE)\s+https?://"
 
 

@@ -33,11 +33,11 @@ def alert_rules(targets: DataFrame, keys: list[str]) -> DataFrame:
 def evaluate(steps: DataFrame, rules: DataFrame, keys: list[str], value: str | tuple[str, str], windows: list[int], fires) -> DataFrame:
     """Steps at which a rule's condition holds over both of its windows.
 
-    Each window length is computed once, in one sort per key; then rules, few per service, are joined. ``value`` is averaged over a window,
+    All window lengths are computed in one pass over time blocks; then rules, few per service, are joined. ``value`` is averaged over a window,
     a pair (hits, rows) summed and divided. ``fires(value)`` is the condition.
     """
-    for seconds in windows:
-        steps = over_time(steps, keys, value, seconds, f"w{seconds}") if isinstance(value, str) else ratio_over_time(steps, keys, *value, seconds, f"w{seconds}")
+    named = {f"w{seconds}": seconds for seconds in windows}
+    steps = over_time(steps, keys, value, named) if isinstance(value, str) else ratio_over_time(steps, keys, *value, named)
     by_window = lambda c: F.coalesce(*[F.when(duration_seconds(F.col(c)) == s, F.col(f"w{s}")) for s in windows])
     met = steps.join(rules, keys).withColumns({"long_value": by_window("long_window"), "short_value": by_window("short_window")})
     return met.withColumn("firing", F.coalesce(fires(F.col("long_value")) & fires(F.col("short_value")), F.lit(False)))

@@ -1,7 +1,7 @@
 """Baselines of all services at once: histogram percentiles and spread, errors, throughput, saturation, dependencies, error categories.
 
-``keys`` are the columns that name a service and window. Exact percentiles count equal values first, so what is
-shuffled and sorted per service is its distinct values.
+``keys`` are the columns that name a service and window. Exact percentiles count equal values first and sort only the
+values near the rank that is asked for.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks
+
 INF = float("inf")
 
 
@@ -74,13 +76,11 @@ def errors(rows: DataFrame, keys: list[str], is_error: Column) -> DataFrame:
 
 
 def ranked_values(rows: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
-    """Exact percentiles by rank: ``ceil`` takes the value of rank ceil(q n), ``floor`` that of floor(q (n - 1)) + 1. Equal values are counted before the sort."""
-    v = F.col(value) if isinstance(value, str) else value
+    """Exact percentiles by rank: ``ceil`` takes the value of rank ceil(q n), ``floor`` that of floor(q (n - 1)) + 1. Equal values are counted first; only the bucket of values that holds a rank is sorted."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
     counted = rows.select(*keys, v.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(*keys).orderBy("_v")
-    counted = counted.withColumn("_upto", F.sum("_n").over(ordered)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     rank = {"ceil": lambda q: F.ceil(F.lit(q) * F.col("_all")), "floor": lambda q: F.floor(F.lit(q) * (F.col("_all") - 1)) + 1}
-    return counted.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= rank[rule](q), F.col("_v"))).alias(n) for n, (q, rule) in wanted.items()], F.max("_all").alias("n"))
+    return blocks.ranked(counted, keys, {name: rank[rule](q) for name, (q, rule) in wanted.items()})
 
 
 def throughput(rates: DataFrame, keys: list[str], value: str = "rps") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks
+
 
 def step_seconds(lookback: int) -> int:
     """About 500 steps of a minute at least."""
@@ -16,18 +18,13 @@ def epoch(ts: str = "ts") -> Column:
 
 
 def align(samples: DataFrame, keys: list[str], start: str, end: str, step: int, stale: int = 300, tie: list[str] | None = None) -> DataFrame:
-    """The last sample at or before each step of a grid, null where it is older than ``stale`` seconds: an as-of join in one sort."""
+    """The last sample at or before each step of a grid, null where it is older than ``stale`` seconds: an as-of join in time blocks."""
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    at = F.col("ts").cast("timestamp").cast("double")
     grid = samples.select(*keys).distinct().select(*keys, F.explode(F.sequence(lo, hi, F.expr(f"make_dt_interval(0, 0, 0, {step})"))).alias("ts"))
-    ties = tie or []
-    rows = samples.select(*keys, F.col("ts").cast("timestamp").alias("ts"), "value", *ties, F.lit(0).alias("is_grid"))
-    rows = rows.unionByName(grid.withColumn("is_grid", F.lit(1)), allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("ts", "is_grid", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("is_grid") == 0, F.struct(F.col("ts").alias("at"), F.col("value").alias("v")))
-    last = F.last(known, ignorenulls=True).over(before)
-    aligned = rows.withColumn("last", last).filter("is_grid = 1")
-    fresh = F.unix_timestamp("ts") - F.unix_timestamp("last.at") <= stale
-    return aligned.select(*keys, "ts", F.when(fresh, F.col("last.v")).alias("value"))
+    seen = samples.withColumn("_at", at).filter((F.col("_at") >= lo.cast("double") - stale) & (F.col("_at") <= hi.cast("double")))
+    aligned = blocks.as_of(seen, grid.withColumn("_at", at), keys, ["_at", *(tie or [])], ["value"], "_row", stale, "_at")
+    return aligned.select(*keys, "ts", F.col("_row.value").alias("value"))
 
 
 def coverage(samples: DataFrame, keys: list[str], kind: str, kinds: tuple[str, ...], lookback: int) -> DataFrame:
@@ -40,10 +37,11 @@ def coverage(samples: DataFrame, keys: list[str], kind: str, kinds: tuple[str, .
 
 
 def deltas(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """What a counter gained since its previous sample; after a reset it gained its value."""
-    previous = F.lag("value").over(Window.partitionBy(*keys).orderBy(*order))
+    """What a counter gained since its previous sample (``order`` begins with its time); after a reset it gained its value."""
+    rows = blocks.previous(samples.withColumn("_epoch", epoch(order[0])), keys, order, "value", "_was", "_epoch")
+    previous = F.col("_was")
     gained = F.when(previous.isNull(), 0.0).when(F.col("value") < previous, F.col("value")).otherwise(F.col("value") - previous)
-    return samples.withColumn("delta", gained)
+    return rows.withColumn("delta", gained).select(*samples.columns, "delta")
 
 
 def increase(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -52,8 +50,8 @@ def increase(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def rate(samples: DataFrame, keys: list[str], order: list[str], seconds: int) -> DataFrame:
     """Gain per second over the last ``seconds`` at each sample, the ends not extrapolated."""
-    window = Window.partitionBy(*keys).orderBy("epoch").rangeBetween(-seconds, 0)
-    return deltas(samples, keys, order).withColumn("epoch", epoch()).withColumn("rate", F.sum("delta").over(window) / seconds)
+    rows = deltas(samples, keys, order).withColumn("epoch", epoch(order[0]))
+    return blocks.framed(rows, keys, {"rate": (seconds, F.sum("delta"))}).withColumn("rate", F.col("rate") / seconds)
 
 
 def last_value(samples: DataFrame, series: list[str], keys: list[str], order: list[str]) -> DataFrame:
@@ -62,16 +60,16 @@ def last_value(samples: DataFrame, series: list[str], keys: list[str], order: li
     return last.groupBy(*keys).agg(F.sum("value").alias("total"))
 
 
-def over_time(df: DataFrame, keys: list[str], value: str, seconds: int, name: str) -> DataFrame:
-    """Mean of the last ``seconds`` at each row, its own time included."""
-    window = Window.partitionBy(*keys).orderBy("epoch").rangeBetween(-(seconds - 1), 0)
-    return df.withColumn(name, F.avg(value).over(window))
+def over_time(df: DataFrame, keys: list[str], value: str, windows: dict[str, int]) -> DataFrame:
+    """Means of the last so many seconds at each row, its own time included: ``windows`` gives each one's name and length. All are taken in one pass."""
+    return blocks.framed(df, keys, {name: (seconds - 1, F.avg(value)) for name, seconds in windows.items()})
 
 
-def ratio_over_time(df: DataFrame, keys: list[str], hits: str, total: str, seconds: int, name: str) -> DataFrame:
-    """Hits over rows of the last ``seconds`` at each step, its own time included."""
-    window = Window.partitionBy(*keys).orderBy("epoch").rangeBetween(-(seconds - 1), 0)
-    return df.withColumn(name, F.try_divide(F.sum(hits).over(window), F.sum(total).over(window)))
+def ratio_over_time(df: DataFrame, keys: list[str], hits: str, total: str, windows: dict[str, int]) -> DataFrame:
+    """Hits over rows of the last so many seconds at each step, its own time included."""
+    sums = {f"_{part}_{name}": (seconds - 1, F.sum(c)) for name, seconds in windows.items() for part, c in (("h", hits), ("t", total))}
+    out = blocks.framed(df, keys, sums).withColumns({name: F.try_divide(f"_h_{name}", f"_t_{name}") for name in windows})
+    return out.drop(*sums)
 
 
 def ratio_per_step(rows: DataFrame, keys: list[str], step: int, good: Column) -> DataFrame:

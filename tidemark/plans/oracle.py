@@ -78,17 +78,23 @@ CTE: dict[str, tuple[str, str]] = {
         left join (select service, string_agg(name, ',' order by place) as names, count(distinct cls) filter (cls <> 'no_significant_drift') as classes from mapped group by all) a using (service)"""),
     "report": ("signal", """select *, case when report_class in ('latency_improvement', 'error_rate_reduction', 'no_significant_drift') then 'info' when dominant_magnitude > 10 then 'critical' when dominant_magnitude > 5 then 'high' when dominant_magnitude > 2 then 'medium' when dominant_magnitude > 0 then 'low' else 'info' end as severity,
         case report_class when 'latency_regression' then 'performance' when 'latency_improvement' then 'monitoring' when 'error_rate_elevation' then 'reliability' when 'error_rate_reduction' then 'monitoring' when 'throughput_collapse' then 'capacity' when 'throughput_surge' then 'capacity' when 'saturation_approach' then 'capacity' when 'availability_drop' then 'reliability' when 'distribution_shift' then 'performance' else 'none' end as remediation_category from signal"""),
-    "vals": ("drift", "select service, list_distinct(flatten(list([live_value, baseline_value, abs_deviation, rel_deviation, band_upper, band_lower]))) as vals from drift group by service"),
-    "reports": ("report vals", """select *, case when cls in ('latency_improvement', 'error_rate_reduction', 'no_significant_drift') then 'info' when magnitude > 10 then 'critical' when magnitude > 5 then 'high' when magnitude > 2 then 'medium' when magnitude > 0 then 'low' else 'info' end as ruled,
-        case when n = 9 then 'kubectl scale' else 'continue monitoring' end as action, case when n = 6 then 'no figure' else 'latency error capacity at ' || printf('%.4f', list_max(vals) * case when n = 4 then 1.5 else 1 end) end as rationale,
-        case when n = 6 then null else printf('%.4f', list_max(vals) * case when n = 4 then 1.5 else 1 end)::double end as cited
-        from (select service, substr(service, 5, 2)::int as n, report_class as class, dominant_class, dominant_magnitude as magnitude, remediation_category as category, vals, case when substr(service, 5, 2)::int = 7 then 'throughput_surge' else report_class end as cls from report join vals using (service))"""),
-    "judged": ("reports", """select service, n <> 3 as schema_valid, cited is null or cited = 0 or near as grounding, cls = dominant_class or (dominant_class = 'latency_regression' and cls = 'distribution_shift') as class_validity, n <> 9 as no_actuation, cls = class as classification_accuracy, severity in ('info', 'low', 'medium', 'high') as severity_calibration,
+    "vals": ("drift", "select service, list_distinct(flatten(list([live_value, baseline_value, abs_deviation, rel_deviation, band_upper, band_lower])) || [coalesce(max(breach_magnitude) filter (band_breach), 0.0)]) as vals from drift group by service"),
+    "reports": ("report vals", """select *, case when n = 8 then 'critical' else ruled end as severity, case when n = 3 then '' else 'seen in signals' end as cause, case n when 9 then 'kubectl scale' when 2 then 'continue monitoring in 3 steps' else 'continue monitoring' end as action,
+        case when n = 6 then 'no figure' else 'latency error capacity at ' || printf('%.4f', case n when 1 then magnitude when 4 then list_max(vals) * 1.5 else list_max(vals) end) || case n when 0 then ' by p99, up 40% in 24h' else '' end end as rationale, case when n <> 5 then 'run again' end as verification
+        from (select *, case when cls in ('latency_improvement', 'error_rate_reduction', 'no_significant_drift') then 'info' when magnitude > 10 then 'critical' when magnitude > 5 then 'high' when magnitude > 2 then 'medium' when magnitude > 0 then 'low' else 'info' end as ruled
+            from (select service, substr(service, 5, 2)::int as n, report_class as class, dominant_class, dominant_magnitude as magnitude, remediation_category as category, vals, case when substr(service, 5, 2)::int = 7 then 'throughput_surge' else report_class end as cls from report join vals using (service)))"""),
+    "cites": ("reports", r"""select *, list_filter(list_transform(regexp_extract_all(bare, '-?[0-9]+\.?[0-9]*'), lambda t: t::double), lambda x: x <> 0) as cited, list_filter(list_transform(regexp_extract_all(rationale, '-?[0-9]+\.?[0-9]*'), lambda t: t::double), lambda x: x <> 0) as figures
+        from (select *, regexp_replace(regexp_replace(regexp_replace(cause || ' ' || rationale, '[A-Za-z]-?[0-9]+\.?[0-9]*', ' ', 'g'), '-?[0-9]+\.?[0-9]*[%xX]', ' ', 'g'), '-?[0-9]+\.?[0-9]*[hd]([^A-Za-z]|$)', ' ', 'g') as bare, cause || ' ' || action || ' ' || rationale as told, action || ' ' || rationale as said,
+            severity in ('critical', 'high') as grave, cls in ('latency_improvement', 'error_rate_reduction') as calm from reports)"""),
+    "judged": ("cites", r"""select service, cls in ('latency_regression', 'latency_improvement', 'error_rate_elevation', 'error_rate_reduction', 'throughput_collapse', 'throughput_surge', 'saturation_approach', 'availability_drop', 'distribution_shift', 'no_significant_drift') and severity in ('critical', 'high', 'medium', 'low', 'info') and cause <> '' and action <> '' and rationale <> '' as schema_valid,
+        len(list_filter(cited, lambda c: len(list_filter(vals, lambda x: (x <> 0 and abs(c - x) / greatest(abs(x), 1e-10) < 0.02) or (x = 0 and abs(c) < 1e-10))) = 0)) = 0 as grounding,
+        case when dominant_class = 'error_category_shift' and class = 'distribution_shift' then cls = 'distribution_shift' when dominant_class = 'dependency_latency_regression' then cls in ('latency_regression', 'distribution_shift') when dominant_class = 'error_category_shift' then cls = 'error_rate_elevation' when dominant_class = 'latency_regression' then cls in ('latency_regression', 'distribution_shift') else cls = dominant_class end as class_validity,
+        not regexp_matches(told, '(?i)\b(?:kubectl|oc|curl|docker|helm)\b|```(?:yaml|yml|json)\b|\b(?:POST|PUT|PATCH|DELETE)\s+https?://') as no_actuation, cls = class as classification_accuracy, severity in ('info', 'low', 'medium', 'high') as severity_calibration,
         case category when 'none' then regexp_matches(action, 'no action|continue monitor|no significant|monitor|baseline|update|track|observe|sustain|verif|confirm')
             when 'performance' then regexp_matches(said, 'latency|performance|profil|optimiz|regression|slow|response time|critical path') when 'monitoring' then regexp_matches(said, 'monitor|baseline|update|track|observe|sustain|verif|confirm')
             when 'reliability' then regexp_matches(said, 'error|reliab|fail|log|rollback|deploy|health|readiness|availab') when 'capacity' then regexp_matches(said, 'capacity|scal|resource|cpu|memory|throughput|load|replica|pod|autoscal') else true end as remediation_relevance,
-        coalesce(near, false) as rationale_quality, n <> 5 or calm or cls = 'no_significant_drift' as remediation_depth, not (magnitude = 0 and grave) and not (magnitude > 2 and severity = 'info') and not (calm and grave) as severity_consistent
-        from (select *, action || ' ' || rationale as said, severity in ('critical', 'high') as grave, cls in ('latency_improvement', 'error_rate_reduction') as calm, cited <> 0 and len(list_filter(vals, lambda x: x <> 0 and abs(cited - x) / greatest(abs(x), 1e-10) < 0.02)) > 0 as near from (select *, case when n = 8 then 'critical' else ruled end as severity from reports))"""),
+        len(list_filter(figures, lambda c: len(list_filter(vals, lambda x: x <> 0 and abs(c - x) / greatest(abs(x), 1e-10) < 0.02)) > 0)) > 0 as rationale_quality, coalesce(verification, '') <> '' or calm or cls = 'no_significant_drift' as remediation_depth, not (magnitude = 0 and grave) and not (magnitude > 2 and severity = 'info') and not (calm and grave) as severity_consistent
+        from cites"""),
     "grid": ("judged", "select *, schema_valid and grounding and class_validity and no_actuation and classification_accuracy and severity_calibration and remediation_relevance and rationale_quality and remediation_depth and severity_consistent as pass from judged"),
     "seen": ("base", """select service, win, unnest([{'sli_type': 'latency', 'sli_name': 'latency_p99', 'observed': p99_ms, 'sd': stddev_ms, 'target_op': 'lte'}, {'sli_type': 'error_rate', 'sli_name': 'error_rate', 'observed': error_ratio, 'sd': error_stddev, 'target_op': 'lte'},
         {'sli_type': 'availability', 'sli_name': 'availability', 'observed': availability, 'sd': error_stddev, 'target_op': 'gte'}, {'sli_type': 'throughput', 'sli_name': 'throughput', 'observed': mean_rps, 'sd': stddev_rps, 'target_op': 'gte'},
@@ -110,7 +116,16 @@ CTE: dict[str, tuple[str, str]] = {
     "status": ("newest", """select *, case when has_drift_signal then case when not breached then 'healthy' when drift_class in ('latency_improvement', 'error_rate_reduction') then 'improving' when drift_severity in ('critical', 'high') then 'critical' else 'degraded' end when has_baseline then 'baselined' else 'unknown' end as status from (
         select service, bool_or(artifact_type = 'baseline') as has_baseline, false as has_proposal, bool_or(artifact_type = 'drift-signal') as has_drift_signal, bool_or(artifact_type = 'drift-report') as has_drift_report, max(stored_at) filter (artifact_type = 'baseline' and turn = 1) as last_baseline, max(stored_at) filter (artifact_type = 'drift-signal' and turn = 1) as last_drift,
         bool_or(breached) filter (artifact_type = 'drift-signal' and turn = 1) as breached, max(class) filter (artifact_type = 'drift-signal' and turn = 1) as drift_class, max(severity) filter (artifact_type = 'drift-report' and turn = 1) as drift_severity, coalesce(max(maturity_tier) filter (artifact_type = 'baseline' and turn = 1), 'unknown') as maturity_tier from newest group by service)"""),
-    "sections": ("", """select doc_id, source as section, '{"id":' || doc_id || ',"n":' || length(text) || ',"lang":"' || lang || '"}' as payload from documents"""),
+    "sections": ("", r"""select doc_id, source as section, '{' || chr(10) || '  "id": ' || doc_id || ',' || chr(10) || coalesce('  "lang": "' || lang || '",' || chr(10), '') || '  "ratio": ' || case when contains(r, '.') then r else r || '.0' end || ',' || chr(10)
+        || '  "text": {' || chr(10) || '    "n": ' || length(text) || ',' || chr(10) || '    "sha256": "' || sha256(text) || '"' || chr(10) || '  }' || chr(10) || '}' || chr(10) as payload from (select *, printf('%.6g', length(text) / 7) as r from documents)"""),
+    "daily": ("", "select 'svc-' || lpad((l_suppkey % 10)::varchar, 2, '0') as service, case when l_shipdate >= timestamp '1997-01-01' then 'live' else 'baseline' end as win, l_shipdate::date as day, avg(l_quantity / 50) as cpu, avg(l_discount * 10) as mem from lineitem group by all"),
+    "bundles": ("latency errs thr own turns breakdown daily req", """select l.service, l.win, case when substr(l.service, 5, 2)::int % 2 = 0 then 'shop' else 'core' end as namespace, '30d' as lookback_window, strftime(q.b, '%Y-%m-%d %H:%M:%S') as generated_at, l.* exclude (service, win), e.* exclude (service, win), t.* exclude (service, win),
+        s.* exclude (service, win), s.service is not null as saturation_available, case when d.dependency is not null then coalesce(o.service_p99_ms, 0.0) end as service_p99_ms, d.dependency as top_dependency, d.p99_ms as top_dependency_p99_ms, case when d.dependency is not null then coalesce(d.p99_ms / nullif(o.service_p99_ms, 0), 0.0) end as top_dependency_contribution, d.dependency is not null as trace_available,
+        b.top_category, b.top_category_ratio, coalesce(b.categories, 0) as categories, b.top_category is not null as breakdown_available, c.coverage_ratio
+        from latency l join errs e using (service, win) join thr t using (service, win) join (select service, win, max(ts) as b from req group by all) q using (service, win)
+        join (select service, win, count(*) filter (rps > 0) / count(*) as coverage_ratio from rates group by all) c using (service, win)
+        left join (select service, win, avg(cpu) as cpu_mean_ratio, quantile_disc(cpu, 0.95) as cpu_p95_ratio, avg(mem) as memory_mean_ratio, quantile_disc(mem, 0.95) as memory_p95_ratio from daily group by all) s using (service, win)
+        left join own o on o.service_key = l.service and o.win = l.win left join turns d on d.service_key = l.service and d.win = l.win and d.turn = 1 left join breakdown b on b.service = l.service and b.win = l.win"""),
     "error_steps": ("req", "select service, epoch(date_trunc('second', ts))::bigint // 300 * 300 as epoch, count(*) filter (is_error) / count(*) as ratio from req group by all"),
     "latency_steps": ("req prop", """select r.service, epoch(date_trunc('second', ts))::bigint // 300 * 300 as epoch, count(*) as n, count(*) filter (latency_ms <= round(sla_target, 4)) as hits from req r join prop p on p.service = r.service and p.sli_type = 'latency' group by all"""),
     "cpu_steps": ("", "select 'svc-' || lpad((l_suppkey % 10)::varchar, 2, '0') as service, epoch(l_shipdate::timestamp)::bigint // 86400 * 86400 as epoch, avg(l_quantity / 50) as cpu from lineitem group by all"),
@@ -141,7 +156,7 @@ _DRIFT = "service, ord, name, " + rounded("live_value baseline_value abs_deviati
 _LAT = rounded("p50_ms p90_ms p95_ms p99_ms stddev_ms", 5)
 _SVC = "substr(service, 5, 2)::int"
 _GATES = "schema_valid grounding class_validity no_actuation classification_accuracy severity_calibration remediation_relevance rationale_quality remediation_depth severity_consistent pass".split()
-_PROPOSAL_GATES = "schema_valid grounding consistency budget_coherence trace_log_citation indicator_appropriateness pass".split()
+_PROPOSAL_GATES = "schema_valid grounding consistency indicator_appropriateness budget_coherence rationale_quality margin_quality direction_validity trace_log_citation pass".split()
 
 
 def _violations(rows: str) -> str:
@@ -163,13 +178,18 @@ def _fired(steps: str, value: str, kind: str, threshold: str, windows: tuple[tup
         from ({both}) v join rules r on r.service = v.service and r.long_window = v.w and {kind} group by all"""
 
 
-CTE["proposal_grades"] = ("prop base", """select *, schema_valid and grounding and consistency and budget_coherence and trace_log_citation and indicator_appropriateness as pass from (
-    select service, true as schema_valid, bool_and(len(list_filter(regexp_extract_all(rationale, '-?[0-9]+\\.?[0-9]*'), lambda t: t::double <> 0 and len(list_filter(vals, lambda x: x <> 0 and abs(t::double - x) / greatest(abs(x), 1e-10) < 0.01)) > 0)) > 0) as grounding, bool_and(violations = '') as consistency,
-    bool_and(error_budget_percent > 0 and error_budget_percent <= 100) as budget_coherence, bool_and((sli_type <> 'latency' or dep is null or contains(lower(rationale), lower(dep))) and (sli_type not in ('error_rate', 'availability') or cat is null or contains(lower(rationale), lower(cat)) or contains(lower(rationale), lower(replace(cat, '_', ' '))))) as trace_log_citation,
+#: Targets with a fault by service, as the graded proposals have.
+_FAULTY = f"""select service, {_SVC} as n, sli_name, sli_type, observed, sd, error_budget_percent, case when {_SVC} = 5 then 'gte' else target_op end as target_op, target_op as op, case when {_SVC} = 1 then observed else slo_target end as slo, sla_target as sla from prop where sli_type <> 'saturation'"""
+_NUMBERS = "p50_ms p90_ms p95_ms p99_ms stddev_ms sample_count error_ratio error_stddev error_count total_count availability mean_rps p95_rps stddev_rps rate_samples cpu_mean_ratio cpu_p95_ratio memory_mean_ratio memory_p95_ratio service_p99_ms top_dependency_p99_ms top_dependency_contribution top_category_ratio categories".split()
+CTE["proposal_grades"] = ("prop base", """select *, """ + " and ".join(_PROPOSAL_GATES[:-1]) + """ as pass from (
+    select service, bool_and(sli_type in ('latency', 'availability', 'throughput', 'saturation', 'error_rate') and target_op in ('lte', 'gte') and budget between 0 and 100 and rationale <> '') as schema_valid, bool_and(cites) as grounding, bool_and(violations = '') as consistency, bool_and(budget > 0 and budget <= 100) as budget_coherence, bool_and(cites) as rationale_quality,
+    bool_and(slo <> observed and sla <> observed) as margin_quality, bool_and(target_op = case when sli_type in ('availability', 'throughput') then 'gte' else 'lte' end) as direction_validity,
+    bool_and((sli_type <> 'latency' or dep is null or contains(lower(rationale), lower(dep))) and (sli_type not in ('error_rate', 'availability') or cat is null or contains(lower(rationale), lower(cat)) or contains(lower(rationale), lower(replace(cat, '_', ' '))))) as trace_log_citation,
     bool_or(sli_type = 'latency') and bool_or(sli_type in ('availability', 'error_rate')) as indicator_appropriateness from (
-        select p.*, v.violations, b.top_dependency as dep, b.top_category as cat, [b.p50_ms, b.p99_ms, b.error_ratio, b.availability, b.mean_rps] as vals,
-            'observed ' || printf('%.6f', observed) || ' with ' || coalesce(b.top_dependency, '') || ' and ' || case when p.service = 'svc-02' then '' else coalesce(b.top_category, '') end as rationale
-        from prop p join base b on b.service = p.service and b.win = 'baseline' join (""" + _violations("select service, sli_name, sli_type, observed, sd, target_op, target_op as op, slo_target as slo, sla_target as sla from prop") + """) v on v.service = p.service and v.sli_name = p.sli_name where p.sli_type <> 'saturation') group by service)""")
+        select *, len(list_filter(regexp_extract_all(rationale, '[0-9]+\\.?[0-9]*'), lambda t: len(list_filter(vals, lambda x: t::double = x or (x <> 0 and abs(t::double - x) / greatest(abs(x), 1e-10) < 0.01))) > 0)) > 0 as cites from (
+            select p.service, p.sli_type, p.observed, p.target_op, p.slo, p.sla, v.violations, b.top_dependency as dep, b.top_category as cat, case p.n when 6 then 101.0 when 7 then 0.0 else p.error_budget_percent end as budget, list_filter([""" + ", ".join(f"b.{c}::double" for c in _NUMBERS) + """], lambda x: x is not null) as vals,
+                case when p.n = 8 then '' else 'observed ' || case p.n when 3 then 'no figure' when 4 then '123456789.5' else printf('%.6f', p.observed) end || ' with ' || coalesce(b.top_dependency, '') || ' and ' || case p.n when 2 then '' else coalesce(b.top_category, '') end end as rationale
+            from (""" + _FAULTY + """) p join base b on b.service = p.service and b.win = 'baseline' join (""" + _violations(_FAULTY) + """) v on v.service = p.service and v.sli_name = p.sli_name)) group by service)""")
 
 _RULE_WINDOWS = (("1h", 3600, 300), ("6h", 21600, 1800))
 _CHECKED = f"""select service, sli_name, sli_type, observed, sd, case when {_SVC} = 5 then 'gte' else target_op end as target_op, target_op as op,
@@ -225,6 +245,15 @@ ORACLE_SQL: dict[str, str] = {
     "error_breakdown": sql("breakdown", "select service, win, top_category, round(top_category_ratio, 6) as top_category_ratio, categories from breakdown"),
     "baseline": sql("base", f"""select service, win, {_LAT}, sample_count, total_count, error_count, {rounded('error_ratio error_stddev availability mean_rps stddev_rps p95_rps cpu_mean_ratio memory_mean_ratio cpu_p95_ratio memory_p95_ratio', 5)}, rate_samples, saturation_available,
         top_dependency, {rounded('top_dependency_p99_ms service_p99_ms top_dependency_contribution', 5)}, top_category, round(top_category_ratio, 5) as top_category_ratio, coalesce(categories, 0) as categories, trace_available, breakdown_available, '30d' as lookback_window from base"""),
+    "evidence_baseline": sql("bundles", f"""select service, win, namespace, lookback_window, generated_at, {rounded('p50_ms p90_ms p95_ms p99_ms stddev_ms', 7)}, sample_count, total_count, error_count, {rounded('error_ratio error_stddev availability mean_rps stddev_rps p95_rps cpu_mean_ratio memory_mean_ratio cpu_p95_ratio memory_p95_ratio coverage_ratio', 7)}, rate_samples, saturation_available,
+        top_dependency, {rounded('top_dependency_p99_ms service_p99_ms top_dependency_contribution top_category_ratio', 7)}, top_category, categories, trace_available, breakdown_available from bundles"""),
+    "evidence_violations": sql("bundles cats", f"""select service, win, case {_SVC} when 1 then 'coverage_ratio' when 2 then 'series.latency_histogram.buckets[3].count' when 3 then 'namespace' when 4 then 'lookback_window' when 5 then 'series.error_total' when 7 then 'schema_version' when 9 then 'series.latency_histogram.buckets[7].le' end as path,
+        case {_SVC} when 1 then 'above' when 2 then 'below' when 3 then 'too short' when 4 then 'malformed' when 5 then 'missing' when 7 then 'above' when 9 then 'malformed' end as rule from bundles where {_SVC} in (1, 2, 3, 4, 5, 7, 9)
+        union all select service, win, 'series.logs.error_breakdown[' || (row_number() over (partition by service, win order by ratio desc, category) - 1) || '].ratio' as path, 'above' as rule from cats where {_SVC} = 8 and ratio * 3 > 1 and exists (select 1 from bundles b where b.service = cats.service and b.win = cats.win)"""),
+    "baseline_documents": sql("bundles", "select service, win, (coalesce(top_dependency_contribution, 0) > 1)::int + (coalesce(cpu_mean_ratio, 0) > 1)::int + (coalesce(memory_mean_ratio, 0) > 1)::int + (coalesce(cpu_p95_ratio, 0) > 1)::int + (coalesce(memory_p95_ratio, 0) > 1)::int as violations from bundles"),
+    "canonical_quarantine": r"""with r as (select l_linenumber, printf('%.6g', l_discount) as a, printf('%.6g', sqrt(l_extendedprice)) as b from lineitem),
+        t as (select l_linenumber, '{' || chr(10) || '  "l_linenumber": ' || l_linenumber || ',' || chr(10) || '  "parts": [' || chr(10) || '    {' || chr(10) || '      "root": ' || case when contains(b, '.') then b else b || '.0' end || ',' || chr(10) || '      "share": ' || case when contains(a, '.') then a else a || '.0' end || chr(10) || '    }' || chr(10) || '  ]' || chr(10) || '}' || chr(10) as payload from r)
+        select l_linenumber, count(*) as n, case when l_linenumber in (3, 5) then 0 else sum(('0x' || md5(payload)[:6])::bigint) end::bigint as digest, case when l_linenumber in (3, 5) then 'aside' else 'kept' end as kind from t group by l_linenumber""",
     "drift_core": sql("drift", f"select {_DRIFT} from drift where ord <= 5"),
     "drift_saturation": sql("drift", f"select {_DRIFT} from drift where ord in (6, 7)"),
     "drift_dependency": sql("drift", f"select {_DRIFT} from drift where ord = 8"),

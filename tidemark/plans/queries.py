@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import alerts, audit, contracts, drift, fleet, grading, series, targets
+from tidemark.functions import canonical
+from tidemark.operators import alerts, audit, contracts, documents, drift, evidence, fleet, grading, series, targets
 from tidemark.operators import baseline as base
 from tidemark.sources import artifacts as store
 from tidemark.sources import roles, telemetry
@@ -154,7 +155,7 @@ def avg_by(spark, d):
 @query
 def avg_over_time(spark, d):
     rows = samples(spark, d).withColumn("epoch", series.epoch())
-    return rounded(series.over_time(rows, ["service"], "value", 86400, "mean").select("event_id", "mean"), 9)
+    return rounded(series.over_time(rows, ["service"], "value", {"mean": 86400}).select("event_id", "mean"), 9)
 
 
 @query
@@ -274,6 +275,53 @@ def baseline(spark, d):
     return rounded(baselines(spark, d).withColumns({"lookback_window": F.lit("30d"), "categories": F.coalesce("categories", F.lit(0))}), 5)
 
 
+# Evidence documents
+
+
+def bundles(spark, d) -> DataFrame:
+    reqs = roles.requests(spark, d)
+    daily = roles.gauges(spark, d).groupBy(*KEYS, F.to_date("ts").alias("day")).agg(F.avg("cpu").alias("cpu"), F.avg("mem").alias("mem"))
+    keyed = lambda df: df.withColumnRenamed("service_key", "service")
+    own, deps = (keyed(f(own_spans(spark, d), ["service_key", "win"])) for f in (base.service_latency, base.dependencies))
+    return evidence.bundles(reqs, roles.rates(reqs), daily, own, deps, base.log_categories(roles.logs(spark, d), KEYS), KEYS, BOUNDS, roles.namespace("service"), "30d", "events")
+
+
+@query
+def evidence_baseline(spark, d):
+    rows = evidence.baselines(bundles(spark, d), KEYS)
+    text = F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss")
+    return rounded(rows.withColumns({"generated_at": text, "categories": F.coalesce("categories", F.lit(0))}).drop("provenance"), 7)
+
+
+def _faulty_bundles(spark, d) -> DataFrame:
+    """Evidence with one fault a service, at different depths."""
+    n = F.substring("service", 5, 2).cast("int")
+    s = F.col("series")
+    worse = lambda name, f: F.transform(s["latency_histogram"]["buckets"], lambda b, i: F.struct(b["le"].alias("le"), F.when(i == 3, -1.0).otherwise(b["count"]).alias("count")) if name == "count" else f(b))
+    negative = s.withField("latency_histogram.buckets", worse("count", None))
+    wide = s.withField("latency_histogram.buckets", worse("le", lambda b: F.struct(F.when(b["le"] == "+Inf", "wide").otherwise(b["le"]).alias("le"), b["count"].alias("count"))))
+    shares = s.withField("logs.error_breakdown", F.transform(s["logs"]["error_breakdown"], lambda c: c.withField("ratio", c["ratio"] * 3)))
+    series_ = F.when(n == 2, negative).when(n == 5, s.withField("error_total", F.lit(None).cast(s_type(bundles(spark, d), "error_total")))).when(n == 8, shares).when(n == 9, wide).otherwise(s)
+    return bundles(spark, d).withColumns({"coverage_ratio": F.when(n == 1, 1.5).otherwise(F.col("coverage_ratio")), "namespace": F.when(n == 3, "").otherwise(F.col("namespace")), "lookback_window": F.when(n == 4, "30 days").otherwise(F.col("lookback_window")), "schema_version": F.when(n == 7, F.lit(3)).otherwise(F.col("schema_version")), "series": series_})
+
+
+def s_type(df: DataFrame, part: str):
+    return df.schema["series"].dataType[part].dataType
+
+
+@query
+def evidence_violations(spark, d):
+    _, aside = documents.quarantine(_faulty_bundles(spark, d), documents.EVIDENCE)
+    return documents.by_path(aside, KEYS)
+
+
+@query
+def baseline_documents(spark, d):
+    """Baselines from evidence as documents of their contract, and how many violate it."""
+    docs = evidence.baseline_documents(evidence.baselines(bundles(spark, d), KEYS), KEYS)
+    return docs.select(*KEYS, F.size(documents.violations(docs, documents.BASELINE)).alias("violations"))
+
+
 # Drift
 
 
@@ -315,8 +363,14 @@ def drift_skipped(spark, d):
     return out.filter("status = 'skipped'").select("service", "name", "live_value", "band_breach", "first_pass_class", "skip_reason")
 
 
+def _signals(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Drift rows and their signals, both from one frame."""
+    rows = drifts(spark, d)
+    return rows, drift.report_class(drift.drift_signal(rows, ["service"]))
+
+
 def signals(spark, d) -> DataFrame:
-    return drift.report_class(drift.drift_signal(drifts(spark, d), ["service"]))
+    return _signals(spark, d)[1]
 
 
 @query
@@ -345,7 +399,10 @@ def maturity() -> Column:
 
 
 def proposals(spark, d, win: str = "baseline") -> DataFrame:
-    b = baselines(spark, d).filter(F.col("win") == win).drop("win")
+    return proposals_of(baselines(spark, d).filter(F.col("win") == win).drop("win"))
+
+
+def proposals_of(b: DataFrame) -> DataFrame:
     return targets.propose(targets.observed(b, ["service"], saturation=True), maturity())
 
 
@@ -553,15 +610,21 @@ def actuation_hits(spark, d):
 
 
 def _reports(spark, d) -> DataFrame:
-    s = signals(spark, d)
-    v = grading.signal_values(drifts(spark, d), ["service"])
+    """A report per service, each with a fault of its own or an oddity that is none."""
+    drift_rows, s = _signals(spark, d)
+    v = grading.signal_values(drift_rows, ["service"])
     n = F.substring("service", 5, 2).cast("int")
     cls = F.when(n == 7, "throughput_surge").otherwise(F.col("report_class"))
     sev = F.when(n == 8, "critical").otherwise(drift.severity(F.col("dominant_magnitude"), cls))
-    first = F.element_at("values", -1)
-    rationale = F.when(n == 6, F.lit("no figure")).otherwise(F.concat(F.lit("latency error capacity at "), F.format_string("%.4f", F.when(n == 4, first * 1.5).otherwise(first))))
-    rec = F.array(F.struct(F.when(n == 9, "kubectl scale").otherwise("continue monitoring").alias("action"), rationale.alias("rationale"), F.lit("immediate").alias("priority"), F.lit("signals").alias("evidence_basis"), F.when(n == 5, "").otherwise("run again").alias("verification_method")))
-    truth = s.join(v, "service").select("service", F.col("report_class").alias("class"), "dominant_class", F.col("dominant_magnitude").alias("magnitude"), "values", cls.alias("classification"), sev.alias("severity"), F.when(n == 3, "").otherwise("seen in signals").alias("likely_cause"), rec.alias("recommendations"))
+    most = F.element_at("values", -1)
+    # One cites the magnitude alone, one a name, a share and a time, which are no values.
+    cited = F.when(n == 1, F.col("dominant_magnitude")).when(n == 4, most * 1.5).otherwise(most)
+    rationale = F.when(n == 6, F.lit("no figure")).otherwise(F.concat(F.lit("latency error capacity at "), F.format_string("%.4f", cited), F.when(n == 0, " by p99, up 40% in 24h").otherwise("")))
+    action = F.when(n == 9, "kubectl scale").when(n == 2, "continue monitoring in 3 steps").otherwise("continue monitoring")
+    plan = F.struct(F.lit("immediate").alias("priority"), F.lit("signals").alias("evidence_basis"), F.when(n != 5, "run again").alias("verification_method"))
+    rec = F.array(F.struct(action.alias("action"), F.lit("high").alias("confidence"), rationale.alias("rationale"), plan.alias("remediation_plan")))
+    cause = F.when(n == 3, "").otherwise("seen in signals")
+    truth = s.join(v, "service").select(F.lit(1).alias("schema_version"), "service", F.col("report_class").alias("class"), "report_class", F.col("dominant_magnitude").alias("magnitude"), "values", cls.alias("classification"), sev.alias("severity"), cause.alias("likely_cause"), rec.alias("recommendations"))
     return truth.withColumns({"severity_range": F.array(F.lit("info"), F.lit("low"), F.lit("medium"), F.lit("high")), "category": drift.remedy(F.col("class"))})
 
 
@@ -576,11 +639,18 @@ def grading_totals(spark, d):
 
 
 def _graded_proposals(spark, d) -> DataFrame:
+    """A proposal per service, some with a fault of their own."""
     b = baselines(spark, d).filter("win = 'baseline'")
-    values = b.select("service", "top_dependency", "top_category", F.array("p50_ms", "p99_ms", "error_ratio", "availability", "mean_rps").alias("values"))
-    p = targets.check(proposals(spark, d).filter("sli_type != 'saturation'")).join(values, "service")
-    rationale = F.concat(F.lit("observed "), F.format_string("%.6f", "observed"), F.lit(" with "), F.coalesce("top_dependency", F.lit("")), F.lit(" and "), F.when(F.col("service") == "svc-02", "").otherwise(F.coalesce("top_category", F.lit(""))))
-    return grading.grade_proposals(p.withColumn("rationale", rationale), ["service"])
+    context = b.select("service", "top_dependency", "top_category", grading.baseline_values(b).alias("values"))
+    n = F.substring("service", 5, 2).cast("int")
+    seen = proposals_of(b.drop("win")).filter("sli_type != 'saturation'")
+    faulty = seen.withColumns({"slo_target": F.when(n == 1, F.col("observed")).otherwise(F.col("slo_target")), "target_op": F.when(n == 5, "gte").otherwise(F.col("target_op"))})
+    p = targets.check(faulty).join(context, "service")
+    figure = F.when(n == 3, F.lit("no figure")).when(n == 4, F.lit("123456789.5")).otherwise(F.format_string("%.6f", "observed"))
+    rationale = F.concat(F.lit("observed "), figure, F.lit(" with "), F.coalesce("top_dependency", F.lit("")), F.lit(" and "), F.when(n == 2, "").otherwise(F.coalesce("top_category", F.lit(""))))
+    budget = F.when(n == 6, 101.0).when(n == 7, 0.0).otherwise(F.col("error_budget_percent"))
+    p = p.withColumns({"rationale": F.when(n == 8, "").otherwise(rationale), "error_budget_percent": budget, "sli_definition": F.concat(F.lit("observed "), F.col("sli_type")), "burn_rate_policy": F.struct(F.col("burn_windows").alias("windows"))})
+    return grading.grade_proposals(p, ["service"])
 
 
 @query
@@ -600,8 +670,18 @@ def scorecard(spark, d):
 
 
 def _sections(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.col("source").alias("section"), F.to_json(F.struct(F.col("doc_id").alias("id"), F.length("text").alias("n"), F.col("lang"))).alias("payload"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("section"), F.col("doc_id").alias("id"), F.struct(F.sha2("text", 256).alias("sha256"), F.length("text").alias("n")).alias("text"), "lang", (F.length("text") / 7).alias("ratio"))
+    return canonical.serialize(docs, ["ratio", "text", "lang", "id"])[0].select("doc_id", "section", "payload")
+
+
+@query
+def canonical_quarantine(spark, d):
+    n = F.col("l_linenumber")
+    odd = F.when(n == 3, float("nan")).when(n == 5, float("inf")).otherwise(F.col("l_discount"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.struct(odd.alias("share"), F.sqrt("l_extendedprice").alias("root"))).alias("parts"))
+    good, aside = canonical.serialize(rows, ["parts", "l_linenumber"])
+    counted = lambda df, name, *more: df.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), *more).withColumn("kind", F.lit(name))
+    return counted(good, "kept", F.sum(F.conv(F.substring(F.md5("payload"), 1, 6), 16, 10).cast("bigint")).alias("digest")).unionByName(counted(aside, "aside", F.lit(0).cast("bigint").alias("digest")))
 
 
 @query

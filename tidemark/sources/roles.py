@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks
+
 #: Upper bounds of latency buckets in milliseconds.
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, float("inf")]
 LIVE_FROM, GAUGES_LIVE_FROM = "2024-01-24", "1997-01-01"
@@ -20,6 +22,12 @@ def service(number: Column | str) -> Column:
     return F.concat(F.lit("svc-"), F.lpad((n % 10).cast("string"), 2, "0"))
 
 
+def namespace(service_: Column | str) -> Column:
+    """Services with an even number belong to one namespace, those with an odd one to another."""
+    s = F.col(service_) if isinstance(service_, str) else service_
+    return F.when(F.substring(s, 5, 2).cast("int") % 2 == 0, "shop").otherwise("core")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests from events; three services are slower by four in the live window."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -40,8 +48,9 @@ def rates(reqs: DataFrame) -> DataFrame:
 
 def counters(reqs: DataFrame) -> DataFrame:
     """Running counts per service and code in time order; they start anew after every 97th."""
-    n = F.row_number().over(Window.partitionBy("service", "code").orderBy("ts", "event_id"))
-    return reqs.select("event_id", "service", "code", "ts", ((n - 1) % 97 + 1).cast("double").alias("value"))
+    rows = reqs.select("event_id", "service", "code", "ts", F.unix_timestamp("ts").alias("_epoch"))
+    rows = blocks.numbered(rows, ["service", "code"], ["ts", "event_id"], "_number", "_epoch")
+    return rows.select("event_id", "service", "code", "ts", ((F.col("_number") - 1) % 97 + 1).cast("double").alias("value"))
 
 
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
