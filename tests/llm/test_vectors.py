@@ -151,3 +151,21 @@ def test_strings_group_what_is_near():
     s, t, u = (forest.strings(x, forest.rotations()) for x in (a, near, far))
     shared = lambda p, q: np.mean(forest.bits - np.floor(np.log2((p ^ q) + 1)))
     assert shared(s, t) > 2 * shared(s, u)
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.005])
+def test_near_copies_are_found(spark, noise):
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((15, 64))[rng.integers(0, 15, 4500)] + noise * rng.standard_normal((4500, 64))).astype(np.float32)
+    got = collected(ann.search(spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = ranked(unit @ unit.T, list(range(len(x))), 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
+def test_scores_within_rounding_all_go_on():
+    s = np.array([[0.9, 0.5, 0.9 - 1e-7, 0.9 - 1e-3], [0.1, 0.2, 0.3, 0.4]], np.float32)
+    rows, columns = ann.within(s, 1, 1e-6)
+    assert list(zip(rows.tolist(), columns.tolist())) == [(0, 0), (0, 2), (1, 3)]
+    assert len(ann.within(s, 4, 1e-6)[0]) == 8

@@ -7,8 +7,8 @@ prefix, summed over the trees, are enough: the table's size to a power below one
 
 How far to ascend is found in a bounded sample of the strings, sorted, which every task has; with few rows that is all of them. A query far
 from a direction that most rows share ascends to the root, where it meets every row once. The arrays lie in blocks by their first bits, as many as
-the table's size asks for (a block with very many equal prefixes is split by hash). In them vectors take a byte a component; each tree's best for a query go
-on, and of those the nearest are scored again on the original vectors.
+the table's size asks for (a block with very many equal prefixes is split by hash). In them vectors are single floats; of each tree's rows that a query meets, all
+go on that those floats' rounding does not tell from its k-th best, and what goes on of all trees is scored again on the original vectors.
 """
 
 from __future__ import annotations
@@ -61,9 +61,16 @@ class Forest:
         return out
 
 
-def bytes_of(v: np.ndarray) -> np.ndarray:
-    """Unit vectors with a byte a component, up to a factor of each row's own."""
-    return np.rint(v * (127 / np.abs(v).max(axis=1, keepdims=True))).astype(np.int8)
+#: What a cosine of single floats may be off by: their sum's rounding, twice over, in each of d terms and the norms.
+def float_error(d: int) -> float:
+    return 4 * (d + 4) * float(np.finfo(np.float32).eps)
+
+
+def within(scores: np.ndarray, k: int, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every score that may be among its row's k highest, given what each may be off by."""
+    if scores.shape[1] <= k:
+        return np.nonzero(np.ones(scores.shape, bool))
+    return np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None] - 2 * error)
 
 
 def level_of(keys: np.ndarray, sample: np.ndarray, bits: int, enough: float) -> np.ndarray:
@@ -113,7 +120,7 @@ def search(
     if zeros followed. Rows alike in id and vector count once; rows that repeat an id with other vectors are rows of their own. Equal vectors of several
     ids all appear. Fewer candidates than k give fewer rows, an empty table none. Other columns are ignored.
     """
-    keep, listed = k + 1, k + 4
+    keep = k + 1
     clean, d = vectors.padded(vectors.valid(rows, id_col, vector_col).filter(F.exists("v", lambda x: x != 0)))
     clean = cut(clean)
     points = cut(vectors.distinct_vectors(clean, keep))
@@ -121,7 +128,7 @@ def search(
     owners, queries = vectors.queries_of(clean, points, every)
     owners, queries = cut(owners), cut(queries)
     forest = Forest(d, trees, seed)
-    bits = forest.bits
+    bits, error = forest.bits, float_error(d)
 
     def unit(v: np.ndarray) -> np.ndarray:
         v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -134,7 +141,7 @@ def search(
             for i in range(0, batch.num_rows, 2048):
                 part_ = batch.slice(i, 2048)
                 v = unit(vectors.matrix(part_.column("v"), d))
-                small = [x.tobytes() for x in bytes_of(v)]
+                small = [x.tobytes() for x in v.astype(np.float32)]
                 yield pa.RecordBatch.from_arrays([part_.column("rep"), pa.array(small, pa.binary()), pa.array(list(forest.strings(v, rotations)), pa.list_(pa.int64()))], names=["rep", "small", "keys"])
 
     point_keys = cut(points.select("rep", "v").mapInArrow(strings, "rep long, small binary, keys array<long>"))
@@ -175,8 +182,7 @@ def search(
             m = int((side == 0).sum())
             if not m or m == len(side):
                 continue
-            v = np.frombuffer(b"".join(t.column("small").to_pylist()), np.int8).reshape(-1, d).astype(np.float32)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.frombuffer(b"".join(t.column("small").to_pylist()), np.float32).reshape(-1, d)
             shift = bits - t.column("level").to_numpy()[:m].astype(np.int64)
             lo = np.searchsorted(key[m:], (key[:m] >> shift) << shift, side="left")
             hi = np.searchsorted(key[m:], ((key[:m] >> shift) + 1) << shift, side="left")
@@ -189,14 +195,17 @@ def search(
                 for first in range(0, len(run) if j > i else 0, 512):
                     mine = run[first : first + 512]
                     s = v[mine] @ v[m + i : m + j].T
-                    best = vectors.top_columns(s, listed)
-                    for to, x in zip(found, (np.repeat(rep[mine], best.shape[1]), rep[m + i + best].ravel(), np.take_along_axis(s, best, 1).ravel())):
+                    at, best = within(s, keep, error)
+                    for to, x in zip(found, (rep[mine][at], rep[m + i + best], s[at, best])):
                         to.append(x)
             if found[0]:
                 yield pa.RecordBatch.from_pydict(dict(zip(("query_rep", "rep", "near"), (np.concatenate(x) for x in found))))
 
     found = both.mapInArrow(nearest, "query_rep long, rep long, near float").groupBy("query_rep", "rep").agg(F.max("near").alias("near"))
-    few = found.withColumn("turn", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep"))).filter(F.col("turn") <= listed)
+    by_query = Window.partitionBy("query_rep")
+    found = found.withColumn("turn", F.row_number().over(by_query.orderBy(F.desc("near"), "rep")))
+    least = F.max(F.when(F.col("turn") == keep, F.col("near"))).over(by_query)
+    few = found.withColumn("least", least).filter(F.col("least").isNull() | (F.col("near") >= F.col("least") - 2 * error)).select("query_rep", "rep")
     with_vectors = few.join(points.select("rep", F.col("v").alias("pv")), "rep").join(queries.select(F.col("rep").alias("query_rep"), F.col("v").alias("qv")), "query_rep")
     best = with_vectors.select("query_rep", "rep", _score("qv", "pv").alias("score"))
     return vectors.results(best, points, owners, k)
