@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 1_500, max_te
     """The index over at most ``max_examples`` examples of each label, in at most ``max_terms`` terms that two examples share at least.
 
     Equal texts count once. A term counts once for all examples that have it between the same words, so a family of near copies does not make its
-    chance words look like signs of its label. Words in over a fiftieth of the examples that say next to nothing of the label are stop words.
+    chance words look like signs of its label. Words in over a fiftieth of the examples (and in more than two) that say next to nothing of the label are stop words.
     """
     spark = docs.sparkSession
     chosen, count = _sample(labels, max_examples)
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 1_500, max_te
     chi2 = F.expr(f"{both}D * power(greatest(abs(a * ({n0}D - b) - b * ({n1}D - a)) - {both / 2}D, 0D), 2) / ({n1}D * {n0}D * (a + b) * greatest({both}D - a - b, 0.5D))")
     odds = F.abs(F.log((F.col("a") + 0.5) / n1) - F.log((F.col("b") + 0.5) / n0))
     df = df.withColumn("sure", chi2 * chi2 / (chi2 * chi2 + HALF_CHI2**2)).withColumn("says", F.greatest(F.col("sure") * odds, F.lit(1e-3)))
-    picked = df.filter((F.col("docs") <= both / 50) | (F.col("sure") >= 0.05)).orderBy(F.desc("says"), F.desc("docs"), "term").limit(max_terms)
+    picked = df.filter((F.col("docs") <= max(2.0, both / 50)) | (F.col("sure") >= 0.05)).orderBy(F.desc("says"), F.desc("docs"), "term").limit(max_terms)
     picked = picked.select("term", F.col("says") * F.log(1 + both / F.col("docs"))).toArrow()
     names = picked.column(0).to_pylist()
     numbered = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string()), "t": pa.array(range(len(names)), pa.int32())}))
