@@ -184,6 +184,57 @@ def test_grounding(spark):
     assert [r.g for r in df.select(grading.grounded(F.col("t"), F.col("v")).alias("g")).collect()] == [True, False, True, True]
 
 
+def _report(spark, cls="latency_regression", severity="high", cause="p99 rose to 505", action="profile the latency", rationale="p99 at 505 against 500", plan=("immediate", "p99", "more", "look again"), values=(500.0, 0.0, 7.7), expected="latency_regression", magnitude=7.7, confidence="high"):
+    schema = "schema_version int, service string, classification string, severity string, likely_cause string, recommendations array<struct<action:string,confidence:string,rationale:string,remediation_plan:struct<priority:string,evidence_basis:string,expected_impact:string,verification_method:string>>>, values array<double>, report_class string, magnitude double, class string, severity_range array<string>, category string"
+    row = (1, "s", cls, severity, cause, [(action, confidence, rationale, plan)], list(values), expected, magnitude, expected, ["high", "critical"], "performance")
+    return one(grading.grade_reports(spark.createDataFrame([row], schema)))
+
+
+def test_gates_of_reports(spark):
+    gates = lambda **x: (lambda r: [g for g in grading.REPORT_GATES if not r[g]])(_report(spark, **x))
+    assert gates() == [] and _report(spark)["pass"]
+    # The dominant magnitude is a value, steps in an action are no citation, a latency regression may be a shift.
+    assert gates(cause="breach of 7.7", rationale="p99 is 7.7 spreads off") == []
+    assert gates(action="profile the latency in 3 steps") == [] and gates(cls="distribution_shift") == ["classification_accuracy"]
+    assert gates(rationale="p99 at 505, 40% up in 24h, 4x") == [] and gates(rationale="p99 at 505 and 3 more") == ["grounding"]
+    assert gates(cause="0.00000000001 left of 505") == [] and gates(cause="0.00000000001 left of 505", values=(500.0,)) == ["grounding"]
+    assert gates(cls="error_rate_elevation") == ["class_validity", "classification_accuracy"] and gates(cls="worse") == ["schema_valid", "class_validity", "classification_accuracy"]
+    assert gates(expected="unheard_of") == ["classification_accuracy"]
+    assert gates(action="kubectl get latency") == ["no_actuation"] and gates(rationale="no figure of latency") == ["rationale_quality"]
+    assert gates(severity="info") == ["severity_calibration", "severity_consistent"] and gates(action="wait", rationale="at 505", cause="505") == ["remediation_relevance"]
+    assert gates(plan=None) == ["remediation_depth"] and gates(plan=("now", "p99", "more", "look again")) == ["schema_valid"] and gates(confidence="sure") == ["schema_valid"]
+    assert gates(cause="") == ["schema_valid"] and not _report(spark, cause="")["pass"]
+
+
+def test_refined_classes_of_signals_are_mapped(spark):
+    rows = [("a", "dependency_p99_ms", 9.0, "dependency_latency_regression"), ("b", "error_top_category_ratio", 9.0, "error_category_shift"), ("c", "error_top_category_ratio", 9.0, "error_category_shift"), ("c", "latency_p99_ms", 3.0, "latency_regression")]
+    df = spark.createDataFrame([(s, i, n, m, c, True, "measured", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0) for i, (s, n, m, c) in enumerate(rows)], "service string, ord int, name string, breach_magnitude double, first_pass_class string, band_breach boolean, status string, live_value double, baseline_value double, abs_deviation double, rel_deviation double, band_upper double, band_lower double")
+    classes = {r.service: r.report_class for r in drift.report_class(drift.drift_signal(df, ["service"])).collect()}
+    assert classes == {"a": "latency_regression", "b": "error_rate_elevation", "c": "distribution_shift"}
+    values = {r.service: r["values"] for r in grading.signal_values(df, ["service"]).collect()}
+    assert values["c"] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 9.0]
+
+
+def test_gates_of_proposals(spark):
+    windows = "struct<windows:array<struct<long_window:string,short_window:string,burn_rate:double,severity:string>>>"
+    schema = f"service string, sli_name string, sli_type string, sli_definition string, slo_target double, sla_target double, target_op string, error_budget_percent double, burn_rate_policy {windows}, rationale string, observed double, violations array<string>, values array<double>, top_dependency string, top_category string"
+    fine = dict(service="s", sli_name="n", sli_type="latency", sli_definition="d", slo_target=400.0, sla_target=600.0, target_op="lte", error_budget_percent=0.5, burn_rate_policy=([("1h", "5m", 14.4, "critical")],), rationale="500 ms, db", observed=500.0, violations=[], values=[500.0, 0.002], top_dependency="DB", top_category="null_pointer")
+    ratio = dict(fine, sli_name="e", sli_type="error_rate", slo_target=0.001, sla_target=0.003, observed=0.002, rationale="0.002, null pointer")
+
+    def gates(first=None, second=None):
+        rows = [dict(fine, **(first or {})), dict(ratio, **(second or {}))]
+        r = one(grading.grade_proposals(spark.createDataFrame([tuple(x[c] for c in fine) for x in rows], schema), ["service"]))
+        assert r["pass"] == all(r[g] for g in grading.PROPOSAL_GATES)
+        return [g for g in grading.PROPOSAL_GATES if not r[g]]
+
+    assert gates() == [] and gates({"rationale": "about -500, db"}) == [] and gates({"rationale": "504 db"}) == []
+    assert gates({"rationale": "506 db"}) == ["grounding", "rationale_quality"] and gates({"rationale": ""}) == ["schema_valid", "grounding", "rationale_quality", "trace_log_citation"]
+    assert gates({"violations": ["too_loose"]}) == ["consistency"] and gates({"sli_type": "throughput"}) == ["indicator_appropriateness", "direction_validity"]
+    assert gates({"error_budget_percent": 0.0}) == ["budget_coherence"] and gates({"error_budget_percent": 101.0}) == ["schema_valid", "budget_coherence"]
+    assert gates({"burn_rate_policy": ([],)}) == ["schema_valid", "budget_coherence"] and gates({"slo_target": 500.0}) == ["margin_quality"] and gates({"slo_target": 500.0, "observed": None}) == []
+    assert gates(None, {"target_op": "gte"}) == ["direction_validity"] and gates({"rationale": "500 ms"}) == ["trace_log_citation"] and gates(None, {"rationale": "0.002"}) == ["trace_log_citation"]
+
+
 def test_readers_of_payloads(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m/a.json").write_text('{"data":{"result":[{"metric":{"le":"+Inf"},"values":[[1609459200,"100"],[1609459260,"x"]]}]}}')
