@@ -57,12 +57,22 @@ def test_equals_plain_counting(spark, max_words, min_count, top):
 
 
 def test_a_full_array_lets_through_but_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "MOST_BITS", 4)
-    monkeypatch.setattr(collocations, "LEAST_BITS", 4)
+    full = lambda texts, min_count, orders, known: np.full(1 << (collocations.BITS - 3), 255, np.uint8)
+    monkeypatch.setattr(collocations, "frequent_cells", full)
     rows = list(texts(120, 9))
     assert sorted(map(tuple, collocations.mine(spark.createDataFrame(rows, SCHEMA), min_count=3).collect())) == plain([(r[1], r[2]) for r in rows], 5, 3, 2000)
 
 
+def test_arrays_know_every_frequent_phrase_and_few_others(spark):
+    rows = [(None if i % 3 else "en", f"all of them again {i} and {i} more {i % 7} times") for i in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    first = collocations.frequent_cells(df, 100, [1, 2], [])
+    second = collocations.frequent_cells(df, 100, [3, 4, 5], [first])
+    (words,) = collocations.parts(pa.RecordBatch.from_arrays([pa.array([None] * 2, pa.string()), pa.array(["all of them again and more", "of all 7 times and"])], names=["lang", "text"]))
+    on = collocations.possible(words, words.hashes(5), [first, second])
+    assert [x.tolist() for x in on] == [[True] * 4 + [False, False, True, True] + [False] * 3, [True, True, True] + [False] * 8, [True, True] + [False] * 9, [True] + [False] * 10, [False] * 11]
+
+
 def test_rows_alike_and_empty_tables(spark):
     rows = [(None, "a b c", "en", 1, 2, "p", "w", 3)] * 300
     got = [tuple(r) for r in collocations.mine(spark.createDataFrame(rows, SCHEMA)).collect()]
@@ -78,11 +88,17 @@ def test_scores_beyond_64_bits_are_exact(spark):
     assert row.selectExpr(f"({wide('a')} * {wide('n')} * 1000) div ({wide('l')} * {wide('r')}) as s").first().s == 1000 * a * n // (x * y)
 
 
-def test_words_of_a_batch():
-    strings = pa.array(["Ab c.d", None, "", "e\tF  g", "h", "i j"])[1:]
-    words = collocations.Words(strings, pa.array(["x", "x", None, "y", "y"]))
+def test_words_of_a_batch(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "x", None, "y", "y"]), pa.array(["Ab c.d", None, "", "e\tF  g", "h", "i j"])[1:]], names=["lang", "text"])
+    (words,) = collocations.parts(batch)
     assert words.strings(np.arange(len(words.start))).to_pylist() == ["e", "f", "g", "h", "i", "j"]
-    assert words.joined.tolist() == [True, True, False, False, True, False] and words.text.tolist() == [2, 2, 2, 3, 4, 4]
-    word, _ = words.hashes()
-    again, _ = collocations.Words(pa.array(["zz g g"]), pa.array(["und"])).hashes()
+    assert words.joined.tolist() == [True, True, False, False, True, False] and words.text.tolist() == [0, 0, 0, 1, 2, 2]
+    word, _ = words.hashes(2)
+    (more,) = collocations.parts(pa.RecordBatch.from_arrays([pa.array(["und"]), pa.array(["zz g g"])], names=["lang", "text"]))
+    again, _ = more.hashes(2)
     assert word[2] == again[1] == again[2] and len(set(word.tolist())) == 6
+    monkeypatch.setattr(collocations, "PART_BYTES", 2)
+    cut = list(collocations.parts(batch))
+    assert [w.strings(np.arange(len(w.start))).to_pylist() for w in cut] == [["e", "f", "g"], ["h", "i", "j"]] and np.array_equal(np.concatenate([w.hashes(1)[0] for w in cut]), word)
+    long = pa.RecordBatch.from_arrays([pa.array([None, "x"]), pa.array(["a b.c d,e", "f"])], names=["lang", "text"])
+    assert [(w.strings(np.arange(len(w.start))).to_pylist(), w.joined.tolist(), w.lang.tolist()) for w in collocations.parts(long)] == [(["a", "b"], [True, False], [0, 0]), (["c", "d"], [True, False], [0, 0]), (["e", "f"], [False, False], [0, 1])]

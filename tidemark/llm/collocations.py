@@ -4,9 +4,9 @@ At every word starts one window of the longest length, its columns the word and
 windows are counted; a ROLLUP over their columns sums them to every shorter prefix and, at its root, to the number of words. As each word starts one window, the
 sums are the frequencies of all phrases of every length.
 
-A window also ends before a pair of words that is certainly too rare: a first pass counts words and pairs by hash in an array of fixed size, and what
-falls in a cell of fewer than ``min_count`` is in no phrase that is asked for, nor in a part of one. Cells that several share only let more through, so frequencies
-are exact. Where data outgrow the array it spares less, and the windows that are counted become more.
+A window also ends before a word with which it would certainly be too rare: two passes count words and pairs, then longer runs of such pairs, by hash in arrays of
+fixed size, and what falls in a cell of fewer than ``min_count`` is in no phrase that is asked for, nor in a part of one; neither is a word that is in no such pair. Cells that
+several share only let more through, so frequencies are exact. Where data outgrow the arrays they spare less, and the windows that are counted become more.
 """
 
 from __future__ import annotations
@@ -23,8 +23,14 @@ from tidemark.llm.shared import cut, sent_small, small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNKNOWN = "und"
-#: Cells of the array as powers of two.
-LEAST_BITS, MOST_BITS = 16, 24
+#: Cells of an array, as a power of two.
+BITS = 24
+#: Bytes of text of a task at least, beside which the array and the counts that it sends are small.
+TASK_BYTES = 128 << 20
+#: Bytes of text at a time, of which several arrays of eight bytes each are made; and windows that a task adds up before it passes them on.
+PART_BYTES, HELD_ROWS = 1 << 20, 400_000
+#: What tells words that are in a possible pair from phrases in the second array.
+_USEFUL = np.uint64(0xD6E8FEB86659FD93)
 #: What a byte is: part of a word, a blank between words, the end of a piece.
 WORD, BLANK, END = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -42,34 +48,31 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: their place in ``data`` (lower-cased bytes), the text of each, whether the next is in the same piece, and hashes that take in the language."""
-
-    def __init__(self, texts: pa.Array, langs: pa.Array) -> None:
-        texts = texts.fill_null("").cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        base, length = int(offsets[0]) if len(texts) else 0, int(offsets[-1] - offsets[0]) if len(texts) else 0
-        raw = np.frombuffer(texts.buffers()[2], np.uint8, length, base) if length else np.empty(0, np.uint8)
-        offsets = offsets - base
-        self.data = _LOWER[raw]
+    """The words of some texts: their place in ``data`` (lower-cased bytes), the text of each, whether the next is in the same piece, and hashes that take in the language.
+
+    ``raw``: the texts' bytes, ``starts``: where each begins, ``lang``: its language's number in ``langs``.
+    """
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, lang: np.ndarray, langs: pa.Array) -> None:
+        self.data, self.langs = _LOWER[raw], langs
         kind = _KIND[raw]
         is_word = kind == WORD
-        fresh = np.zeros(length + 1, bool)  # where a text begins, or where all end
-        fresh[offsets] = True
-        before = np.zeros(length + 1, bool)
-        before[1:] = is_word
-        self.start = np.flatnonzero(is_word & ~(before[:-1] & ~fresh[:-1]))
-        after = np.zeros(length, bool)
+        fresh = np.zeros(len(raw) + 1, bool)  # where a text begins, or where all end
+        fresh[starts] = fresh[-1] = True
+        before = np.zeros(len(raw), bool)
+        before[1:] = is_word[:-1]
+        self.start = np.flatnonzero(is_word & ~(before & ~fresh[:-1]))
+        after = np.zeros(len(raw), bool)
         after[:-1] = is_word[1:]
         self.end = np.flatnonzero(is_word & ~(after & ~fresh[1:])) + 1
-        self.text = np.searchsorted(offsets, self.start, side="right") - 1
-        piece = np.cumsum(kind == END)[self.start]
+        self.text = np.searchsorted(starts, self.start, side="right") - 1
+        piece = np.cumsum(kind == END, dtype=np.int32)[self.start]
         self.joined = np.zeros(len(self.start), bool)
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
-        self.langs = langs.fill_null(UNKNOWN).dictionary_encode()
-        self.lang = np.asarray(self.langs.indices)[self.text]
+        self.lang = lang[self.text]
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hashes of every word, and of every word with the next."""
+    def hashes(self, max_words: int) -> list[np.ndarray]:
+        """64-bit hashes of every word, of every word with the next, and so on up to ``max_words``; where there is no next, of no meaning."""
         n = len(self.data)
         power = np.full(n + 1, _BASE)
         power[:1] = 1
@@ -79,12 +82,15 @@ class Words:
         back = np.full(n + 1, _BASE_INVERSE)
         back[:1] = 1
         back = np.cumprod(back, dtype=np.uint64)
-        own = np.array([int.from_bytes(x.encode("utf-8", "surrogatepass")[:64], "little") % (1 << 64) for x in self.langs.dictionary.to_pylist()], np.uint64)
+        own = np.array([int.from_bytes(x.encode("utf-8", "surrogatepass")[:8], "little") for x in self.langs.to_pylist()], np.uint64)
         word = (sums[self.end] - sums[self.start]) * back[self.start]
         word = _mixed(word ^ (_mixed(own)[self.lang] if len(own) else np.uint64(0)) ^ (self.end - self.start).astype(np.uint64))
-        pair = np.zeros(len(word), np.uint64)
-        pair[:-1] = _mixed(word[:-1] * np.uint64(3) + word[1:])
-        return word, pair
+        found = [word]
+        for m in range(1, max_words):
+            longer = np.zeros(len(word), np.uint64)
+            longer[: len(word) - m] = _mixed(found[-1][: len(word) - m] * np.uint64(3) + word[m:])
+            found.append(longer)
+        return found
 
     def strings(self, which: np.ndarray) -> pa.Array:
         """The words at the given places, dictionary-encoded."""
@@ -95,29 +101,76 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(self.data[at])).dictionary_encode()
 
 
-def _cell(hashes: np.ndarray, bits: int, side: int) -> np.ndarray:
-    """A cell's number: words (side 0) lie in the first half, pairs (side 1) in the second."""
-    return (hashes >> np.uint64(65 - bits)).astype(np.int64) + (side << (bits - 1))
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    return (Words(batch.column(1), batch.column(0)) for batch in batches if batch.num_rows)
-
-
-def frequent_cells(texts: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """A bit for each cell of words and of pairs: whether it holds ``min_count`` occurrences. ``texts``: lang, text."""
+def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A cell in each half of the array, from bits of the hash that have nothing to do with each other."""
+    half = BITS - 1
+    first, second = hashes >> np.uint64(64 - half), (hashes >> np.uint64(64 - 2 * half)) & np.uint64((1 << half) - 1)
+    return first.astype(np.int64), second.astype(np.int64) + (1 << half)
+
+
+def _holds(cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for c in _cells(hashes):
+        found &= (cells[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def possible(words: Words, hashes: list[np.ndarray], arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """For each length: whether a phrase of so many words starts at a word and may be frequent. The first of ``arrays`` knows words and pairs, the second longer ones and the words of possible pairs; without one all are taken that their parts allow."""
+    found: list[np.ndarray] = []
+    for m, h in enumerate(hashes, 1):
+        if m == 1:
+            on = np.ones(len(h), bool)
+        else:
+            follows = np.zeros(len(h), bool)
+            follows[:-1] = found[-1][1:] & words.joined[:-1]
+            on = found[-1] & follows
+        which = 0 if m <= 2 else 1
+        found.append(on & _holds(arrays[which], h) if which < len(arrays) else on)
+        if m == 1 and len(arrays) > 1:
+            found[0] &= _holds(arrays[1], _mixed(h ^ _USEFUL))
+    return found
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[Words]:
+    """The words of a batch (lang, text), about PART_BYTES at a time; long texts are cut between pieces."""
+    texts, langs = batch.column(1).fill_null("").cast(pa.large_string()), batch.column(0).fill_null(UNKNOWN).dictionary_encode()
+    lang = np.asarray(langs.indices)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    length = int(offsets[-1] - offsets[0])
+    if not length:
+        return
+    raw, offsets = np.frombuffer(texts.buffers()[2], np.uint8, length, int(offsets[0])), offsets - offsets[0]
+    edges = np.union1d(np.flatnonzero(_KIND[raw] == END) + 1, offsets)
+    at = 0
+    while at < length:
+        to = int(edges[min(len(edges) - 1, np.searchsorted(edges, at + PART_BYTES))])
+        first, last = np.searchsorted(offsets, at, side="right") - 1, np.searchsorted(offsets, to, side="left")
+        yield Words(raw[at:to], np.maximum(offsets[first:last], at) - at, lang[first:last], langs.dictionary)
+        at = to
+
+
+def frequent_cells(texts: DataFrame, min_count: int, orders: list[int], known: list[np.ndarray]) -> np.ndarray:
+    """A bit for each cell of phrases of ``orders`` words, two of each phrase: whether it holds ``min_count`` occurrences. Only what ``known`` arrays allow is counted; beside a known array words of possible pairs count as such. ``texts``: lang, text."""
     most = min(min_count, 255)
+    spread = texts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint8)
-        for words in _parts(batches):
-            word, pair = words.hashes()
-            number, n = np.unique(np.concatenate([_cell(word, bits, 0), _cell(pair[words.joined], bits, 1)]), return_counts=True)
+        cells = np.zeros(1 << BITS, np.uint8)
+        for words in (w for batch in batches for w in parts(batch)):
+            hashes = words.hashes(max(2, *orders, 2))
+            on = possible(words, hashes, spread.value)
+            number, n = np.unique(np.concatenate([c for m in orders for c in _cells(hashes[m - 1][on[m - 1]])] or [np.empty(0, np.int64)]), return_counts=True)
             cells[number] = np.minimum(n + cells[number], most)
+            if spread.value:
+                useful = on[1].copy()
+                useful[1:] |= on[1][:-1]
+                for c in _cells(_mixed(hashes[0][useful] ^ _USEFUL)):
+                    cells[c] = most
         yield from sketch.blocks_of(cells)
 
     fold = lambda held, more: more if held is None else np.minimum(held.astype(np.uint16) + more, most).astype(np.uint8)
-    return sketch.merged(texts.mapInArrow(count, sketch.SCHEMA), fold, lambda held: np.packbits(held >= most), 1 << bits)
+    return sketch.merged(texts.mapInArrow(count, sketch.SCHEMA), fold, lambda held: np.packbits(held >= most), 1 << BITS)
 
 
 def _combined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,43 +185,50 @@ def _combined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def windows(texts: DataFrame, max_words: int, cells: np.ndarray, bits: int) -> DataFrame:
-    """lang, w1 to w``max_words``, n: the padded windows that start at every word, counted by batch; padding is an empty string."""
-    spread = texts.sparkSession.sparkContext.broadcast(cells)  # 2^(MOST_BITS - 3) bytes at most
+def windows(texts: DataFrame, max_words: int, arrays: list[np.ndarray]) -> DataFrame:
+    """lang, w1 to w``max_words``, n: the padded windows that start at every word, counted by task as far as it can hold them; padding is an empty string."""
+    spread = texts.sparkSession.sparkContext.broadcast(arrays)  # twice 2^(BITS - 3) bytes
     names = [f"w{i + 1}" for i in range(max_words)]
 
+    def of(words: Words) -> pa.Table:
+        on = possible(words, words.hashes(max_words), spread.value)
+        which = np.flatnonzero(on[0])
+        strings = words.strings(which)
+        code = np.zeros(len(words.start) + max_words, np.int64)  # 0 is padding
+        code[which] = np.asarray(strings.indices) + 1
+        columns = [words.lang.astype(np.int64), *(np.where(x, code[i : i + len(x)], 0) for i, x in enumerate(on))]
+        first, n = _combined(columns)
+        values = pa.concat_arrays([pa.array([""], pa.large_string()), strings.dictionary]).cast(pa.string())
+        taken = [values.take(pa.array(c[first])) for c in columns[1:]]
+        langs = words.langs.cast(pa.string()).take(pa.array(columns[0][first]))
+        return pa.Table.from_arrays([langs, *taken, pa.array(n, pa.int64())], names=["lang", *names, "n"])
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["lang", *names], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", *names, "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fine = lambda c: (spread.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-        for words in _parts(batches):
-            if not len(words.start):
-                continue
-            word, pair = words.hashes()
-            known = fine(_cell(word, bits, 0))
-            joined = words.joined & known & fine(_cell(pair, bits, 1))
-            joined[:-1] &= known[1:]
-            which = np.flatnonzero(known)
-            strings = words.strings(which)
-            code = np.zeros(len(known) + max_words, np.int64)  # 0 is padding
-            code[which] = np.asarray(strings.indices) + 1
-            columns, on = [words.lang.astype(np.int64), code[: len(known)]], known
-            for i in range(1, max_words):
-                shifted = np.zeros(len(known), bool)
-                shifted[: len(known) - i + 1] = joined[i - 1 :]
-                on = on & shifted
-                columns.append(np.where(on, code[i : i + len(known)], 0))
-            first, n = _combined(columns)
-            values = pa.concat_arrays([pa.array([""], pa.large_string()), strings.dictionary]).cast(pa.string())
-            taken = [values.take(pa.array(c[first])) for c in columns[1:]]
-            langs = words.langs.dictionary.cast(pa.string()).take(pa.array(columns[0][first]))
-            yield pa.RecordBatch.from_arrays([langs, *taken, pa.array(n, pa.int64())], names=["lang", *names, "n"])
+        held: list[pa.Table] = []
+        for words in (w for batch in batches for w in parts(batch)):
+            if len(words.start):
+                held.append(of(words))
+            if sum(t.num_rows for t in held) > 2 * HELD_ROWS:
+                held = [summed(held)]
+                if held[0].num_rows > HELD_ROWS:
+                    yield from held.pop().to_batches(max_chunksize=10_000)
+        if held:
+            yield from summed(held).to_batches(max_chunksize=10_000)
 
     return texts.mapInArrow(count, "lang string, " + "".join(f"{c} string, " for c in names) + "n long")
 
 
 def frequencies(texts: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """lang, words (array), f: every phrase of up to ``max_words`` words found ``min_count`` times, and each language's number of words under no words at all."""
-    bits = sketch.bits_for(sketch.total(texts, F.octet_length("text")) / 64, LEAST_BITS, MOST_BITS)
-    counted = windows(texts, max_words, frequent_cells(texts, min_count, bits), bits)
+    # Fewer tasks, but never fewer than there are cores.
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    texts = texts.coalesce(max(cores, sketch.total(texts, F.octet_length("text")) // TASK_BYTES))
+    arrays = [frequent_cells(texts, min_count, [1, 2], [])]
+    arrays.append(frequent_cells(texts, min_count, list(range(3, max_words + 1)), arrays))
+    counted = windows(texts, max_words, arrays)
     names = [f"w{i + 1}" for i in range(max_words)]
     rolled = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.bit_count(F.grouping_id()).alias("above"))
     m = F.lit(max_words) - F.col("above")
