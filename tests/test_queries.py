@@ -6,7 +6,7 @@ from tidemark.plans.oracle import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-STREAMS = ["stream_indicators", "stream_record", "stream_drift", "stream_status"]
+STREAMS = ["stream_indicators", "stream_record", "stream_cpu", "stream_run_log", "stream_drift", "stream_status"]
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,45 @@ def test_closed_stream_windows_equal_the_batch(spark):
     raw = roles.table(spark, SF, "events").select(roles.service("user_id").alias("service"), "ts", roles.F.col("value").alias("latency_ms"), (roles.F.col("event_type") == "error").alias("is_error"))
     batch = {(r.service, r.window_start): (r.n, r.p99_ms) for r in stream_indicators(raw).collect()}
     assert reqs.count() and len(closed) > 0.9 * len(batch) and all(batch[k] == v for k, v in closed.items())
+
+
+def test_recorded_stream_windows_equal_the_batch(spark):
+    from tidemark.plans.queries import QUERIES, _latency_targets, _request_stream
+    from tidemark.sources import roles
+    from tidemark.streaming.windows import stream_cpu, stream_record
+
+    key = lambda rows, *names: {(r.service, r.window_start): tuple(None if r[n] is None else round(r[n], 9) for n in names) for r in rows}
+    raw = roles.table(spark, SF, "events").select(roles.service("user_id").alias("service"), "ts", roles.F.col("value").alias("latency_ms"), (roles.F.col("event_type") == "error").alias("is_error")).select(_request_stream(spark, SF).columns)
+    closed = key(QUERIES["stream_record"](spark, SF).collect(), "rps", "error_ratio", "good_ratio")
+    batch = key(stream_record(raw, _latency_targets(spark, SF)).collect(), "rps", "error_ratio", "good_ratio")
+    assert len(closed) > 0.9 * len(batch) and all(batch[k] == v for k, v in closed.items()) and any(v[2] not in (None, 0.0) for v in closed.values())
+    closed, batch = key(QUERIES["stream_cpu"](spark, SF).collect(), "cpu"), key(stream_cpu(roles.gauges(spark, SF)).collect(), "cpu")
+    assert len(closed) > 0.9 * len(batch) and all(batch[k] == v for k, v in closed.items())
+
+
+def test_late_rows_and_bounded_state_go_on_record(spark, tmp_path):
+    from tidemark.streaming.windows import RUN_LOG, run_logged, stream_indicators, stream_record
+
+    schema = "service string, ts timestamp, latency_ms double, is_error boolean"
+    hour = lambda h, m=0: f"2026-01-01 {h:02d}:{m:02d}:00"
+    on_time = [("a", hour(8 + i % 4, i % 60), float(i % 700), i % 5 == 0) for i in range(2000)] + [("a", hour(12), 1.0, False)]
+    late = [(s, hour(9, 1), 5.0, False) for s in "abcd"] + [("a", hour(12, 30), 5.0, False)]
+    # A batch is judged by the watermark that the one before it began with.
+    for i, rows in enumerate([on_time, [("a", hour(12, 20), 5.0, False)], late, [("a", hour(14), 5.0, False)]]):
+        df = spark.createDataFrame(rows, "service string, ts string, latency_ms double, is_error boolean").withColumn("ts", roles_ts("ts"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in/*"))
+    run_logged(spark, stream_record(stream()), "recorded", str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "log"))
+    log = {r.batch: r for r in spark.read.schema(RUN_LOG).parquet(str(tmp_path / "log")).collect()}
+    assert [log[i].rows for i in range(4)] == [2001, 1, 5, 1] and [log[i].dropped for i in range(4)] == [0, 0, 4, 0]
+    run_logged(spark, stream_indicators(stream()), "sliding", str(tmp_path / "out2"), str(tmp_path / "state2"), str(tmp_path / "log2"))
+    # A row of state for each service and open window, whatever their values.
+    log = spark.read.schema(RUN_LOG).parquet(str(tmp_path / "log2")).collect()
+    assert max(r.state_rows for r in log) <= 2 * (12 - 7 + 1) + 2
+    assert spark.read.schema(stream_indicators(stream()).schema).parquet(str(tmp_path / "out2")).filter("n > 100").count() > 4
+
+
+def roles_ts(column):
+    from pyspark.sql import functions as F
+
+    return F.col(column).cast("timestamp")

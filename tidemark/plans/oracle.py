@@ -303,6 +303,13 @@ ORACLE_SQL: dict[str, str] = {
     "audit_hash": sql("sections", "select doc_id, section, payload, sha256(payload) as sha256 from sections"),
     "audit_verify": "select case doc_id % 10 when 0 then 'missing hash' when 1 then 'hash mismatch' when 2 then 'orphan hash' else 'none' end as problem, count(*) as n from documents group by 1",
     "reproducible": "select 0::bigint as differences",
-    "batch_indicators": sql("wins", "select service, epoch(ws + interval 1 day)::bigint as epoch, count(*) as n, round(avg(is_error::int), 6) as error_ratio, round(quantile_disc(latency_ms, 0.99), 6) as p99_ms, round(quantile_disc(latency_ms, 0.5), 6) as p50_ms from (select w.service, w.ws, w.is_error, w.latency_ms from wins w) group by all"),
-    "batch_record": sql("req", "select service, epoch(time_bucket(interval 5 minute, ts))::bigint as epoch, round(count(*) / 300, 6) as rps, round(avg(is_error::int), 6) as error_ratio from req group by all"),
+    "batch_indicators": sql("wins", """, rows as (select service, ws, unnest([5.0::double, 10, 25, 50, 100, 250, 500, 'inf'::double]) as le, latency_ms, is_error from wins),
+        cum as (select service, ws, le, count(*) filter (latency_ms <= le) as cum from rows group by all),
+        bk as (select *, lag(cum, 1, 0) over w as pc, lag(le, 1, 0.0) over w as pb, max(cum) over (partition by service, ws) as total from cum window w as (partition by service, ws order by le)),
+        p as (select service, ws, """ + ", ".join(
+        f"coalesce(min_by(pb + case when cum <= pc then 0.0 else ({q} * total - pc) / (cum - pc) end * (le - pb), le) filter (le < 'inf' and cum >= {q} * total), max(le) filter (le < 'inf')) as {n}"
+        for n, q in (("p99_ms", 0.99), ("p50_ms", 0.5))) + """ from bk group by all)
+        select service, epoch(ws + interval 1 day)::bigint as epoch, n, round(e, 6) as error_ratio, round(p99_ms, 6) as p99_ms, round(p50_ms, 6) as p50_ms from p join (select service, ws, count(*) as n, avg(is_error::int) as e from wins group by all) using (service, ws)"""),
+    "batch_record": sql("req prop", "select r.service, epoch(time_bucket(interval 5 minute, ts))::bigint as epoch, round(count(*) / 300, 6) as rps, round(avg(is_error::int), 6) as error_ratio, round(avg((latency_ms <= round(sla_target, 4))::int), 6) as good_ratio from req r join prop p on p.service = r.service and p.sli_type = 'latency' group by all"),
+    "batch_cpu": "select 'svc-' || lpad((l_suppkey % 10)::varchar, 2, '0') as service, epoch(l_shipdate::timestamp)::bigint // 300 * 300 as epoch, round(avg(l_quantity / 50), 6) as cpu from lineitem group by all",
 }

@@ -707,12 +707,15 @@ def reproducible(spark, d):
 # Streams; the batch twins have SQL
 
 
-def _request_stream(spark, d) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+def _stream_of(spark, d, name: str) -> DataFrame:
+    """The rows of a table as a stream, whether it is a file or a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
     is_dir = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if is_dir else "events.parquet").parquet(f"{d}/events.parquet" if is_dir else d)
-    return stream.select(roles.service("user_id").alias("service"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("is_error"))
+    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", "*.parquet" if is_dir else f"{name}.parquet").parquet(f"{d}/{name}.parquet" if is_dir else d)
+
+
+def _request_stream(spark, d) -> DataFrame:
+    return _stream_of(spark, d, "events").select(roles.service("user_id").alias("service"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("is_error"))
 
 
 def _work_dir(spark) -> str:
@@ -735,9 +738,28 @@ def stream_indicators(spark, d):
     return _through(spark, streaming.stream_indicators(_request_stream(spark, d)))
 
 
+def _latency_targets(spark, d) -> DataFrame:
+    return proposals(spark, d).filter("sli_type = 'latency'").select("service", F.round("sla_target", 4).alias("sla_target"))
+
+
 @query
 def stream_record(spark, d):
-    return _through(spark, streaming.stream_record(_request_stream(spark, d)))
+    at = f"{_work_dir(spark)}/targets"
+    _latency_targets(spark, d).write.parquet(at)  # so that no batch computes them again
+    return _through(spark, streaming.stream_record(_request_stream(spark, d), spark.read.parquet(at)))
+
+
+@query
+def stream_cpu(spark, d):
+    gauges = _stream_of(spark, d, "lineitem").select(roles.service("l_suppkey").alias("service"), F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_quantity") / 50).alias("cpu"))
+    return _through(spark, streaming.stream_cpu(gauges))
+
+
+@query
+def stream_run_log(spark, d):
+    at = _work_dir(spark)
+    streaming.run_logged(spark, streaming.stream_indicators(_request_stream(spark, d)), f"indicators-{uuid.uuid4().hex}", f"{at}/out", f"{at}/state", f"{at}/log")
+    return spark.read.schema(streaming.RUN_LOG).parquet(f"{at}/log").select("batch", "rows", "dropped", "state_rows")
 
 
 def _stored_baseline(spark, d, at: str) -> DataFrame:
@@ -785,5 +807,10 @@ def batch_indicators(spark, d):
 
 @query
 def batch_record(spark, d):
-    return rounded(streaming.stream_record(roles.requests(spark, d)).select("service", F.unix_timestamp("window_start").alias("epoch"), "rps", "error_ratio"))
+    rows = streaming.stream_record(roles.requests(spark, d), _latency_targets(spark, d))
+    return rounded(rows.select("service", F.unix_timestamp("window_start").alias("epoch"), "rps", "error_ratio", "good_ratio"))
+
 
+@query
+def batch_cpu(spark, d):
+    return rounded(streaming.stream_cpu(roles.gauges(spark, d)).select("service", F.unix_timestamp("window_start").alias("epoch"), "cpu"))

@@ -1,29 +1,55 @@
-"""Streaming indicators, drift and recording rules by event-time windows; late rows are dropped by the watermark."""
+"""Streaming indicators, drift and recording rules by event-time windows; late rows are dropped by the watermark and their number goes on record."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.operators.drift import deviation, drift_signal, first_pass, report_class, severity
+from tidemark.operators.evidence import quantile
 
+#: Upper bounds of latency buckets in milliseconds; a window's state is a count for each.
+BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
 
-def stream_indicators(requests: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Sliding live windows per service: count, error ratio, exact p99 and p50. Works on a stream and on a batch alike."""
-    rows = requests.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if rows.isStreaming else rows
+
+
+def stream_indicators(requests: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes", bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """Sliding live windows per service: count, error ratio, p99 and p50 interpolated in buckets, as the baseline's are. Works on a stream and on a batch alike.
+
+    The state of a window is a few sums and a count for each bound, however many rows it has; percentiles are taken when it is handed out.
+    """
     window = F.window("ts", length, slide)
-    out = rows.groupBy("service", window.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), F.expr("percentile_disc(0.99) within group (order by latency_ms)").alias("p99_ms"), F.expr("percentile_disc(0.5) within group (order by latency_ms)").alias("p50_ms"))
-    return out.select("service", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "error_ratio", "p99_ms", "p50_ms")
+    upto = [F.count_if(F.col("latency_ms") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    out = _timed(requests, late).groupBy("service", window.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count("latency_ms").alias("timed"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), *upto)
+    bucket = lambda le, count: F.struct(F.lit(le).alias("le"), F.col(count).cast("double").alias("count"))
+    buckets = F.array(*[bucket(repr(b), f"b{i}") for i, b in enumerate(bounds)], bucket("+Inf", "timed"))
+    p: dict[str, Column] = {name: quantile(buckets, F.col("timed"), q) for name, q in (("p99_ms", 0.99), ("p50_ms", 0.5))}
+    return out.select("service", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "error_ratio", *[c.alias(name) for name, c in p.items()])
 
 
-def stream_record(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Tumbling five-minute recording rules: requests per second and error ratio."""
-    rows = requests.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
-    out = rows.groupBy("service", F.window("ts", "5 minutes").alias("w")).agg((F.count(F.lit(1)) / 300).alias("rps"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"))
-    return out.select("service", F.col("w.start").alias("window_start"), "rps", "error_ratio")
+def stream_record(requests: DataFrame, targets: DataFrame | None = None, late: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
+    """Tumbling recording rules: requests per second, error ratio and, with ``targets`` (service, sla_target; a table), the share within the agreement.
+
+    A service without a target has no such share; requests without a latency count as beyond it.
+    """
+    rows = _timed(requests, late)
+    rows = rows.join(targets, "service", "left") if targets is not None else rows.withColumn("sla_target", F.lit(None).cast("double"))
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    good = F.when(F.col("sla_target").isNotNull(), F.coalesce(F.col("latency_ms") <= F.col("sla_target"), F.lit(False)).cast("double"))
+    out = rows.groupBy("service", F.window("ts", length).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), F.avg(good).alias("good_ratio"))
+    return out.select("service", F.col("w.start").alias("window_start"), (F.col("n") / seconds).alias("rps"), "error_ratio", "good_ratio")
+
+
+def stream_cpu(gauges: DataFrame, late: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
+    """The recording rule of utilization, over a stream of gauges: mean of each window's samples; a window without one leaves no row."""
+    rows = _timed(gauges, late).filter(F.col("cpu").isNotNull())
+    out = rows.groupBy("service", F.window("ts", length).alias("w")).agg(F.avg("cpu").alias("cpu"))
+    return out.select("service", F.col("w.start").alias("window_start"), "cpu")
 
 
 def stream_drift(windows: DataFrame, base: DataFrame) -> DataFrame:
@@ -58,6 +84,41 @@ def run_batches(stream: DataFrame, save, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a finished run's watermark dropped, as far as its progress reports go back."""
-    return sum(int(state.get("numRowsDroppedByWatermark", 0)) for progress in query.recentProgress for state in progress["stateOperators"])
+RUN_LOG = "query string, batch long, rows long, dropped long, state_rows long, watermark string"
+
+
+class RunLog(StreamingQueryListener):
+    """Writes a row for each batch of a named query: rows read, rows that the watermark dropped, rows of state, the watermark.
+
+    Spark counts what is dropped after it has summed within a task: late rows of one key, window and task count as one. A batch that ends without progress leaves no row; a folder of
+    the batch's number is replaced if the batch comes again.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str) -> None:
+        self.spark, self.name, self.path = spark, name, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if p.name == self.name:
+            row = (p.name, p.batchId, p.numInputRows, sum(s.numRowsDroppedByWatermark for s in p.stateOperators), sum(s.numRowsTotal for s in p.stateOperators), p.eventTime.get("watermark"))
+            self.spark.createDataFrame([row], RUN_LOG).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={p.batchId}")
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def run_logged(spark: SparkSession, stream: DataFrame, name: str, out: str, checkpoint: str, log: str) -> None:
+    """``run_to_table`` to its end, with a run log at ``log``."""
+    listener = RunLog(spark, name, log)
+    spark.streams.addListener(listener)
+    try:
+        stream.writeStream.queryName(name).outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
