@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import alert_name, duration_seconds
-from tidemark.operators.series import over_time, ratio_over_time
+from tidemark.operators.series import over_time, per_second, ratio_over_time
 
 
 def latency_steps(rows: DataFrame, keys: list[str], targets: DataFrame, value: str, at: Column) -> DataFrame:
@@ -30,14 +30,17 @@ def alert_rules(targets: DataFrame, keys: list[str]) -> DataFrame:
     return rules.withColumns({"threshold": F.round(F.col("burn_rate") * F.col("error_budget_percent") / 100, 9), "alert": alert_name(F.col("sli_name"), F.col("severity")), "status": F.lit("armed")})
 
 
-def evaluate(steps: DataFrame, rules: DataFrame, keys: list[str], value: str | tuple[str, str], windows: list[int], fires) -> DataFrame:
+def evaluate(steps: DataFrame, rules: DataFrame, keys: list[str], value: str | tuple[str, ...], windows: list[int], fires) -> DataFrame:
     """Steps at which a rule's condition holds over both of its windows.
 
     All window lengths are computed in one pass over time blocks; then rules, few per service, are joined. ``value`` is averaged over a window,
-    a pair (hits, rows) summed and divided. ``fires(value)`` is the condition.
+    a pair (hits, rows) summed and divided, one in a tuple summed and divided by the window's seconds. ``fires(value)`` is the condition.
     """
     named = {f"w{seconds}": seconds for seconds in windows}
-    steps = over_time(steps, keys, value, named) if isinstance(value, str) else ratio_over_time(steps, keys, *value, named)
+    if isinstance(value, str):
+        steps = over_time(steps, keys, value, named)
+    else:
+        steps = ratio_over_time(steps, keys, *value, named) if len(value) == 2 else per_second(steps, keys, *value, named)
     by_window = lambda c: F.coalesce(*[F.when(duration_seconds(F.col(c)) == s, F.col(f"w{s}")) for s in windows])
     met = steps.join(rules, keys).withColumns({"long_value": by_window("long_window"), "short_value": by_window("short_window")})
     return met.withColumn("firing", F.coalesce(fires(F.col("long_value")) & fires(F.col("short_value")), F.lit(False)))

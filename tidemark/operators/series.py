@@ -72,6 +72,12 @@ def ratio_over_time(df: DataFrame, keys: list[str], hits: str, total: str, windo
     return out.drop(*sums)
 
 
+def per_second(df: DataFrame, keys: list[str], count: str, windows: dict[str, int]) -> DataFrame:
+    """Rows of the last so many seconds over those seconds at each step, its own time included."""
+    out = blocks.framed(df, keys, {name: (seconds - 1, F.sum(count)) for name, seconds in windows.items()})
+    return out.withColumns({name: F.col(name) / seconds for name, seconds in windows.items()})
+
+
 def ratio_per_step(rows: DataFrame, keys: list[str], step: int, good: Column) -> DataFrame:
     """Rows, good rows and their ratio per step: both sides of a matched ratio in one pass."""
     at = (F.floor(epoch() / step) * step).alias("epoch")

@@ -273,6 +273,26 @@ ORACLE_SQL: dict[str, str] = {
     "proposal_grid": sql("proposal_grades", f"select service, {', '.join(_PROPOSAL_GATES)} from proposal_grades"),
     "proposal_totals": sql("proposal_grades", _totals("proposal_grades", _PROPOSAL_GATES)),
     "error_alerts": sql("error_steps rules", _fired("error_steps", "avg(ratio) over", "r.sli_type = 'error_rate'", "value > round(threshold, 6)", _RULE_WINDOWS)),
+    "availability_alerts": sql("error_steps rules", _fired("error_steps", "avg(ratio) over", "r.sli_type = 'availability'", "value > round(threshold, 6)", _RULE_WINDOWS)),
+    "throughput_rule_alerts": sql("req rules", """, st as (select service, epoch(date_trunc('second', ts))::bigint // 300 * 300 as epoch, count(*) as n from req group by all),
+        v as (""" + " union all ".join(f"select service, epoch, '{w}' as w, sum(n) over (partition by service order by epoch range between {a - 1} preceding and current row) / {a} as l, sum(n) over (partition by service order by epoch range between {b - 1} preceding and current row) / {b} as s from st" for w, a, b in _RULE_WINDOWS) + """),
+        x as (select v.service, alert, l, s, round(sla_target, 9) * (1 - burn_rate * error_budget_percent / 100) as least from v join rules r on r.service = v.service and r.long_window = v.w and r.sli_type = 'throughput')
+        select service, alert, count(*) as steps, count(*) filter (l < least and s < least) as firing, round(max(l), 6) as long_peak, round(max(s), 6) as short_peak from x group by all"""),
+    "target_headroom": sql("tiers prop", """select p.service, p.sli_name, round(p.observed, 7) as observed_value, round(abs(p.sla_target - p.observed), 7) as margin, case when t.perfect then 'practical default' when t.spread then 'standard deviations' else 'share of observed' end as margin_rationale
+        from prop p join tiers t on t.service = p.service and t.win = 'baseline' and t.sli_name = p.sli_name"""),
+    "payload_spans": sql("spans", "select root_service, service, sum(n)::bigint as spans, count(*) as traces, sum(total)::bigint as duration_ns, sum(n * ms)::bigint as trace_ms from (select root_service, service, trace_id, count(*) as n, sum(duration_ns) as total from spans group by all) join (select trace_id, floor(max(duration_ns) / 1e6)::bigint as ms from spans group by all) using (trace_id) group by all"),
+    "payload_logs": sql("logs", "select service, error_type, count(*) as lines, sum(length(error_type) + 14)::bigint as chars from logs group by all"),
+    "payload_samples": sql("req", "select service, code, count(*) as n, round(sum(round(latency_ms, 3)), 3) as total, min(epoch(date_trunc('second', ts))::bigint) as first, max(epoch(date_trunc('second', ts))::bigint) as last from req group by all"),
+    "payload_evidence": sql("bundles", f"select service || '/' || substr(generated_at, 9, 2) as service, namespace, {rounded('p50_ms p99_ms stddev_ms error_ratio mean_rps p95_rps cpu_mean_ratio', 6)}, top_dependency, top_category, sample_count from bundles"),
+    "span_rows": sql("spans", "select service_key, win, service, count(*) as calls, count(distinct trace_id) as traces, round(max(duration_ns) / 1e6, 6) as longest_ms from spans group by all"),
+    "log_lines": sql("logs", "select service, win, coalesce(nullif(error_type, ''), 'unknown') as category, count(*) as lines from logs group by all"),
+    "baseline_provenance": sql("req", """, found as (select service, win, count(*) as source_rows, min(ts) as a, max(ts) as b, count(distinct date_trunc('hour', ts)) as steps from req group by all),
+        ends as (select win, date_diff('hour', date_trunc('hour', min(ts)), date_trunc('hour', max(ts))) + 1 as hours from req group by all),
+        expected as (select distinct 'svc-' || lpad((c_custkey % 12)::varchar, 2, '0') as service, unnest(['baseline', 'live']) as win from customer)
+        select e.service, e.win, coalesce(source_rows, 0) as source_rows, strftime(a, '%Y-%m-%d %H:%M:%S') as first_ts, strftime(b, '%Y-%m-%d %H:%M:%S') as last_ts, round(steps / hours, 7) as coverage_ratio, case when f.service is not null then 'events' end as source,
+            case when source_rows is null then 'no_data' when date_diff('day', b, timestamp '2024-04-25') > 90 then 'stale' else 'ok' end as status, case when coalesce(steps / hours, 0) < 0.5 then 'fail' when steps / hours < 0.9 then 'warn' else 'ok' end as coverage_status,
+            case when steps / hours >= 0.5 and steps / hours < 0.9 then 1.5 else 1.0 end as band_multiplier, date_diff('day', b::date, date '2024-04-25')::int as baseline_age_days
+        from expected e left join found f using (service, win) left join ends using (win)"""),
     "latency_alerts": sql("latency_steps rules", _fired("latency_steps", "sum(hits) over / sum(n) over", "r.sli_type = 'latency'", "1 - value > threshold", _RULE_WINDOWS)),
     "record_cpu": sql("cpu_steps", "select service, epoch, round(cpu, 6) as cpu from cpu_steps"),
     "saturation_alerts": sql("cpu_steps rules", _fired("cpu_steps", "avg(cpu) over", "r.sli_name = 'cpu'", "value > round(sla_target, 6) + burn_rate * error_budget_percent / 100", (("1h", 604800, 86400), ("6h", 604800, 86400)))),

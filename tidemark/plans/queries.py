@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
 from tidemark.functions import canonical
-from tidemark.operators import alerts, audit, contracts, documents, drift, evidence, fleet, grading, series, targets
+from tidemark.operators import alerts, audit, contracts, documents, drift, evidence, fleet, grading, provenance, series, targets
 from tidemark.operators import baseline as base
 from tidemark.sources import artifacts as store
 from tidemark.sources import roles, telemetry
@@ -109,7 +109,7 @@ def samples(spark, d) -> DataFrame:
 
 @query
 def instant_latest(spark, d):
-    return rounded(telemetry.instant(samples(spark, d), "2024-01-20 12:00:00", ["service", "code"]))
+    return rounded(telemetry.instant(samples(spark, d), "2024-01-20 12:00:00", ["service", "code"], ["event_id"]))
 
 
 @query
@@ -275,6 +275,17 @@ def baseline(spark, d):
     return rounded(baselines(spark, d).withColumns({"lookback_window": F.lit("30d"), "categories": F.coalesce("categories", F.lit(0))}), 5)
 
 
+@query
+def baseline_provenance(spark, d):
+    """Of every service that a customer asks for, with and without requests."""
+    number = F.concat(F.lit("svc-"), F.lpad((F.col("c_custkey") % 12).cast("string"), 2, "0"))
+    windows = F.explode(F.array(F.lit("baseline"), F.lit("live")))
+    expected = table(spark, d, "customer").select(number.alias("service")).distinct().select("service", windows.alias("win"))
+    found = provenance.sources(roles.requests(spark, d), KEYS, "events", 3600)
+    rows = provenance.judged(expected, found, KEYS, "2024-04-25")
+    return rounded(rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts")}), 7)
+
+
 # Evidence documents
 
 
@@ -411,6 +422,12 @@ def target_rows(spark, d):
     return rounded(proposals(spark, d).drop("headroom", "burn_windows").withColumn("sd", F.coalesce("sd", F.lit(-1.0))), 5)
 
 
+@query
+def target_headroom(spark, d):
+    rows = proposals(spark, d).select("service", "sli_name", "headroom.*")
+    return rounded(rows, 7)
+
+
 @query
 def promotion(spark, d):
     live = proposals(spark, d, "live").filter("sli_type in ('latency', 'error_rate')").select("service", "sli_type", "slo_target")
@@ -500,6 +517,22 @@ def error_alerts(spark, d):
     return _counted(alerts.evaluate(steps, rules, ["service"], "ratio", RULE_WINDOWS, alerts.over_budget))
 
 
+@query
+def availability_alerts(spark, d):
+    """Availability is watched by the ratio of errors, against its own budget."""
+    steps = series.ratio_per_step(roles.requests(spark, d), ["service"], 300, F.col("is_error"))
+    rules = targets_rules(spark, d).filter("sli_type = 'availability'").select("service", "alert", F.round("threshold", 6).alias("threshold"), "long_window", "short_window")
+    return _counted(alerts.evaluate(steps, rules, ["service"], "ratio", RULE_WINDOWS, alerts.over_budget))
+
+
+@query
+def throughput_rule_alerts(spark, d):
+    """Both severities at the rules' own windows: requests of a window over its seconds, at each step that holds a request."""
+    steps = roles.requests(spark, d).groupBy("service", (F.floor(series.epoch() / 300) * 300).alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
+    rules = targets_rules(spark, d).filter("sli_type = 'throughput'").select("service", "alert", F.round("sla_target", 9).alias("sla_target"), "burn_rate", "error_budget_percent", "long_window", "short_window")
+    return _counted(alerts.evaluate(steps, rules, ["service"], ("n",), RULE_WINDOWS, alerts.starved))
+
+
 @query
 def latency_alerts(spark, d):
     rules = targets_rules(spark, d).filter("sli_type = 'latency'").select("service", "alert", "threshold", "long_window", "short_window")
@@ -524,6 +557,69 @@ def saturation_alerts(spark, d):
     return _counted(alerts.evaluate(cpu_steps(spark, d), rules, ["service"], "cpu", [7 * 86400, 86400], alerts.saturated))
 
 
+# Payloads: the tables as documents of the sources' interfaces, read by their readers
+
+
+def _payloads(spark, docs: DataFrame) -> str:
+    """A folder with a JSON document of every row a line."""
+    at = f"{_work_dir(spark)}/payloads"
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.text(at)
+    return at
+
+
+@query
+def payload_spans(spark, d):
+    s = own_spans(spark, d)
+    span = F.struct(F.col("trace_id").cast("string").alias("spanID"), F.lit("line").alias("name"), F.col("service").alias("serviceName"), F.col("duration_ns").cast("string").alias("durationNanos"))
+    traces = s.groupBy("trace_id", "root_service").agg((F.max("duration_ns") / 1e6).cast("bigint").alias("ms"), F.collect_list(span).alias("spans"))
+    trace = F.struct(F.col("trace_id").cast("string").alias("traceID"), F.col("root_service").alias("rootServiceName"), F.col("ms").alias("durationMs"), F.array(F.struct("spans")).alias("spanSets"))
+    read = telemetry.scan_spans(spark, _payloads(spark, traces.select(F.array(trace).alias("traces"))), lines=True)
+    return read.groupBy("root_service", "service").agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("trace_id").alias("traces"), F.sum("duration_ns").alias("duration_ns"), F.sum("trace_ms").alias("trace_ms"))
+
+
+@query
+def payload_logs(spark, d):
+    rows = roles.logs(spark, d).withColumn("n", F.monotonically_increasing_id())
+    stream = F.struct(F.create_map(F.lit("service"), F.col("service"), F.lit("error_type"), F.col("error_type")).alias("stream"), F.array(F.array(F.col("n").cast("string"), F.concat(F.lit('failed with "'), F.col("error_type"), F.lit('"')))).alias("values"))
+    read = telemetry.scan_logs(spark, _payloads(spark, rows.select(F.struct(F.array(stream).alias("result")).alias("data"))), lines=True)
+    return read.groupBy(F.col("labels")["service"].alias("service"), F.col("labels")["error_type"].alias("error_type")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query
+def payload_samples(spark, d):
+    hourly = samples(spark, d).groupBy("service", "code", F.date_trunc("day", "ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), F.col("value").alias("v")))).alias("rows"))
+    pairs = F.transform("rows", lambda r: F.format_string('[%d,"%s"]', r["t"], F.round(r["v"], 3).cast("string")))
+    result = F.struct(F.create_map(F.lit("service"), F.col("service"), F.lit("code"), F.col("code")).alias("metric"), pairs.alias("values"))
+    # Pairs of unlike kinds are spliced into the text, as JSON of a typed array would quote them.
+    text = F.concat(F.lit('{"data":{"result":[{"metric":'), F.to_json("r.metric"), F.lit(',"values":['), F.array_join("r.values", ","), F.lit("]}]}}"))
+    at = f"{_work_dir(spark)}/payloads"
+    hourly.select(result.alias("r")).select(text.alias("value")).write.text(at)
+    read = telemetry.scan_samples(spark, at, lines=True)
+    return rounded(read.groupBy(F.col("labels")["service"].alias("service"), F.col("labels")["code"].alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("epoch").cast("bigint").alias("first"), F.max("epoch").cast("bigint").alias("last")), 3)
+
+
+@query
+def payload_evidence(spark, d):
+    """Evidence written as JSON and read again gives the same baselines; none violates its contract."""
+    read = telemetry.read_evidence(spark, _payloads(spark, bundles(spark, d).drop("win").withColumn("service", F.concat("service", F.lit("/"), F.date_format("collected_at", "dd")))), lines=True)
+    good, _ = documents.quarantine(read, documents.EVIDENCE)
+    rows = evidence.baselines(good, ["service"])
+    return rounded(rows.select("service", "namespace", "p50_ms", "p99_ms", "stddev_ms", "error_ratio", "mean_rps", "p95_rps", "cpu_mean_ratio", "top_dependency", "top_category", "sample_count"), 6)
+
+
+@query
+def span_rows(spark, d):
+    """Spans of each root by service: calls, traces, longest."""
+    s = own_spans(spark, d)
+    rows = s.groupBy("service_key", "win", "service").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("trace_id").alias("traces"), (F.max("duration_ns") / 1e6).alias("longest_ms"))
+    return rounded(rows)
+
+
+@query
+def log_lines(spark, d):
+    return roles.logs(spark, d).groupBy("service", "win", F.coalesce(F.nullif("error_type", F.lit("")), F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 # Fleet, artifacts
 
 

@@ -22,32 +22,32 @@ EVIDENCE = (
 )
 
 
-def scan_samples(spark: SparkSession, path: str) -> DataFrame:
-    """(labels, ts, value) of matrix payloads, one JSON document a file, each value a pair of seconds and text."""
-    docs = spark.read.schema("data struct<result:array<struct<metric:map<string,string>,values:array<string>>>>").option("multiLine", True).json(path)
+def scan_samples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(labels, ts, value) of matrix payloads, one JSON document a file or, with ``lines``, a line; each value a pair of seconds and text."""
+    docs = spark.read.schema("data struct<result:array<struct<metric:map<string,string>,values:array<string>>>>").option("multiLine", not lines).json(path)
     series = docs.select(F.explode_outer("data.result").alias("s")).select(F.col("s.metric").alias("labels"), F.explode_outer("s.values").alias("v"))
     pair = F.from_json("v", "array<string>")
     return series.filter("v is not null").select("labels", pair[0].cast("double").alias("epoch"), F.timestamp_millis((pair[0].cast("double") * 1000).cast("bigint")).alias("ts"), pair[1].try_cast("double").alias("value"))
 
 
-def scan_spans(spark: SparkSession, path: str) -> DataFrame:
+def scan_spans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(trace_id, root_service, trace_ms, service, span, duration_ns) of trace payloads; traces without spans keep a row."""
-    docs = spark.read.schema(TRACES).option("multiLine", True).json(path)
+    docs = spark.read.schema(TRACES).option("multiLine", not lines).json(path)
     traces = docs.select(F.explode("traces").alias("t")).select("t.traceID", "t.rootServiceName", "t.durationMs", F.explode_outer("t.spanSets").alias("set"))
     spans = traces.select("traceID", "rootServiceName", "durationMs", F.explode_outer("set.spans").alias("s"))
     return spans.select(F.col("traceID").alias("trace_id"), F.col("rootServiceName").alias("root_service"), F.col("durationMs").alias("trace_ms"), F.col("s.serviceName").alias("service"), F.col("s.name").alias("span"), F.col("s.durationNanos").cast("bigint").alias("duration_ns"))
 
 
-def scan_logs(spark: SparkSession, path: str) -> DataFrame:
+def scan_logs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(stream labels, ts_ns, line) of log payloads."""
-    docs = spark.read.schema(LOGS).option("multiLine", True).json(path)
+    docs = spark.read.schema(LOGS).option("multiLine", not lines).json(path)
     streams = docs.select(F.explode("data.result").alias("s")).select(F.col("s.stream").alias("labels"), F.explode("s.values").alias("v"))
     return streams.select("labels", F.col("v")[0].cast("bigint").alias("ts_ns"), F.col("v")[1].alias("line"))
 
 
-def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Evidence documents, one a file; bounds like +Inf are read as text and cast where they are used."""
-    return spark.read.schema(StructType.fromDDL(EVIDENCE)).option("multiLine", True).json(path)
+def read_evidence(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Evidence documents, one a file or, with ``lines``, a line; bounds like +Inf are read as text and cast where they are used."""
+    return spark.read.schema(StructType.fromDDL(EVIDENCE)).option("multiLine", not lines).json(path)
 
 
 def select_labels(df: DataFrame, **equal: str) -> DataFrame:
@@ -62,9 +62,9 @@ def in_window(df: DataFrame, end: str, seconds: int, ts: str = "ts") -> DataFram
     return df.filter((F.col(ts) >= at - F.expr(f"make_dt_interval(0, 0, 0, {seconds})")) & (F.col(ts) <= at))
 
 
-def instant(samples: DataFrame, at: str, series: list[str]) -> DataFrame:
-    """Each series' last value at or before a time."""
-    return samples.filter(F.col("ts") <= F.lit(at).cast("timestamp")).groupBy(*series).agg(F.max_by("value", F.struct("ts", "event_id") if "event_id" in samples.columns else F.col("ts")).alias("value"))
+def instant(samples: DataFrame, at: str, series: list[str], tie: list[str] | None = None) -> DataFrame:
+    """Each series' last value at or before a time; of samples at one time the last by ``tie``."""
+    return samples.filter(F.col("ts") <= F.lit(at).cast("timestamp")).groupBy(*series).agg(F.max_by("value", F.struct("ts", *(tie or []))).alias("value"))
 
 
 def discover(samples: DataFrame, metric: str, keys: list[str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
