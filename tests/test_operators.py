@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import alerts, audit, baseline, contracts, drift, fleet, grading, series, targets
+from tidemark.operators import alerts, audit, baseline, contracts, drift, fleet, grading, provenance, series, targets
 from tidemark.sources import artifacts, telemetry
 
 INF = float("inf")
@@ -261,3 +262,40 @@ def test_artifact_store(spark, tmp_path):
     assert one(artifacts.latest(a).filter("service = 's'")).payload == "2"
     assert [r.payload for r in artifacts.history(a, 2).filter("service = 's'").orderBy("turn").collect()] == ["2", "1"]
     assert [r.service for r in artifacts.services(a).collect()] == ["s", "t0", "t1", "t2"]
+
+
+def test_provenance_of_expected_keys(spark, tmp_path):
+    rows = [("a", "w", f"2026-01-01 {h:02d}:30:00") for h in range(10)] + [("b", "w", f"2026-01-01 {h:02d}:00:00") for h in (0, 1, 2, 3, 4, 5, 9)] + [("c", "w", "2026-01-01 05:00:00")]
+    samples = spark.createDataFrame(rows, "service string, win string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    expected = spark.createDataFrame([(s, "w") for s in "abcd"], "service string, win string")
+    judged = provenance.judged(expected, provenance.sources(samples, ["service", "win"], "events", 3600), ["service", "win"], "2026-04-20")
+    got = {r.service: (r.source_rows, r.status, r.coverage_status, r.band_multiplier, r.baseline_age_days) for r in judged.collect()}
+    assert got == {"a": (10, "stale", "ok", 1.0, 109), "b": (7, "stale", "warn", 1.5, 109), "c": (1, "stale", "fail", 1.0, 109), "d": (0, "no_data", "fail", 1.0, None)}
+    fresh = provenance.judged(expected, provenance.sources(samples, ["service", "win"], "events", 3600), ["service", "win"], "2026-02-01")
+    assert {r.service: r.status for r in fresh.collect()} == {"a": "ok", "b": "ok", "c": "ok", "d": "no_data"}
+    for _ in range(2):
+        row = provenance.write_observed(judged, str(tmp_path / "out"), "baselines", str(tmp_path / "log"))
+    assert (row["rows"], row["keys_without_data"]) == (4, 1) and row["coverage"] == pytest.approx((1 + 0.7 + 0.1) / 3)
+    log = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert len(log) == 2 and log[0].rows == 4 and str(log[0].last_ts) == "2026-01-01 09:30:00" and spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_one_pass_over_requests_equals_the_parts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), "w", f"2026-01-01 {rng.randrange(24):02d}:00:00", rng.choice([None, 3.0, 30.0, 300.0, 3000.0, rng.uniform(0, 600)]), rng.random() < 0.2) for _ in range(600)]
+    reqs = spark.createDataFrame(rows, "service string, win string, ts string, latency_ms double, is_error boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    keys, bounds = ["service", "win"], [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, INF]
+    got = {r.service: r for r in baseline.request_indicators(baseline.cells(reqs, keys, bounds, F.date_trunc("hour", "ts")), keys, bounds).collect()}
+    for r in baseline.latency(reqs, keys, "latency_ms", bounds).join(baseline.errors(reqs, keys, F.col("is_error")), keys).collect():
+        mine = got[r.service].asDict()
+        assert all(mine[c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in r.asDict().items())
+
+
+def test_drift_of_two_windows_in_one_table(spark):
+    columns = "p99_ms p50_ms stddev_ms error_ratio error_stddev availability mean_rps stddev_rps cpu_mean_ratio memory_mean_ratio top_dependency_p99_ms top_category_ratio".split()
+    flags = "saturation_available trace_available breakdown_available".split()
+    rows = [("a", "live", *[2.0] * 12, True, True, True), ("a", "base", *[1.0] * 12, True, False, True), ("b", "base", *[1.0] * 12, True, True, True), ("c", "live", *[1.0] * 12, True, True, True)]
+    df = spark.createDataFrame(rows, "service string, win string, " + ", ".join(f"{c} double" for c in columns) + ", " + ", ".join(f"{f} boolean" for f in flags))
+    of = lambda w: df.filter(F.col("win") == w).drop("win")
+    apart = drift.drift_indicators(of("live"), of("base"), ["service"])
+    assert audit.differences(drift.drift_of_windows(df, ["service"], "win", "live", "base"), apart).isEmpty() and apart.count() == 8 + 7

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.folds import deviation_of, mean_of, quantile, rank_of, spread
 from tidemark.operators import blocks
 
 INF = float("inf")
@@ -91,12 +92,15 @@ def throughput(rates: DataFrame, keys: list[str], value: str = "rps") -> DataFra
 
 
 def saturation(gauges: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and p95 of cpu and memory; available if there is a sample of either."""
-    means = gauges.groupBy(*keys).agg(F.coalesce(F.avg("cpu"), F.lit(0.0)).alias("cpu_mean_ratio"), F.coalesce(F.avg("mem"), F.lit(0.0)).alias("memory_mean_ratio"), ((F.count("cpu") > 0) | (F.count("mem") > 0)).alias("saturation_available"))
-    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("double").alias("v")) for c in ("cpu", "mem")])
-    p95 = ranked_values(gauges.select(*keys, F.inline(kinds)), [*keys, "kind"], "v", {"p95": (0.95, "ceil")})
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("p95")))
-    return means.join(p95.groupBy(*keys).agg(of("cpu").alias("cpu_p95_ratio"), of("mem").alias("memory_p95_ratio")), keys, "left")
+    """Mean and p95 of cpu and memory; available if there is a sample of either. Both come from counts of equal values, so gauges are read once."""
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("double").alias("_v")) for c in ("cpu", "mem")])
+    counted = gauges.select(*keys, F.inline(kinds)).groupBy(*keys, "kind", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # A key without a sample keeps its row: null values are counted too.
+    means = counted.groupBy(*keys, "kind").agg(F.try_divide(F.sum(F.col("_v") * F.col("_n")), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias("mean"))
+    p95 = blocks.ranked(counted.filter("_v is not null"), [*keys, "kind"], {"p95": F.ceil(F.lit(0.95) * F.col("_all"))})
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    row = means.join(p95, [*keys, "kind"], "left").groupBy(*keys).agg(F.coalesce(of("cpu", "mean"), F.lit(0.0)).alias("cpu_mean_ratio"), F.coalesce(of("mem", "mean"), F.lit(0.0)).alias("memory_mean_ratio"), of("cpu", "p95").alias("cpu_p95_ratio"), of("mem", "p95").alias("memory_p95_ratio"), F.bool_or(F.col("mean").isNotNull()).alias("saturation_available"))
+    return row.select(*keys, "cpu_mean_ratio", "memory_mean_ratio", "saturation_available", "cpu_p95_ratio", "memory_p95_ratio")
 
 
 def span_counts(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,10 +167,32 @@ def error_breakdown(categories: DataFrame, keys: list[str]) -> DataFrame:
     return categories.groupBy(*keys).agg(first.alias("top_category"), F.max("ratio").alias("top_category_ratio"), F.count(F.lit(1)).alias("categories"))
 
 
-def baseline(requests: DataFrame, rates: DataFrame, gauges: DataFrame, traces: DataFrame, logs: DataFrame, keys: list[str], bounds: list[float], provenance: dict[str, Column] | None = None) -> DataFrame:
-    """One row per key with every indicator; what a key lacks is null. ``traces`` is a trace_latency table; the tables joined have one row per key."""
-    row = latency(requests, keys, "latency_ms", bounds).join(errors(requests, keys, F.col("is_error")), keys, "left")
-    row = row.join(throughput(rates, keys), keys, "left").join(saturation(gauges, keys), keys, "left").join(traces, keys, "left")
+def cells(requests: DataFrame, keys: list[str], bounds: list[float], step: Column) -> DataFrame:
+    """One pass over requests: per key, step and bucket the rows (n), those with a latency (timed), errors, and the latencies' sum."""
+    bucket = F.when(F.col("latency_ms").isNotNull(), F.coalesce(*[F.when(F.col("latency_ms") <= b, F.lit(b)) for b in bounds if b < INF], F.lit(INF)))
+    return requests.groupBy(*keys, step.alias("hour"), bucket.alias("le")).agg(F.count(F.lit(1)).alias("n"), F.count("latency_ms").alias("timed"), F.count_if("is_error").alias("errors"), F.sum("latency_ms").alias("value_sum"))
+
+
+def request_indicators(cells_: DataFrame, keys: list[str], bounds: list[float]) -> DataFrame:
+    """Latency, errors and availability from cells, by one aggregate: the counts up to each bound are an array of the row."""
+    upto = [F.coalesce(F.sum(F.when(F.col("le") <= b, F.col("timed"))), F.lit(0)).alias(f"_b{i}") for i, b in enumerate(bounds)]
+    row = cells_.groupBy(*keys).agg(*upto, F.sum("n").alias("total_count"), F.sum("errors").alias("error_count"), F.sum("timed").alias("sample_count"), F.sum("value_sum").alias("value_sum"))
+    buckets = F.array(*[F.struct(F.lit("+Inf" if b == INF else repr(b)).alias("le"), F.col(f"_b{i}").cast("double").alias("count")) for i, b in enumerate(bounds)])
+    total, ratio = F.col("sample_count").cast("double"), F.try_divide("error_count", "total_count")
+    four = {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99}
+    return row.select(*keys, *[quantile(buckets, total, q).alias(n) for n, q in four.items()], "sample_count", spread(buckets, total, F.col("value_sum")).alias("stddev_ms"), "total_count", "error_count", ratio.alias("error_ratio"), F.sqrt(ratio * (1 - ratio) / F.col("total_count")).alias("error_stddev"), (1 - ratio).alias("availability"))
+
+
+def rate_indicators(rates: DataFrame, keys: list[str]) -> DataFrame:
+    """``throughput`` where a key's rates are one per step of a window, and so few: by one aggregate, over an array."""
+    row = rates.groupBy(*keys).agg(F.collect_list("rps").alias("r"))
+    return row.select(*keys, mean_of(F.col("r")).alias("mean_rps"), deviation_of(F.col("r")).alias("stddev_rps"), F.size("r").cast("bigint").alias("rate_samples"), rank_of(F.col("r"), 0.95).alias("p95_rps"))
+
+
+def baseline(cells_: DataFrame, rates: DataFrame, gauges: DataFrame, traces: DataFrame, logs: DataFrame, keys: list[str], bounds: list[float], provenance: dict[str, Column] | None = None) -> DataFrame:
+    """One row per key with every indicator; what a key lacks is null. ``cells_`` and ``rates`` come from one pass over requests, ``traces`` is a trace_latency table; the tables joined have one row per key."""
+    row = request_indicators(cells_, keys, bounds)
+    row = row.join(rate_indicators(rates, keys), keys, "left").join(saturation(gauges, keys), keys, "left").join(traces, keys, "left")
     row = row.join(error_breakdown(log_categories(logs, keys), keys), keys, "left")
     row = row.withColumn("saturation_available", F.coalesce("saturation_available", F.lit(False)))
     return row.withColumns({"trace_available": F.col("top_dependency").isNotNull(), "breakdown_available": F.col("top_category").isNotNull(), **(provenance or {})})

@@ -81,10 +81,24 @@ def deviation(pairs: DataFrame, live: str = "live_value", base: str = "baseline_
 
 
 def drift_indicators(live: DataFrame, base: DataFrame, keys: list[str], band: float = BAND) -> DataFrame:
-    """One row per key and indicator of the baseline. Core indicators and saturation that the live window lacks are skipped, with zeros; other ones leave no row."""
+    """Drift of one table of baseline rows against another one."""
     b = indicators(base, keys).select(*keys, "ord", "name", F.col("value").alias("baseline_value"), "sd", "unit", F.col("available").alias("b_ok"), "core")
     now = indicators(live, keys).select(*keys, "ord", F.col("value").alias("live_value"), F.col("available").alias("l_ok"))
-    pairs = b.join(now, [*keys, "ord"], "left").withColumn("measured", F.coalesce(F.col("b_ok") & F.col("l_ok"), F.lit(False)))
+    return judged(b.join(now, [*keys, "ord"], "left"), keys, band)
+
+
+def drift_of_windows(baselines: DataFrame, keys: list[str], window: str, live: str, stored: str, band: float = BAND) -> DataFrame:
+    """The same from one table that has both windows, told apart by ``window``: read once, its rows paired by an aggregate."""
+    rows = indicators(baselines, [*keys, window])
+    part = lambda w, *columns: F.max(F.when(F.col(window) == w, F.struct(*columns)))
+    both = rows.groupBy(*keys, "ord", "name", "unit", "core").agg(part(stored, "value", "sd", "available").alias("b"), part(live, "value", "available").alias("l")).filter("b is not null")
+    pairs = both.select(*keys, "ord", "name", F.col("b.value").alias("baseline_value"), F.col("b.sd").alias("sd"), "unit", F.col("b.available").alias("b_ok"), "core", F.col("l.value").alias("live_value"), F.col("l.available").alias("l_ok"))
+    return judged(pairs, keys, band)
+
+
+def judged(pairs: DataFrame, keys: list[str], band: float = BAND) -> DataFrame:
+    """One row per key and indicator of the baseline. Core indicators and saturation that the live window lacks are skipped, with zeros; other ones leave no row."""
+    pairs = pairs.withColumn("measured", F.coalesce(F.col("b_ok") & F.col("l_ok"), F.lit(False)))
     skips = F.col("core") | (F.col("b_ok") & F.col("name").isin("cpu_mean_ratio", "memory_mean_ratio"))
     pairs = pairs.filter(F.col("measured") | skips)
     out = deviation(pairs, band=band)

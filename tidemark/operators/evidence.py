@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.folds import deviation_of, mean_of, quantile, rank_of, spread
 from tidemark.operators.baseline import INF, bucketize
 
 
@@ -35,52 +36,6 @@ def bundles(requests: DataFrame, rates: DataFrame, gauges: DataFrame, own: DataF
     return row.select(F.lit(2).cast("bigint").alias("schema_version"), *keys, namespace.alias("namespace"), F.lit(lookback).alias("lookback_window"), F.col("b").alias("collected_at"), F.coalesce(F.try_divide(filled, F.size("rates")), F.lit(0.0)).alias("coverage_ratio"), series.alias("series"), provenance.alias("provenance"))
 
 
-def _bound(b: Column) -> Column:
-    return F.when(b["le"] == "+Inf", INF).otherwise(b["le"].try_cast("double"))
-
-
-def quantile(buckets: Column, total: Column, q: float) -> Column:
-    """Interpolated within the first bucket up to which the rank lies; beyond the last finite bound, that bound."""
-    state = lambda pc, pb, hit: F.struct(pc.alias("pc"), pb.alias("pb"), hit.alias("hit"))
-    none, zero, rank = F.lit(None).cast("double"), F.lit(0.0), F.lit(q) * total
-
-    def step(s: Column, b: Column) -> Column:
-        le, n = _bound(b), b["count"].cast("double")
-        part = F.when(n > s["pc"], (rank - s["pc"]) / F.nullif(n - s["pc"], zero)).otherwise(zero)
-        hit = F.when(n >= rank, s["pb"] + part * (le - s["pb"]))
-        return F.when(s["hit"].isNotNull() | le.isNull() | (le == INF), s).otherwise(state(F.when(hit.isNull(), n).otherwise(s["pc"]), F.when(hit.isNull(), le).otherwise(s["pb"]), hit))
-
-    return F.aggregate(buckets, state(zero, zero, none), step, lambda s: F.coalesce(s["hit"], s["pb"]))
-
-
-def spread(buckets: Column, total: Column, sum_: Column) -> Column:
-    """Deviation from sum/total with every sample at its bucket's middle, in the open one at twice its lower bound."""
-    mean = F.try_divide(sum_, total)
-    state = lambda pc, pb, acc: F.struct(pc.alias("pc"), pb.alias("pb"), acc.alias("acc"))
-
-    def step(s: Column, b: Column) -> Column:
-        le, n = _bound(b), b["count"].cast("double")
-        middle = F.when(le < INF, (s["pb"] + le) / 2).otherwise(F.when(s["pb"] > 0, s["pb"] * 2).otherwise(1.0))
-        return F.when(le.isNull(), s).otherwise(state(n, F.when(le < INF, le).otherwise(s["pb"]), s["acc"] + (n - s["pc"]) * (middle - mean) * (middle - mean)))
-
-    return F.aggregate(buckets, state(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step, lambda s: F.sqrt(F.try_divide(s["acc"], total)))
-
-
-def mean_of(values: Column) -> Column:
-    return F.coalesce(F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), F.size(values)), F.lit(0.0))
-
-
-def deviation_of(values: Column) -> Column:
-    # An array of one binds the mean, so that it is not taken anew at each value.
-    squares = F.transform(F.array(mean_of(values)), lambda mean: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)))
-    return F.coalesce(F.sqrt(F.try_divide(F.get(squares, 0), F.size(values))), F.lit(0.0))
-
-
-def rank_of(values: Column, q: float) -> Column:
-    """The value of rank ceil(q n), 0 of none."""
-    return F.coalesce(F.get(F.array_sort(values), F.ceil(F.lit(q) * F.size(values)).cast("int") - 1), F.lit(0.0))
-
-
 def _first_most(values: Column, by: str) -> Column:
     """The element with the greatest ``by``, of equals the first."""
     return F.aggregate(values, F.try_element_at(values, F.lit(1)), lambda s, x: F.when(x[by] > s[by], x).otherwise(s))

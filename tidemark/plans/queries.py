@@ -265,9 +265,10 @@ def error_breakdown(spark, d):
 
 
 def baselines(spark, d) -> DataFrame:
-    reqs = roles.requests(spark, d)
+    cells = base.cells(roles.requests(spark, d), KEYS, BOUNDS, F.date_trunc("hour", "ts"))
+    rates = roles.rates_of(cells.groupBy(*KEYS, "hour").agg(F.sum("n").alias("n")))
     t = _trace(spark, d).withColumnRenamed("service_key", "service")
-    return base.baseline(reqs, roles.rates(reqs), roles.gauges(spark, d), t, roles.logs(spark, d), KEYS, BOUNDS)
+    return base.baseline(cells, rates, roles.gauges(spark, d), t, roles.logs(spark, d), KEYS, BOUNDS)
 
 
 @query
@@ -337,9 +338,7 @@ def baseline_documents(spark, d):
 
 
 def drifts(spark, d) -> DataFrame:
-    b = baselines(spark, d)
-    of = lambda w: b.filter(F.col("win") == w).drop("win")
-    return drift.drift_indicators(of("live"), of("baseline"), ["service"])
+    return drift.drift_of_windows(baselines(spark, d), ["service"], "win", "live", "baseline")
 
 
 def _drift(spark, d, *names: str) -> DataFrame:

@@ -39,8 +39,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rates(reqs: DataFrame) -> DataFrame:
     """Requests per second of every hour between a window's first and last, zero where there is none."""
-    hour = F.date_trunc("hour", "ts")
-    counted = reqs.groupBy(*KEYS, hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return rates_of(reqs.groupBy(*KEYS, F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def rates_of(counted: DataFrame) -> DataFrame:
+    """The same from counts (service, win, hour, n) of the hours that have any."""
     ends = counted.groupBy("win").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
     grid = counted.select(*KEYS).distinct().join(ends, "win").select(*KEYS, F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour"))
     return grid.join(counted, [*KEYS, "hour"], "left").select(*KEYS, "hour", (F.coalesce("n", F.lit(0)) / 3600).alias("rps"))

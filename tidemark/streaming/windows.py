@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tidemark.functions.folds import quantile
 from tidemark.operators.drift import deviation, drift_signal, first_pass, report_class, severity
-from tidemark.operators.evidence import quantile
 
 #: Upper bounds of latency buckets in milliseconds; a window's state is a count for each.
 BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
