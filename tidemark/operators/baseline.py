@@ -178,7 +178,8 @@ def request_indicators(cells_: DataFrame, keys: list[str], bounds: list[float])
     upto = [F.coalesce(F.sum(F.when(F.col("le") <= b, F.col("timed"))), F.lit(0)).alias(f"_b{i}") for i, b in enumerate(bounds)]
     row = cells_.groupBy(*keys).agg(*upto, F.sum("n").alias("total_count"), F.sum("errors").alias("error_count"), F.sum("timed").alias("sample_count"), F.sum("value_sum").alias("value_sum"))
     buckets = F.array(*[F.struct(F.lit("+Inf" if b == INF else repr(b)).alias("le"), F.col(f"_b{i}").cast("double").alias("count")) for i, b in enumerate(bounds)])
-    total, ratio = F.col("sample_count").cast("double"), F.try_divide("error_count", "total_count")
+    row = row.select(*keys, buckets.alias("_buckets"), "total_count", "error_count", "sample_count", "value_sum")
+    buckets, total, ratio = F.col("_buckets"), F.col("sample_count").cast("double"), F.try_divide("error_count", "total_count")
     four = {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99}
     return row.select(*keys, *[quantile(buckets, total, q).alias(n) for n, q in four.items()], "sample_count", spread(buckets, total, F.col("value_sum")).alias("stddev_ms"), "total_count", "error_count", ratio.alias("error_ratio"), F.sqrt(ratio * (1 - ratio) / F.col("total_count")).alias("error_stddev"), (1 - ratio).alias("availability"))
 

@@ -102,14 +102,16 @@ def ranked(counted: DataFrame, keys: list[str], wanted: dict[str, Column]) -> Da
 
     Counts per bucket of values tell which bucket holds a rank, and how many values lie before it; only that bucket's values are sorted.
     """
-    counted = counted.withColumn("_b", value_bucket(F.col("_v")))
-    sizes = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
-    table = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_n"))).alias("_buckets"), F.sum("_n").alias("_all"))
+    # A struct of the keys is never null, nor is a bucket: so a join adds no filter to one of its sides, both read the same exchange, and null keys keep their rows.
+    counted = counted.select(F.struct(*keys).alias("_k"), "_v", "_n", F.coalesce(value_bucket(F.col("_v")), F.lit(0).cast("bigint")).alias("_b"))
+    sizes = counted.groupBy("_k", "_b").agg(F.sum("_n").alias("_n"))
+    table = sizes.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_b", "_n"))).alias("_buckets"), F.sum("_n").alias("_all"))
     ranks = F.array(*[F.struct(F.lit(name).alias("_name"), rank.cast("bigint").alias("_rank")) for name, rank in wanted.items()])
-    ranks = table.select(*keys, "_buckets", "_all", F.inline(ranks))
+    ranks = table.select("_k", "_buckets", "_all", F.inline(ranks))
     # The first bucket up to which there are as many values as the rank, and the values before it.
     walk = "aggregate(_buckets, struct(0L as before, cast(null as bigint) as b), (s, x) -> if(s.b is not null, s, if(s.before + x._n >= _rank, struct(s.before as before, x._b as b), struct(s.before + x._n as before, cast(null as bigint) as b))))"
-    ranks = ranks.withColumn("_at", F.expr(walk)).select(*keys, "_all", "_name", F.col("_at.b").alias("_b"), (F.col("_rank") - F.col("_at.before")).alias("_within"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_b", "_name").orderBy("_v"))
-    hit = counted.join(ranks, [*keys, "_b"]).withColumn("_upto", upto).filter("_upto >= _within")
-    return hit.groupBy(*keys).agg(F.max("_all").alias("n"), *[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in wanted])
+    ranks = ranks.withColumn("_at", F.expr(walk)).select("_k", "_all", "_name", F.coalesce("_at.b", F.lit(0).cast("bigint")).alias("_b"), (F.col("_rank") - F.col("_at.before")).alias("_within"))
+    upto = F.sum("_n").over(Window.partitionBy("_k", "_b", "_name").orderBy("_v"))
+    hit = counted.join(ranks, ["_k", "_b"]).withColumn("_upto", upto).filter("_upto >= _within")
+    found = hit.groupBy("_k").agg(F.max("_all").alias("n"), *[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in wanted])
+    return found.select("_k.*", "n", *wanted)
