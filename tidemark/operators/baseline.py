@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.folds import deviation_of, mean_of, quantile, rank_of, spread
 from tidemark.operators import blocks
 
 INF = float("inf")
@@ -93,14 +92,13 @@ def throughput(rates: DataFrame, keys: list[str], value: str = "rps") -> DataFra
 
 def saturation(gauges: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and p95 of cpu and memory; available if there is a sample of either. Both come from counts of equal values, so gauges are read once."""
-    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("double").alias("_v")) for c in ("cpu", "mem")])
-    counted = gauges.select(*keys, F.inline(kinds)).groupBy(*keys, "kind", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counted = gauges.select(*keys, F.expr("inline(array(struct('cpu' as kind, double(cpu) as _v), struct('mem' as kind, double(mem) as _v)))")).groupBy(*keys, "kind", "_v").agg(F.expr("count(1) as _n"))
     # A key without a sample keeps its row: null values are counted too.
-    means = counted.groupBy(*keys, "kind").agg(F.try_divide(F.sum(F.col("_v") * F.col("_n")), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias("mean"))
-    p95 = blocks.ranked(counted.filter("_v is not null"), [*keys, "kind"], {"p95": F.ceil(F.lit(0.95) * F.col("_all"))})
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    row = means.join(p95, [*keys, "kind"], "left").groupBy(*keys).agg(F.coalesce(of("cpu", "mean"), F.lit(0.0)).alias("cpu_mean_ratio"), F.coalesce(of("mem", "mean"), F.lit(0.0)).alias("memory_mean_ratio"), of("cpu", "p95").alias("cpu_p95_ratio"), of("mem", "p95").alias("memory_p95_ratio"), F.bool_or(F.col("mean").isNotNull()).alias("saturation_available"))
-    return row.select(*keys, "cpu_mean_ratio", "memory_mean_ratio", "saturation_available", "cpu_p95_ratio", "memory_p95_ratio")
+    means = counted.groupBy(*keys, "kind").agg(F.expr("try_divide(sum(_v * _n), sum(if(_v is not null, _n, null))) as mean"))
+    p95 = blocks.ranked(counted.filter("_v is not null"), [*keys, "kind"], {"p95": F.expr("ceil(0.95D * _all)")})
+    of = lambda kind, c: f"max(if(kind = '{kind}', {c}, null))"
+    row = means.join(p95, [*keys, "kind"], "left").groupBy(*keys)
+    return row.agg(*[F.expr(e) for e in (f"coalesce({of('cpu', 'mean')}, 0D) as cpu_mean_ratio", f"coalesce({of('mem', 'mean')}, 0D) as memory_mean_ratio", "bool_or(mean is not null) as saturation_available", f"{of('cpu', 'p95')} as cpu_p95_ratio", f"{of('mem', 'p95')} as memory_p95_ratio")])
 
 
 def span_counts(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,20 +172,53 @@ def cells(requests: DataFrame, keys: list[str], bounds: list[float], step: Colum
 
 
 def request_indicators(cells_: DataFrame, keys: list[str], bounds: list[float]) -> DataFrame:
-    """Latency, errors and availability from cells, by one aggregate: the counts up to each bound are an array of the row."""
-    upto = [F.coalesce(F.sum(F.when(F.col("le") <= b, F.col("timed"))), F.lit(0)).alias(f"_b{i}") for i, b in enumerate(bounds)]
-    row = cells_.groupBy(*keys).agg(*upto, F.sum("n").alias("total_count"), F.sum("errors").alias("error_count"), F.sum("timed").alias("sample_count"), F.sum("value_sum").alias("value_sum"))
-    buckets = F.array(*[F.struct(F.lit("+Inf" if b == INF else repr(b)).alias("le"), F.col(f"_b{i}").cast("double").alias("count")) for i, b in enumerate(bounds)])
-    row = row.select(*keys, buckets.alias("_buckets"), "total_count", "error_count", "sample_count", "value_sum")
-    buckets, total, ratio = F.col("_buckets"), F.col("sample_count").cast("double"), F.try_divide("error_count", "total_count")
+    """Latency, errors and availability from cells, by one aggregate: the counts up to each bound are columns of the row, and what follows from them plain expressions.
+
+    A percentile is interpolated within the first bucket up to which its rank lies; beyond the last finite bound it is that bound. The spread takes every
+    request at its bucket's middle, in the open one at twice its lower bound.
+    """
+    upto = [F.expr(f"double(coalesce(sum(case when le <= {_number(b)} then timed end), 0))").alias(f"_b{i}") for i, b in enumerate(bounds)]
+    row = cells_.groupBy(*keys).agg(*upto, F.expr("sum(n) as total_count"), F.expr("sum(errors) as error_count"), F.expr("sum(timed) as sample_count"), F.expr("sum(value_sum) as value_sum"))
+    ratio = "try_divide(error_count, total_count)"
     four = {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99}
-    return row.select(*keys, *[quantile(buckets, total, q).alias(n) for n, q in four.items()], "sample_count", spread(buckets, total, F.col("value_sum")).alias("stddev_ms"), "total_count", "error_count", ratio.alias("error_ratio"), F.sqrt(ratio * (1 - ratio) / F.col("total_count")).alias("error_stddev"), (1 - ratio).alias("availability"))
+    return row.selectExpr(
+        *keys, *[f"{_percentile(q, bounds)} as {n}" for n, q in four.items()], "sample_count", f"{_deviation(bounds)} as stddev_ms", "total_count", "error_count",
+        f"{ratio} as error_ratio", f"sqrt({ratio} * (1 - {ratio}) / total_count) as error_stddev", f"1 - {ratio} as availability",
+    )
+
+
+def _number(b: float) -> str:
+    return "double('Infinity')" if b == INF else f"{float(b)!r}D"
+
+
+def _lower(i: int, bounds: list[float]) -> tuple[str, str]:
+    """The count up to bucket i's lower bound, and that bound."""
+    return (f"_b{i - 1}", _number(bounds[i - 1])) if i else ("0D", "0D")
+
+
+def _percentile(q: float, bounds: list[float]) -> str:
+    rank, cases = f"({q!r}D * sample_count)", []
+    for i, b in enumerate(bounds):
+        if b < INF:
+            below, low = _lower(i, bounds)
+            part = f"if(_b{i} > {below}, ({rank} - {below}) / (_b{i} - {below}), 0D)"
+            cases.append(f"when _b{i} >= {rank} then {low} + {part} * ({_number(b)} - {low})")
+    return f"case {' '.join(cases)} else {_number(max(b for b in bounds if b < INF))} end"
+
+
+def _deviation(bounds: list[float]) -> str:
+    terms = []
+    for i, b in enumerate(bounds):
+        below, low = _lower(i, bounds)
+        middle = f"({low} + {_number(b)}) / 2" if b < INF else f"2 * {low}" if i else "1D"
+        terms.append(f"(_b{i} - {below}) * pow({middle} - try_divide(value_sum, sample_count), 2)")
+    return f"sqrt(try_divide({' + '.join(terms)}, sample_count))"
 
 
 def rate_indicators(rates: DataFrame, keys: list[str]) -> DataFrame:
-    """``throughput`` where a key's rates are one per step of a window, and so few: by one aggregate, over an array."""
-    row = rates.groupBy(*keys).agg(F.collect_list("rps").alias("r"))
-    return row.select(*keys, mean_of(F.col("r")).alias("mean_rps"), deviation_of(F.col("r")).alias("stddev_rps"), F.size("r").cast("bigint").alias("rate_samples"), rank_of(F.col("r"), 0.95).alias("p95_rps"))
+    """``throughput`` where a key's rates are one per step of a window, and so few: by one aggregate, the percentile from an array."""
+    row = rates.groupBy(*keys).agg(F.expr("coalesce(avg(rps), 0D) as mean_rps"), F.expr("coalesce(stddev_pop(rps), 0D) as stddev_rps"), F.expr("count(rps) as rate_samples"), F.expr("array_sort(collect_list(rps)) as r"))
+    return row.selectExpr(*keys, "mean_rps", "stddev_rps", "rate_samples", "coalesce(get(r, int(ceil(0.95D * size(r))) - 1), 0D) as p95_rps")
 
 
 def baseline(cells_: DataFrame, rates: DataFrame, gauges: DataFrame, traces: DataFrame, logs: DataFrame, keys: list[str], bounds: list[float], provenance: dict[str, Column] | None = None) -> DataFrame:

@@ -27,26 +27,23 @@ SEVERITIES = ((10.0, "critical"), (5.0, "high"), (2.0, "medium"), (0.0, "low"))
 IMPROVED = ("latency_improvement", "error_rate_reduction")
 
 
-def _one(ord_: int, name: str, value: str, sd: Column, unit: str, available: Column, core: bool) -> Column:
-    return F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("name"), F.col(value).cast("double").alias("value"), sd.cast("double").alias("sd"), F.lit(unit).alias("unit"), available.alias("available"), F.lit(core).alias("core"))
-
-
 def indicators(baselines: DataFrame, keys: list[str]) -> DataFrame:
     """A baseline row as one row per indicator, in fixed order, with the spread that its band takes."""
-    known = lambda c: F.col(c).isNotNull()
-    share = lambda c, part, least: F.when(F.col(c) > 0, F.col(c) * part).otherwise(F.lit(least))
-    rows = [
-        _one(1, "latency_p99_ms", "p99_ms", F.col("stddev_ms"), "ms", known("p99_ms"), True),
-        _one(2, "latency_p50_ms", "p50_ms", F.col("stddev_ms"), "ms", known("p50_ms"), True),
-        _one(3, "error_rate_ratio", "error_ratio", F.col("error_stddev"), "ratio", known("error_ratio"), True),
-        _one(4, "availability_ratio", "availability", F.col("error_stddev"), "ratio", known("availability"), True),
-        _one(5, "throughput_mean_rps", "mean_rps", F.col("stddev_rps"), "rps", known("mean_rps"), True),
-        _one(6, "cpu_mean_ratio", "cpu_mean_ratio", F.lit(0.1), "ratio", F.col("saturation_available"), False),
-        _one(7, "memory_mean_ratio", "memory_mean_ratio", F.lit(0.1), "ratio", F.col("saturation_available"), False),
-        _one(8, "dependency_p99_ms", "top_dependency_p99_ms", share("top_dependency_p99_ms", 0.2, 10.0), "ms", F.col("trace_available"), False),
-        _one(9, "error_top_category_ratio", "top_category_ratio", share("top_category_ratio", 0.1, 0.05), "ratio", F.col("breakdown_available"), False),
-    ]
-    return baselines.select(*keys, F.inline(F.array(*rows)))
+    share = lambda c, part, least: f"if({c} > 0, {c} * {part}D, {least}D)"
+    rows = (
+        # name, column, spread, unit, available, core
+        ("latency_p99_ms", "p99_ms", "stddev_ms", "ms", "p99_ms is not null", True),
+        ("latency_p50_ms", "p50_ms", "stddev_ms", "ms", "p50_ms is not null", True),
+        ("error_rate_ratio", "error_ratio", "error_stddev", "ratio", "error_ratio is not null", True),
+        ("availability_ratio", "availability", "error_stddev", "ratio", "availability is not null", True),
+        ("throughput_mean_rps", "mean_rps", "stddev_rps", "rps", "mean_rps is not null", True),
+        ("cpu_mean_ratio", "cpu_mean_ratio", "0.1D", "ratio", "saturation_available", False),
+        ("memory_mean_ratio", "memory_mean_ratio", "0.1D", "ratio", "saturation_available", False),
+        ("dependency_p99_ms", "top_dependency_p99_ms", share("top_dependency_p99_ms", 0.2, 10.0), "ms", "trace_available", False),
+        ("error_top_category_ratio", "top_category_ratio", share("top_category_ratio", 0.1, 0.05), "ratio", "breakdown_available", False),
+    )
+    structs = [f"struct({i} as ord, '{name}' as name, double({value}) as value, double({sd}) as sd, '{unit}' as unit, {available} as available, {core} as core)" for i, (name, value, sd, unit, available, core) in enumerate(rows, 1)]
+    return baselines.select(*keys, F.expr(f"inline(array({', '.join(structs)}))"))
 
 
 def first_pass(name: Column, direction: Column, breach: Column) -> Column:
