@@ -27,6 +27,11 @@ def level_targets(sizes, weights=(3, 1, 2)):
     return target
 
 
+def random_key(i, text):
+    own = "" if i is None else i
+    return hashlib.md5(f"17:{own}:{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()
+
+
 def make(spark, n=400, seed=1):
     rng = random.Random(seed)
     rows = []
@@ -42,13 +47,13 @@ def make(spark, n=400, seed=1):
 def test_targets_and_cuts(spark, interval):
     rows, df = make(spark)
     got = {r.doc_id: r for r in mixing.mix(df, rows_per_interval=interval).collect()}
-    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    size, texts = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}, {r[0]: r[1] for r in rows}
     by = defaultdict(int)
     for r in rows:
         by[r[2]] += size[r[0]]
     targets = level_targets(dict(by))
     for s in by:
-        ids = sorted((r[0] for r in rows if r[2] == s), key=lambda i: hashlib.md5(f"17:{i}".encode()).hexdigest())
+        ids = sorted((r[0] for r in rows if r[2] == s), key=lambda i: random_key(i, texts[i]))
         whole = int(targets[s] // by[s]) if by[s] else 0
         left = int(targets[s]) - whole * by[s]
         for i in ids:
@@ -85,6 +90,28 @@ def test_odd_tables(spark):
     assert mixing.mixed_documents(df).filter(F.col("text").isNull()).count() == 0
 
 
+def test_rows_without_an_id_are_spread_and_cut_like_any_others(spark):
+    rows = [(None if i % 3 else 5, f"w{i} " * (i % 7 + 1), "hot" if i % 4 else "cold", 0, 1, 1, "") for i in range(3000)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    places = mixing._place(df, rows_per_interval=100)
+    assert places.select("key").distinct().count() == 3000
+    # By tenths of the key space no part has more than twice its share.
+    assert max(Counter(int(r.key[:2], 16) // 26 for r in places.select("key").collect()).values()) < 600
+    size = {random_key(r[0], r[1]): (len(WORD.findall(r[1])), r[2]) for r in rows}
+    by = Counter()
+    for n, s in size.values():
+        by[s] += n
+    targets = level_targets(dict(by))
+    got = {r.key: r.whole * r["size"] + r["last"] for r in places.collect()}
+    for s in by:
+        whole = int(targets[s] // by[s])
+        left = int(targets[s]) - whole * by[s]
+        for k in sorted(k for k in size if size[k][1] == s):
+            take = min(size[k][0], left)
+            left -= take
+            assert got[k] == whole * size[k][0] + take
+
+
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(make(spark)[1])._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

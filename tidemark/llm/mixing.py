@@ -50,9 +50,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return by_source.select("source", "n_rows", "source_size", target.cast("double").alias("target"))
 
 
-def _key(seed: int) -> Column:
-    """128 random bits as hexadecimal digits, whose order is that of the numbers."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+def _key(seed: int, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 random bits as hexadecimal digits, whose order is that of the numbers. They come from the id and the text, so rows that share an id, or have none, are spread like any others."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).cast("binary"))
 
 
 def _place(
@@ -69,19 +70,18 @@ def _place(
     """Every row with its key, the whole epochs of its source and the words that the last, partial epoch takes of it."""
     sizes = cut(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _key(seed, id_col, text_col).alias("key")
         )
     )
     targets = source_targets(sizes, weights, share, epochs)
     targets = targets.withColumn("intervals", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / rows_per_interval)).cast("long"))
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("budget", F.floor("target") - F.col("whole") * F.col("source_size"))
-    key = _key(seed)
     # 52 of the bits choose the interval.
-    unit = F.conv(F.substring(key, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    unit = F.conv(F.substring("key", 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     # One row per source: Spark broadcasts it after seeing its size, and splits a hot source otherwise.
     keyed = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    keyed = keyed.withColumn("key", key).withColumn("interval", F.floor(unit * F.col("intervals")))
+    keyed = keyed.withColumn("interval", F.floor(unit * F.col("intervals")))
     within = Window.partitionBy("source", "interval").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     totals = sizes.withColumnRenamed("source", "s").join(targets.select("source", "intervals"), F.col("s").eqNullSafe(F.col("source"))).drop("s")
@@ -100,6 +100,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows_per_interval; seed. ``taken`` counts words with repeats; a source's sum is its target rounded down. Null texts and empty
     texts have size 0 and are taken 0 times; a null source is a source of its own, last in order; a null id is an
     id like any other. Repeated rows count each; which of two identical rows the cut falls on is immaterial.
+    Keys come from id and text, so only rows alike in both share one, and with it an interval.
     Other columns are ignored, an empty table gives an empty result.
     """
     placed = _place(docs, **options)

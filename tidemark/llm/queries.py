@@ -40,7 +40,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": r"""
 with sizes as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-         md5('17:' || coalesce(doc_id::varchar, '')) as key
+         md5('17:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key
   from documents),
 ranked as (
   select source, count(*) as n_rows, sum(size)::bigint as source_size,
