@@ -299,3 +299,29 @@ def test_drift_of_two_windows_in_one_table(spark):
     of = lambda w: df.filter(F.col("win") == w).drop("win")
     apart = drift.drift_indicators(of("live"), of("base"), ["service"])
     assert audit.differences(drift.drift_of_windows(df, ["service"], "win", "live", "base"), apart).isEmpty() and apart.count() == 8 + 7
+
+
+def test_a_name_in_two_namespaces_is_two_services(spark):
+    keys = ["namespace", "service"]
+    rows = [("shop", "a", "drift-signal", 1, True, "x", None, None), ("core", "a", "baseline", 1, None, None, None, "new"), (None, "a", "drift-signal", 1, False, "x", None, None), ("core", "b", "drift-signal", 2, True, "x", None, None), ("core", "b", "drift-report", 1, None, None, "high", None)]
+    df = spark.createDataFrame(rows, "namespace string, service string, artifact_type string, stored_at int, breached boolean, class string, severity string, maturity_tier string")
+    s = fleet.service_status(df, F.col("stored_at"), keys)
+    assert {(r.namespace, r.service): r.status for r in s.collect()} == {("shop", "a"): "degraded", ("core", "a"): "baselined", (None, "a"): "healthy", ("core", "b"): "critical"}
+    assert {r.namespace: (r.total_services, r.critical) for r in fleet.summary(s, ["namespace"]).collect()} == {"shop": (1, 0), "core": (2, 1), None: (1, 0)}
+    assert [(r.namespace, r.service) for r in fleet.drift_monitor(s, keys).collect()][0] == ("core", "b")
+    rules = spark.createDataFrame([("shop", "a", "critical"), ("core", "a", "warning"), ("core", "a", "critical")], "namespace string, service string, severity string")
+    assert one(alerts.summary(rules, ("namespace", "service")))[:] == (3, 2, 1, 2)
+
+
+def test_streams_keep_namespaces_apart(spark):
+    from tidemark.streaming import windows
+
+    keys = ["namespace", "service"]
+    rows = [(n, "a", f"2026-01-01 08:{m:02d}:00", 20.0 if n == "shop" else 300.0, n == "core" and m % 2 == 0) for n in ("shop", "core") for m in range(60)]
+    reqs = spark.createDataFrame(rows, "namespace string, service string, ts string, latency_ms double, is_error boolean")
+    seen = windows.stream_indicators(reqs, "1 hour", "1 hour", keys=keys)
+    assert {r.namespace: (r.n, r.error_ratio) for r in seen.collect()} == {"shop": (60, 0.0), "core": (60, 0.5)}
+    sla = spark.createDataFrame([("shop", "a", 10.0), ("core", "a", 400.0)], "namespace string, service string, sla_target double")
+    assert {r.namespace: r.good_ratio for r in windows.stream_record(reqs, sla, length="1 hour", keys=keys).collect()} == {"shop": 0.0, "core": 1.0}
+    base = spark.createDataFrame([(n, "a", 25.0, 20.0, 5.0, 0.0, 0.01, 1.0, 60 / 3600, 0.001) for n in ("shop", "core")], "namespace string, service string, p99_ms double, p50_ms double, stddev_ms double, error_ratio double, error_stddev double, availability double, mean_rps double, stddev_rps double")
+    assert {r.namespace: r.report_class != "no_significant_drift" for r in windows.window_signals(seen, base, keys).collect()} == {"shop": False, "core": True}

@@ -66,8 +66,8 @@ def saturated(value: Column) -> Column:
     return value > F.col("sla_target") + F.col("burn_rate") * F.col("error_budget_percent") / 100
 
 
-def summary(rules: DataFrame) -> DataFrame:
-    return rules.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warning"), F.countDistinct("service").alias("services"))
+def summary(rules: DataFrame, keys: tuple[str, ...] = ("service",)) -> DataFrame:
+    return rules.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warning"), F.countDistinct(*keys).alias("services"))
 
 
 def budgets(targets: DataFrame, drift: DataFrame, keys: list[str]) -> DataFrame:

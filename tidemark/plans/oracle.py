@@ -333,3 +333,39 @@ ORACLE_SQL: dict[str, str] = {
     "batch_record": sql("req prop", "select r.service, epoch(time_bucket(interval 5 minute, ts))::bigint as epoch, round(count(*) / 300, 6) as rps, round(avg(is_error::int), 6) as error_ratio, round(avg((latency_ms <= round(sla_target, 4))::int), 6) as good_ratio from req r join prop p on p.service = r.service and p.sli_type = 'latency' group by all"),
     "batch_cpu": "select 'svc-' || lpad((l_suppkey % 10)::varchar, 2, '0') as service, epoch(l_shipdate::timestamp)::bigint // 300 * 300 as epoch, round(avg(l_quantity / 50), 6) as cpu from lineitem group by all",
 }
+
+
+def _named(needs: str, select: str, columns: str = "*") -> str:
+    """A query whose services are told apart by namespace and name: one name of both parts inside, two columns in its result."""
+    text = sql(needs, f"select split_part(service, '/', 1) as namespace, split_part(service, '/', 2) as service, {columns} from ({select})")
+    for number, name in (("user_id", "'svc-' || lpad((user_id % 10)::varchar, 2, '0') as service"), ("o_custkey", "'svc-' || (o_custkey % 50)::varchar as service")):
+        text = text.replace(name, f"case when {number} % 20 < 10 then 'shop' else 'core' end || '/' || {name}")
+    return text
+
+
+_REST = "* exclude (service)"
+_STATUS_COUNTS = ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("healthy", "degraded", "critical", "improving", "baselined", "unknown"))
+ORACLE_SQL |= {
+    "baseline_by_namespace": _named(
+        "latency errs thr",
+        f"select service, win, {_LAT}, sample_count, total_count, error_count, {rounded('error_ratio error_stddev availability mean_rps stddev_rps p95_rps', 5)}, rate_samples from latency join errs using (service, win) join thr using (service, win)",
+        _REST,
+    ),
+    "error_ratio_by_namespace": _named("req", "select service, epoch(date_trunc('second', ts))::bigint // 21600 * 21600 as epoch, count(*) as n, count(*) filter (is_error) as hits, round(count(*) filter (is_error) / count(*), 6) as ratio from req group by all", _REST),
+    "rate_by_namespace": _named(
+        "req",
+        """select service, epoch // 3600 * 3600 as epoch, round(sum(case when prev is null then 0.0 when latency_ms < prev then latency_ms else latency_ms - prev end) / 3600, 6) as rps
+        from (select service, latency_ms, epoch(date_trunc('second', ts))::bigint as epoch, lag(latency_ms) over (partition by service, code order by ts, event_id) as prev from req) group by all""",
+        _REST,
+    ),
+    "status_by_namespace": _named("status", "from status", "* exclude (service, breached)"),
+    "fleet_by_namespace": f"select namespace, count(*) as total_services, {_STATUS_COUNTS} from ({_named('status', 'from status', 'status')}) group by namespace",
+    "drift_monitor_by_namespace": _named("status", ORACLE_SQL["drift_monitor"].rsplit("\n", 1)[1], _REST),
+    "latest_by_namespace": _named("newest", "select service, artifact_type, payload, stored_at from newest where turn = 1", _REST),
+    "batch_record_by_namespace": _named(
+        "req",
+        """select r.service, epoch(time_bucket(interval 5 minute, ts))::bigint as epoch, round(count(*) / 300, 6) as rps, round(avg(is_error::int), 6) as error_ratio, round(avg((latency_ms <= sla_target)::int), 6) as good_ratio
+        from req r join (select service, quantile_disc(latency_ms, 0.5) as sla_target from req group by service) t on t.service = r.service group by all""",
+        _REST,
+    ),
+}

@@ -909,3 +909,64 @@ def batch_record(spark, d):
 @query
 def batch_cpu(spark, d):
     return rounded(streaming.stream_cpu(roles.gauges(spark, d)).select("service", F.unix_timestamp("window_start").alias("epoch"), "cpu"))
+
+
+# The same by namespace and name: a name may be in use in several namespaces, as other services
+
+
+NAMED = ["namespace", "service"]
+
+
+@query
+def baseline_by_namespace(spark, d):
+    keys = [*NAMED, "win"]
+    cells = base.cells(roles.requests_by_namespace(spark, d), keys, BOUNDS, F.date_trunc("hour", "ts"))
+    rates = roles.rates_of(cells.groupBy(*keys, "hour").agg(F.sum("n").alias("n")), keys)
+    rows = base.request_indicators(cells, keys, BOUNDS).join(base.rate_indicators(rates, keys), keys, "left")
+    return rounded(rows, 5)
+
+
+@query
+def error_ratio_by_namespace(spark, d):
+    return rounded(series.ratio_per_step(roles.requests_by_namespace(spark, d), NAMED, 6 * 3600, F.col("is_error")))
+
+
+@query
+def rate_by_namespace(spark, d):
+    """Rates of counters of each namespace, summed by hour."""
+    rows = roles.requests_by_namespace(spark, d).select(*NAMED, "event_id", "code", "ts", F.col("latency_ms").alias("value"))
+    steps = series.deltas(rows, [*NAMED, "code"], ["ts", "event_id"]).groupBy(*NAMED, (F.floor(series.epoch() / 3600) * 3600).alias("epoch")).agg((F.sum("delta") / 3600).alias("rps"))
+    return rounded(steps)
+
+
+def _named_statuses(spark, d) -> DataFrame:
+    return fleet.service_status(roles.artifacts_by_namespace(spark, d), F.struct("stored_at", "o_orderkey"), NAMED)
+
+
+@query
+def status_by_namespace(spark, d):
+    return _named_statuses(spark, d)
+
+
+@query
+def fleet_by_namespace(spark, d):
+    return fleet.summary(_named_statuses(spark, d), ["namespace"])
+
+
+@query
+def drift_monitor_by_namespace(spark, d):
+    return fleet.drift_monitor(_named_statuses(spark, d), NAMED)
+
+
+@query
+def latest_by_namespace(spark, d):
+    return store.latest(roles.artifacts_by_namespace(spark, d), (*NAMED, "artifact_type"), tie="o_orderkey")
+
+
+@query
+def batch_record_by_namespace(spark, d):
+    """Each namespace's recorded share of good requests is against its own median as the agreement."""
+    reqs = roles.requests_by_namespace(spark, d)
+    targets = base.ranked_values(reqs, NAMED, "latency_ms", {"sla_target": (0.5, "ceil")}).drop("n")
+    rows = streaming.stream_record(reqs, targets, keys=NAMED)
+    return rounded(rows.select(*NAMED, F.unix_timestamp("window_start").alias("epoch"), "rps", "error_ratio", "good_ratio"))

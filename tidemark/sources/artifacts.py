@@ -22,8 +22,8 @@ def latest(artifacts: DataFrame, keys: tuple[str, ...] = ("service", "artifact_t
     return artifacts.groupBy(*keys).agg(F.max_by("payload", newest).alias("payload"), F.max("stored_at").alias("stored_at"))
 
 
-def services(artifacts: DataFrame) -> DataFrame:
-    return artifacts.select("service").distinct().orderBy("service")
+def services(artifacts: DataFrame, keys: tuple[str, ...] = ("service",)) -> DataFrame:
+    return artifacts.select(*keys).distinct().orderBy(*keys)
 
 
 def supported(artifacts: DataFrame, versions: tuple[int, ...] = (1,)) -> tuple[DataFrame, DataFrame]:

@@ -28,13 +28,24 @@ def namespace(service_: Column | str) -> Column:
     return F.when(F.substring(s, 5, 2).cast("int") % 2 == 0, "shop").otherwise("core")
 
 
+def shared_namespace(number: Column | str) -> Column:
+    """Of a service that runs in two namespaces: which of them a row is of."""
+    n = F.col(number) if isinstance(number, str) else number
+    return F.when(n % 20 < 10, "shop").otherwise("core")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests from events; three services are slower by four in the live window."""
+    return requests_by_namespace(spark, sf_dir).drop("namespace")
+
+
+def requests_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the namespace; every service's name is in use in both."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     live = F.col("ts") >= F.lit(LIVE_FROM).cast("timestamp")
     slow = live & (F.col("user_id") % 10 < 3)
     is_error = F.col("event_type") == "error"
-    return e.select("event_id", service("user_id").alias("service"), F.when(live, "live").otherwise("baseline").alias("win"), "ts", "event_type", F.when(slow, F.col("value") * 4).otherwise(F.col("value")).alias("latency_ms"), is_error.alias("is_error"), F.when(is_error, "500").otherwise("200").alias("code"), "props")
+    return e.select("event_id", service("user_id").alias("service"), F.when(live, "live").otherwise("baseline").alias("win"), "ts", "event_type", F.when(slow, F.col("value") * 4).otherwise(F.col("value")).alias("latency_ms"), is_error.alias("is_error"), F.when(is_error, "500").otherwise("200").alias("code"), "props", shared_namespace("user_id").alias("namespace"))
 
 
 def rates(reqs: DataFrame) -> DataFrame:
@@ -42,11 +53,11 @@ def rates(reqs: DataFrame) -> DataFrame:
     return rates_of(reqs.groupBy(*KEYS, F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def rates_of(counted: DataFrame) -> DataFrame:
-    """The same from counts (service, win, hour, n) of the hours that have any."""
+def rates_of(counted: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The same from counts (keys with win, hour, n) of the hours that have any."""
     ends = counted.groupBy("win").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    grid = counted.select(*KEYS).distinct().join(ends, "win").select(*KEYS, F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour"))
-    return grid.join(counted, [*KEYS, "hour"], "left").select(*KEYS, "hour", (F.coalesce("n", F.lit(0)) / 3600).alias("rps"))
+    grid = counted.select(*keys).distinct().join(ends, "win").select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour"))
+    return grid.join(counted, [*keys, "hour"], "left").select(*keys, "hour", (F.coalesce("n", F.lit(0)) / 3600).alias("rps"))
 
 
 def counters(reqs: DataFrame) -> DataFrame:
@@ -81,7 +92,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts_by_namespace(spark, sf_dir).drop("namespace")
+
+
+def artifacts_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "drift-signal").when(F.col("o_orderstatus") == "O", "baseline").otherwise("drift-report")
     severity = F.lower(F.split("o_orderpriority", "-")[0])
-    return o.select(F.concat(F.lit("svc-"), (F.col("o_custkey") % 50).cast("string")).alias("service"), kind.alias("artifact_type"), F.col("o_orderdate").alias("stored_at"), F.col("o_orderkey"), F.col("o_orderkey").cast("string").alias("payload"), (F.col("o_totalprice") > 150000).alias("breached"), F.when(F.col("o_totalprice") > 300000, "latency_improvement").when(F.col("o_totalprice") > 150000, "latency_regression").otherwise("no_significant_drift").alias("class"), severity.alias("priority"), F.when(F.col("o_orderkey") % 3 == 0, "critical").when(F.col("o_orderkey") % 3 == 1, "medium").otherwise("info").alias("severity"), F.when(F.col("o_orderkey") % 2 == 0, "new").otherwise("mature").alias("maturity_tier"))
+    return o.select(F.concat(F.lit("svc-"), (F.col("o_custkey") % 50).cast("string")).alias("service"), kind.alias("artifact_type"), F.col("o_orderdate").alias("stored_at"), F.col("o_orderkey"), F.col("o_orderkey").cast("string").alias("payload"), (F.col("o_totalprice") > 150000).alias("breached"), F.when(F.col("o_totalprice") > 300000, "latency_improvement").when(F.col("o_totalprice") > 150000, "latency_regression").otherwise("no_significant_drift").alias("class"), severity.alias("priority"), F.when(F.col("o_orderkey") % 3 == 0, "critical").when(F.col("o_orderkey") % 3 == 1, "medium").otherwise("info").alias("severity"), F.when(F.col("o_orderkey") % 2 == 0, "new").otherwise("mature").alias("maturity_tier"), shared_namespace("o_custkey").alias("namespace"))

@@ -1,7 +1,12 @@
-"""Streaming indicators, drift and recording rules by event-time windows; late rows are dropped by the watermark and their number goes on record."""
+"""Streaming indicators, drift and recording rules by event-time windows; late rows are dropped by the watermark and their number goes on record.
+
+``keys`` name a service: its name, or namespace and name.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -13,47 +18,50 @@ from tidemark.operators.drift import deviation, drift_signal, first_pass, report
 BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
 
 
+SERVICE = ("service",)
+
+
 def _timed(rows: DataFrame, late: str) -> DataFrame:
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.withWatermark("ts", late) if rows.isStreaming else rows
 
 
-def stream_indicators(requests: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes", bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+def stream_indicators(requests: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes", bounds: tuple[float, ...] = BOUNDS, keys: Sequence[str] = SERVICE) -> DataFrame:
     """Sliding live windows per service: count, error ratio, p99 and p50 interpolated in buckets, as the baseline's are. Works on a stream and on a batch alike.
 
     The state of a window is a few sums and a count for each bound, however many rows it has; percentiles are taken when it is handed out.
     """
     window = F.window("ts", length, slide)
     upto = [F.count_if(F.col("latency_ms") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
-    out = _timed(requests, late).groupBy("service", window.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count("latency_ms").alias("timed"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), *upto)
+    out = _timed(requests, late).groupBy(*keys, window.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count("latency_ms").alias("timed"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), *upto)
     bucket = lambda le, count: F.struct(F.lit(le).alias("le"), F.col(count).cast("double").alias("count"))
     buckets = F.array(*[bucket(repr(b), f"b{i}") for i, b in enumerate(bounds)], bucket("+Inf", "timed"))
     p: dict[str, Column] = {name: quantile(buckets, F.col("timed"), q) for name, q in (("p99_ms", 0.99), ("p50_ms", 0.5))}
-    return out.select("service", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "error_ratio", *[c.alias(name) for name, c in p.items()])
+    return out.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "error_ratio", *[c.alias(name) for name, c in p.items()])
 
 
-def stream_record(requests: DataFrame, targets: DataFrame | None = None, late: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
-    """Tumbling recording rules: requests per second, error ratio and, with ``targets`` (service, sla_target; a table), the share within the agreement.
+def stream_record(requests: DataFrame, targets: DataFrame | None = None, late: str = "10 minutes", length: str = "5 minutes", keys: Sequence[str] = SERVICE) -> DataFrame:
+    """Tumbling recording rules: requests per second, error ratio and, with ``targets`` (keys, sla_target; a table), the share within the agreement.
 
     A service without a target has no such share; requests without a latency count as beyond it.
     """
     rows = _timed(requests, late)
-    rows = rows.join(targets, "service", "left") if targets is not None else rows.withColumn("sla_target", F.lit(None).cast("double"))
+    rows = rows.join(targets, list(keys), "left") if targets is not None else rows.withColumn("sla_target", F.lit(None).cast("double"))
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     good = F.when(F.col("sla_target").isNotNull(), F.coalesce(F.col("latency_ms") <= F.col("sla_target"), F.lit(False)).cast("double"))
-    out = rows.groupBy("service", F.window("ts", length).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), F.avg(good).alias("good_ratio"))
-    return out.select("service", F.col("w.start").alias("window_start"), (F.col("n") / seconds).alias("rps"), "error_ratio", "good_ratio")
+    out = rows.groupBy(*keys, F.window("ts", length).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), F.avg(good).alias("good_ratio"))
+    return out.select(*keys, F.col("w.start").alias("window_start"), (F.col("n") / seconds).alias("rps"), "error_ratio", "good_ratio")
 
 
-def stream_cpu(gauges: DataFrame, late: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
+def stream_cpu(gauges: DataFrame, late: str = "10 minutes", length: str = "5 minutes", keys: Sequence[str] = SERVICE) -> DataFrame:
     """The recording rule of utilization, over a stream of gauges: mean of each window's samples; a window without one leaves no row."""
     rows = _timed(gauges, late).filter(F.col("cpu").isNotNull())
-    out = rows.groupBy("service", F.window("ts", length).alias("w")).agg(F.avg("cpu").alias("cpu"))
-    return out.select("service", F.col("w.start").alias("window_start"), "cpu")
+    out = rows.groupBy(*keys, F.window("ts", length).alias("w")).agg(F.avg("cpu").alias("cpu"))
+    return out.select(*keys, F.col("w.start").alias("window_start"), "cpu")
 
 
-def stream_drift(windows: DataFrame, base: DataFrame) -> DataFrame:
-    """Each window's indicators against the stored baseline (service, p99_ms, p50_ms, stddev_ms, error_ratio, error_stddev, availability, mean_rps, stddev_rps): one row per window and indicator.
+def stream_drift(windows: DataFrame, base: DataFrame, keys: Sequence[str] = SERVICE) -> DataFrame:
+    """Each window's indicators against the stored baseline (keys, p99_ms, p50_ms, stddev_ms, error_ratio, error_stddev, availability, mean_rps, stddev_rps): one row per window and indicator.
 
     A join of a stream with a table, or of two tables; what rates and gauges a stream of requests lacks leaves no row.
     """
@@ -62,15 +70,15 @@ def stream_drift(windows: DataFrame, base: DataFrame) -> DataFrame:
         (4, "availability_ratio", "availability", "availability", "error_stddev", "ratio"), (5, "throughput_mean_rps", "rps", "mean_rps", "stddev_rps", "rps"),
     )
     rows = windows.withColumns({"availability": 1 - F.col("error_ratio"), "rps": F.col("n") / (F.unix_timestamp("window_end") - F.unix_timestamp("window_start"))})
-    stored = base.select("service", F.struct(*[c for c in base.columns if c != "service"]).alias("b"))
+    stored = base.select(*keys, F.struct(*[c for c in base.columns if c not in keys]).alias("b"))
     one = lambda o, name, live, was, sd, unit: F.struct(F.lit(o).alias("ord"), F.lit(name).alias("name"), F.col(live).alias("live_value"), F.col("b")[was].alias("baseline_value"), F.col("b")[sd].alias("sd"), F.lit(unit).alias("unit"))
-    rows = rows.join(stored, "service").select("service", "window_start", "window_end", F.inline(F.array(*[one(*x) for x in named])))
+    rows = rows.join(stored, list(keys)).select(*keys, "window_start", "window_end", F.inline(F.array(*[one(*x) for x in named])))
     return deviation(rows).withColumns({"first_pass_class": first_pass(F.col("name"), F.col("direction"), F.col("band_breach")), "status": F.lit("measured")})
 
 
-def window_signals(windows: DataFrame, base: DataFrame) -> DataFrame:
+def window_signals(windows: DataFrame, base: DataFrame, keys: Sequence[str] = SERVICE) -> DataFrame:
     """One row per service and window of a batch: its breached indicators, the dominant one, the class and severity of a report."""
-    signal = report_class(drift_signal(stream_drift(windows, base), ["service", "window_start", "window_end"]))
+    signal = report_class(drift_signal(stream_drift(windows, base, keys), [*keys, "window_start", "window_end"]))
     return signal.withColumn("severity", severity(F.col("dominant_magnitude"), F.col("report_class")))
 
 
