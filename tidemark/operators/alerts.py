@@ -33,7 +33,7 @@ def alert_rules(targets: DataFrame, keys: list[str]) -> DataFrame:
 def evaluate(steps: DataFrame, rules: DataFrame, keys: list[str], value: str | tuple[str, ...], windows: list[int], fires) -> DataFrame:
     """Steps at which a rule's condition holds over both of its windows.
 
-    All window lengths are computed in one pass over time blocks; then rules, few per service, are joined. ``value`` is averaged over a window,
+    Each window length is one pass over time blocks; then rules, few per service, are joined. ``value`` is averaged over a window,
     a pair (hits, rows) summed and divided, one in a tuple summed and divided by the window's seconds. ``fires(value)`` is the condition.
     """
     named = {f"w{seconds}": seconds for seconds in windows}

@@ -1,6 +1,6 @@
 """Series in time blocks: what a window over a whole series does, done block by block, so that a service with most of the rows is many tasks.
 
-A block is a run of ``seconds`` of one series. What a block needs from earlier ones comes to it as extra rows: the frame's length of its predecessor's tail, or
+A block is a run of ``seconds`` of one series. What a block needs from earlier ones comes to it as extra rows: those of the block before that a frame reaches, or
 the last row of the block before it. Only tables with a row per series and block are gathered by series; their length is that of time, not of the data.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks are so many times as long as the longest frame, so that about a quarter of the rows goes to two.
+#: Blocks of an as-of join are so many times as long as what it looks back.
 FRAMES = 4
 #: Seconds of a block where there is no frame.
 DAY = 86_400
@@ -20,19 +20,30 @@ def block_of(epoch: Column | str, seconds: int) -> Column:
 
 
 def framed(rows: DataFrame, keys: list[str], frames: dict[str, tuple[int, Column]], epoch: str = "epoch") -> DataFrame:
-    """Adds each of ``frames`` (name: seconds, aggregate): the aggregate over the rows of the series not older than so many seconds, both ends included.
+    """Adds each of ``frames`` (name: seconds, sum or count): the aggregate over the rows of the series not older than so many seconds, both ends included.
 
-    All frames share one exchange, by series and block. A null time is in no other row's frame, and rows of null times share one.
+    A block is a second longer than the frame, so a frame is the head of its own block and the tail of the one before; both are running aggregates, whose work is
+    that of the rows, however many of them a frame holds, and nothing is subtracted. A null time is in no other row's frame, and rows of null times share one.
     """
-    longest = max(s for s, _ in frames.values())
-    size = FRAMES * (longest + 1)
-    own = block_of(epoch, size)
-    # A row is asked for by rows of the next block as long as the longest frame after it reaches there.
-    reaches = F.col(epoch) + longest >= (own + 1) * size
-    both = rows.withColumn("_own", own).withColumn("_block", F.explode(F.when(reaches, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
-    by_block = Window.partitionBy(*keys, "_block").orderBy(epoch)
-    both = both.withColumns({name: aggregate.over(by_block.rangeBetween(-s, 0)) for name, (s, aggregate) in frames.items()})
-    return both.filter(F.col("_own").eqNullSafe(F.col("_block"))).drop("_own", "_block")
+    added = rows.columns
+    for seconds in dict.fromkeys(s for s, _ in frames.values()):
+        # A row is handed on to the next block at the last time that asks for it.
+        block, once = block_of(epoch, seconds + 1), F.array(F.lit(0))
+        both = rows.withColumn("_later", F.explode(F.when(F.col(epoch).isNull(), once).otherwise(F.array(F.lit(0), F.lit(1)))))
+        both = both.withColumns({"_block": block + F.col("_later"), "_until": F.col(epoch) + F.col("_later") * seconds})
+        in_block = Window.partitionBy(*keys, "_block")
+        head = in_block.orderBy("_later", "_until").rangeBetween(Window.unboundedPreceding, 0)
+        tail = in_block.orderBy(F.desc("_later"), F.desc("_until")).rangeBetween(Window.unboundedPreceding, 0)
+        back = in_block.orderBy(F.desc("_until")).rangeBetween(Window.unboundedPreceding, 0)
+        own = {name: aggregate for name, (s, aggregate) in frames.items() if s == seconds}
+        both = both.withColumns({f"_head_{name}": aggregate.over(head) for name, aggregate in own.items()}).withColumns({f"_tail_{name}": aggregate.over(tail) for name, aggregate in own.items()})
+        tails = F.struct(*[f"_tail_{name}" for name in own])
+        both = both.withColumn("_tails", F.last(F.when(F.col("_later") == 1, tails), ignorenulls=True).over(back)).filter("_later = 0")
+        merge = lambda h, t: F.coalesce(h + t, h, t)
+        rows = both.withColumns({name: merge(F.col(f"_head_{name}"), F.col("_tails")[f"_tail_{name}"]) for name in own})
+        added = [*added, *own]
+        rows = rows.select(*added)
+    return rows.select(*added[: len(added) - len(frames)], *frames)
 
 
 def _blocks(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:

@@ -61,8 +61,10 @@ def last_value(samples: DataFrame, series: list[str], keys: list[str], order: li
 
 
 def over_time(df: DataFrame, keys: list[str], value: str, windows: dict[str, int]) -> DataFrame:
-    """Means of the last so many seconds at each row, its own time included: ``windows`` gives each one's name and length. All are taken in one pass."""
-    return blocks.framed(df, keys, {name: (seconds - 1, F.avg(value)) for name, seconds in windows.items()})
+    """Means of the last so many seconds at each row, its own time included: ``windows`` gives each one's name and length."""
+    sums = {f"_{part}_{name}": (seconds - 1, c) for name, seconds in windows.items() for part, c in (("s", F.sum(F.col(value).cast("double"))), ("n", F.count(value)))}
+    out = blocks.framed(df, keys, sums).withColumns({name: F.try_divide(f"_s_{name}", f"_n_{name}") for name in windows})
+    return out.drop(*sums)
 
 
 def ratio_over_time(df: DataFrame, keys: list[str], hits: str, total: str, windows: dict[str, int]) -> DataFrame:
