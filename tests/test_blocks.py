@@ -42,7 +42,7 @@ def test_frames_are_running_aggregates(spark):
     rows = [(0, "a", 0, 1.0), (1, "a", 9, inf), (2, "a", 10, None), (3, "a", 20, 2.0), (4, "a", 31, None), (5, None, 20, 4.0), (6, "a", None, 5.0), (7, "a", None, 6.0)]
     got = series.over_time(make(spark, rows), ["service"], "value", {"mean": 11})
     assert {r.id: r.mean for r in got.collect()} == {0: 1.0, 1: inf, 2: inf, 3: 2.0, 4: None, 5: 4.0, 6: 5.5, 7: 5.5}
-    for name in ("avg_over_time", "error_alerts"):
+    for name in ("avg_over_time", "counter_rate", "error_alerts"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan and not re.search(r"RangeFrame, -\d+", plan)
 
