@@ -29,6 +29,21 @@ def test_query_equals_its_sql(spark, duck, name):
     assert normal(map(tuple, df.select(*columns).collect())) == normal(want.fetchall())
 
 
+def test_payloads_of_samples_are_bounded(spark, tmp_path, monkeypatch):
+    """A document's samples are not those of a day, which grow with the table."""
+    from tidemark.plans import queries
+
+    monkeypatch.setattr(queries, "PAYLOAD_ROWS", 50, raising=False)
+    monkeypatch.setattr(queries, "_work_dir", lambda spark: f"file://{tmp_path}")
+    e = spark.read.parquet(f"{SF}/events.parquet").limit(400)
+    one_day = e.selectExpr("event_id", "cast('2024-01-02 03:04:05' as timestamp) as ts", "10L as user_id", "'view' as event_type", "if(event_id % 9 = 0, null, value) as value", "props")
+    one_day.coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet")
+    (row,) = queries.QUERIES["payload_samples"](spark, f"{tmp_path}/in").collect()
+    assert (row.service, row.code, row.n, row.first, row.last) == ("svc-00", "200", 400, 1704164645, 1704164645)
+    texts = [len(line.value) for line in spark.read.text(f"{tmp_path}/payloads").collect()]
+    assert len(texts) == 8 and max(texts) < 50 * 40
+
+
 def test_every_query_without_sql_is_known():
     from tidemark.plans.queries import QUERIES
 

@@ -566,6 +566,10 @@ def _payloads(spark, docs: DataFrame) -> str:
     return at
 
 
+#: Samples of a document at most.
+PAYLOAD_ROWS = 4000
+
+
 @query
 def payload_spans(spark, d):
     s = own_spans(spark, d)
@@ -586,13 +590,15 @@ def payload_logs(spark, d):
 
 @query
 def payload_samples(spark, d):
-    hourly = samples(spark, d).groupBy("service", "code", F.date_trunc("day", "ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), F.col("value").alias("v")))).alias("rows"))
+    # A source limits the points of a response, so a document holds those of so many rows of input at most.
+    batch = F.floor(F.monotonically_increasing_id() / PAYLOAD_ROWS)
+    docs = samples(spark, d).withColumn("batch", batch).groupBy("service", "code", "batch").agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), F.col("value").alias("v")))).alias("rows"))
     pairs = F.transform("rows", lambda r: F.format_string('[%d,"%s"]', r["t"], F.round(r["v"], 3).cast("string")))
     result = F.struct(F.create_map(F.lit("service"), F.col("service"), F.lit("code"), F.col("code")).alias("metric"), pairs.alias("values"))
     # Pairs of unlike kinds are spliced into the text, as JSON of a typed array would quote them.
     text = F.concat(F.lit('{"data":{"result":[{"metric":'), F.to_json("r.metric"), F.lit(',"values":['), F.array_join("r.values", ","), F.lit("]}]}}"))
     at = f"{_work_dir(spark)}/payloads"
-    hourly.select(result.alias("r")).select(text.alias("value")).write.text(at)
+    docs.select(result.alias("r")).select(text.alias("value")).write.text(at)
     read = telemetry.scan_samples(spark, at, lines=True)
     return rounded(read.groupBy(F.col("labels")["service"].alias("service"), F.col("labels")["code"].alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("epoch").cast("bigint").alias("first"), F.max("epoch").cast("bigint").alias("last")), 3)
 
