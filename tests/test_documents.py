@@ -133,3 +133,19 @@ def test_what_json_cannot_say_goes_aside(spark):
     rows = [(1, [(1.0,)], {"k": 2.0}), (2, [(float("nan"),)], {}), (3, [], {"k": float("inf")}), (4, None, None), (5, [None], {"k": None})]
     good, aside = canonical.serialize(spark.createDataFrame(rows, "id int, parts array<struct<x:double>>, m map<string,double>"), ["id", "parts", "m"])
     assert {r.id for r in aside.collect()} == {2, 3} and {r.id: json.loads(r.payload) for r in good.collect()} == {1: {"id": 1, "parts": [{"x": 1.0}], "m": {"k": 2.0}}, 4: {"id": 4}, 5: {"id": 5, "parts": [None], "m": {"k": None}}}
+
+
+def test_a_value_is_rendered_once_however_deep(spark):
+    values = [0.0, -0.0, 1e-5, 9.9999999e-5, 0.00012345678, 0.1, -1 / 3, 42000.0, 999999.6, 123456789.0, 9.999999e15, 1e16, 1e-300, -1.7976931348623157e308]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    kept, _ = canonical.serialize(df.select("x", F.array(F.struct(F.array(F.struct(F.array(F.struct("x")).alias("c"))).alias("b"))).alias("a")), ["a"])
+    # The form of six digits, of the plain one where it is short and of the other where it isn't.
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 3
+
+    def want(v):
+        six = float(f"{v:.5e}")
+        return repr(six) if six and not 1e-4 <= abs(six) < 1e16 else "0.0" if not six else repr(six)
+
+    for r in kept.collect():
+        assert json.loads(r.payload) == {"a": [{"b": [{"c": [{} if r.x is None else {"x": float(f"{r.x:.5e}")}]}]}]}
+        assert r.x is None or f'"x": {want(r.x)}\n' in r.payload, (r.x, r.payload)

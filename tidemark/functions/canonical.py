@@ -6,18 +6,29 @@ beforehand and goes aside.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, DoubleType, FloatType, IntegralType, MapType, StringType, StructType, TimestampNTZType, TimestampType
 
 
+def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: an array of one binds it."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def number(c: Column) -> Column:
     """Six significant digits in the shortest form: 0.0023, 42000.0, 1e-05, 1.5e+16."""
-    c = c.cast("double")
-    sci = F.format_string("%.5e", c)
-    power = F.regexp_extract(sci, "e([+-][0-9]+)$", 1).try_cast("int")
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.9f", sci.try_cast("double")), "0+$", ""), r"\.$", ".0")
-    return F.when(c.isNull(), None).when(c == 0, "0.0").when((power >= -4) & (power < 16), plain).otherwise(F.regexp_replace(sci, r"\.?0*e", "e"))
+    sci = lambda x: F.format_string("%.5e", x)
+
+    def shortest(x: Column) -> Column:  # of a value of six digits
+        plain = F.regexp_replace(F.rtrim(F.format_string("%.9f", x), F.lit("0")), r"\.$", ".0")
+        return F.when(x.isNull(), None).when(x == 0, "0.0").when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain).otherwise(F.regexp_replace(sci(x), r"\.?0*e", "e"))
+
+    return _bound(sci(c.cast("double")).try_cast("double"), shortest)
 
 
 def text(c: Column) -> Column:
@@ -38,18 +49,20 @@ def text(c: Column) -> Column:
 def render(c: Column, kind: DataType, depth: int = 0) -> Column:
     """The JSON text of a value that is not null. A struct's null fields are left out; an array's or map's nulls stay."""
     inner, outer = F.lit("\n" + "  " * (depth + 1)), F.lit("\n" + "  " * depth)
-    wrap = lambda items, a, b: F.when(F.size(items) == 0, a + b).otherwise(F.concat(F.lit(a), inner, F.array_join(items, "," + "\n" + "  " * (depth + 1)), outer, F.lit(b)))
+    # Whether it is empty is asked of the value: the items hold all that is below, and would be rendered again for it at each depth.
+    wrap = lambda empty, items, a, b: F.when(empty, a + b).otherwise(F.concat(F.lit(a), inner, F.array_join(items, "," + "\n" + "  " * (depth + 1)), outer, F.lit(b)))
     if isinstance(kind, StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
         items = [F.when(c[f.name].isNotNull(), F.concat(text(F.lit(f.name)), F.lit(": "), render(c[f.name], f.dataType, depth + 1))) for f in fields]
-        return wrap(F.filter(F.array(*items).cast("array<string>"), lambda x: x.isNotNull()), "{", "}")
+        # Joining skips nulls.
+        return wrap(reduce(and_, [c[f.name].isNull() for f in fields], F.lit(True)), F.array(*items).cast("array<string>"), "{", "}")
     if isinstance(kind, ArrayType):
-        return wrap(F.transform(c, lambda x: F.when(x.isNull(), "null").otherwise(render(x, kind.elementType, depth + 1))), "[", "]")
+        return wrap(F.size(c) == 0, F.transform(c, lambda x: F.when(x.isNull(), "null").otherwise(render(x, kind.elementType, depth + 1))), "[", "]")
     if isinstance(kind, MapType):
         keys = F.array_sort(F.map_keys(c))
         value = lambda k: F.try_element_at(c, k)
         item = lambda k: F.concat(text(k.cast("string")), F.lit(": "), F.when(value(k).isNull(), "null").otherwise(render(value(k), kind.valueType, depth + 1)))
-        return wrap(F.transform(keys, item), "{", "}")
+        return wrap(F.size(c) == 0, F.transform(keys, item), "{", "}")
     if isinstance(kind, (DoubleType, FloatType)):
         return number(c)
     if isinstance(kind, (IntegralType, DecimalType, BooleanType)):
