@@ -115,3 +115,16 @@ def test_rows_without_an_id_are_spread_and_cut_like_any_others(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(make(spark)[1])._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_rows_alike_at_the_cut_share_what_it_takes(spark):
+    """Of 13 words nine are a whole epoch; the other four go to three rows, those that the cut itself leaves out among them, and never come to more."""
+    df = spark.createDataFrame([(None, "a b c", None, 5, 1, 1, "")] * 3, COLUMNS)
+    words = Counter(r.source for r in mixing.mixed_documents(df).collect() for _ in r.text.split())
+    assert 13 - 3 < words[None] <= 13
+
+
+def test_plans_are_of_a_few_steps(spark):
+    """Sources and intervals are computed once: where rows are placed, only the words before a row within its interval are a window."""
+    plan = mixing._place(make(spark)[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Join ") == 2
