@@ -96,3 +96,62 @@ def test_any_order_of_shingles_gives_the_same_links(spark):
     words = ["w%d" % i for i in range(50)]
     rows = list(enumerate(family(rng, words, 60, 4, 80)))
     assert run(spark, rows, frequent_most=0) == run(spark, rows, sample_docs=10) == brute(rows)
+
+
+def test_frequent_shingles_need_as_many_holders_at_any_size(spark):
+    # 24,000 documents of one shingle each, five of them of the same one.
+    df = spark.range(24_000).selectExpr("id as doc_id", "case when id < 5 then 'a b c d e' else concat('w', id, ' x y z') end as text")
+    token, rank = jaccard.frequent_shingles(df, 5, 24_000, 5, 300_000)
+    assert token.tolist() == jaccard.shingle_set("a b c d e").tolist() and rank.tolist() == [1]
+
+
+def test_pairs_that_cannot_link_go_before_sets_are_sent(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [str(rng.random()) for _ in range(n)]
+    rows, pairs = [], []
+    # Both sides of a power of two, far from it, and sets of a few shingles.
+    for size in (5, 6, 9, 60, 64, 68, 70, 130, 250, 300, 2000):
+        base = fresh(size + 4)
+        for share in (0.5, 0.75, 0.89, 0.9, 0.95, 1):
+            for more in (0, 0.05, 0.1, 0.25):
+                other = base[: round((size + 4) * share)] + fresh(round((size + 4) * (1 - share + more)))
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) as text_key")
+    none = (jaccard.np.empty(0, "uint64"), jaccard.np.empty(0, int))
+    profiles = jaccard._profiles(df, 5, 80, none).localCheckpoint()
+    cid = {r.doc_id: r.cid for r in profiles.collect()}
+    asked = spark.createDataFrame([(cid[a], cid[b]) for a, b in pairs], "a long, b long")
+    stay = {tuple(r) for r in jaccard._likely(profiles, asked, 80).collect()}
+    sets = [shingles(t) for _, t in rows]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    assert {x for x in alike if alike[x] >= 0.8} <= {x for x in alike if (cid[x[0]], cid[x[1]]) in stay}
+    far = [x for x in alike if 0.5 < alike[x] < 0.65 and len(sets[x[0]]) >= 130]
+    assert len(far) >= 4 and not [x for x in far if (cid[x[0]], cid[x[1]]) in stay]
+
+
+def test_texts_do_not_move_beyond_a_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = list(enumerate(family(rng, ["w%d" % i for i in range(50)], 60, 3, 14)))
+    rows += [(None, t + " z") for _, t in rows[:4]]
+    plans, cut = [], jaccard.cut
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(jaccard, "cut", noted)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10, raising=False)
+    monkeypatch.setattr("tidemark.llm.shared.BROADCAST_ROWS", 10)
+    assert run(spark, rows) == brute(rows)
+    sent = [p for p in plans if "tokens" in p and "MapInArrow" in p]
+    assert sent and not [p for p in sent if re.search(r"hashpartitioning\(doc_id#\d+L?, \d+\)", p)]
+
+
+def test_only_groups_of_several_rows_are_gathered(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, 1, [5, 6]), (2, 1, 1, [5, 6]), (3, 2, 1, [7])], "doc_id long, gid long, n long, prefix array<long>")
+    repeated = spark.createDataFrame([(1,)], "gid long")
+    want = [(1, 1, [5, 6]), (2, 1, [7])]
+    assert sorted(map(tuple, jaccard._groups(df, repeated).collect())) == want
+    monkeypatch.setattr("tidemark.llm.shared.BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, jaccard._groups(df, repeated).collect())) == want
