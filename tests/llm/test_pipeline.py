@@ -79,3 +79,13 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
     got = sorted((str(r.doc_id), r.extra) for r in jaccard.deduplicate(df).collect())
     assert got == [("2", "c"), ("4", "i"), ("9", "d"), ("9", "e"), ("None", "f"), ("None", "g")]
+
+
+def test_deduplicate_moves_no_text_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 3}_{k}" for k in range(12)), "x") for i in range(60)] + [(0, " ".join(f"w0_{k}" for k in range(12)), "a"), (57, " ".join(f"w19_{k}" for k in range(12)), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 25, raising=False)
+    monkeypatch.setattr("tidemark.llm.shared.BROADCAST_ROWS", 25)
+    out = jaccard.deduplicate(df)
+    assert sorted((r.doc_id, r.extra) for r in out.collect()) == [(i, "a" if i in (0, 57) else "x") for i in range(0, 60, 3)]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().sparkPlan().toString()
